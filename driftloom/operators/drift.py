@@ -82,15 +82,27 @@ def _edge(i: Column, lo: Column, hi: Column, n_bins: Column) -> Column:
     return i * ((hi - lo) / n_bins) + lo
 
 
-def _bin_of(x: Column, lo: Column, hi: Column, n_bins: int) -> Column:
-    """Number of inner edges <= x; a guess by division, then settled against the edges."""
-    n = F.lit(float(n_bins))
-    width = (hi - lo) / n
-    guess = F.when(width > 0, clip(F.floor((x - lo) / F.when(width > 0, width)).cast("int"), 0, n_bins - 1))
-    guess = F.coalesce(guess, F.lit(n_bins - 1))
-    down = (guess > 0) & (x < _edge(guess, lo, hi, n))
-    up = (guess < n_bins - 1) & (x >= _edge(guess + 1, lo, hi, n))
-    return guess + F.when(up, 1).when(down, -1).otherwise(0)
+def _with_bins(df: DataFrame, n_bins: Sequence[int]) -> DataFrame:
+    """One row per (row, n_bins) with ``bin`` = number of inner edges <= x.
+
+    The bin is guessed by division and then settled against the exact edges;
+    guess and settlement are separate projections so each is computed once.
+    """
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+
+    def guess(n: int) -> Column:
+        width = (hi - lo) / float(n)
+        return F.when(width > 0, clip(F.floor((x - lo) / F.when(width > 0, width)).cast("int"), 0, n - 1)).otherwise(n - 1)
+
+    def settled(n: int) -> Column:
+        g, total = F.col(f"_g{n}"), F.lit(float(n))
+        down = (g > 0) & (x < _edge(g, lo, hi, total))
+        up = (g < n - 1) & (x >= _edge(g + 1, lo, hi, total))
+        return F.when(up, g + 1).when(down, g - 1).otherwise(g)
+
+    df = df.withColumns({f"_g{n}": guess(n) for n in n_bins})
+    cells = F.array(*[F.struct(F.lit(n).alias("n_bins"), settled(n).alias("bin")) for n in n_bins])
+    return df.select("*", F.inline(cells)).drop("x", "lo", "hi", *[f"_g{n}" for n in n_bins])
 
 
 def _reference_counts(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -121,20 +133,14 @@ def histograms(
     per_batch = per_batch.select(*keys, batch, *[F.col("_limits")[f].alias(f"_l_{f}") for f in features])
     binned = prod.select(*keys, batch, *features).join(per_batch, [*keys, batch])
 
-    def bins(f: str) -> Column:
-        x, lo, hi = clean(f), F.col(f"_l_{f}.lo"), F.col(f"_l_{f}.hi")
-        return F.array(
-            *[F.struct(F.lit(n).alias("n_bins"), F.when(x.isNotNull(), _bin_of(x, lo, hi, n)).alias("bin")) for n in n_bins]
-        )
-
-    prod_cells = (
-        binned.select(*keys, batch, *[bins(f).alias(f) for f in features])
-        .unpivot([*keys, batch], list(features), "feature", "_bins")
-        .select(*who, F.inline("_bins"))
-        .filter(F.col("bin").isNotNull())
-        .groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("c_prod"))
+    sides = [F.struct(clean(f).alias("x"), F.col(f"_l_{f}.lo"), F.col(f"_l_{f}.hi")).alias(f) for f in features]
+    points = (
+        binned.select(*keys, batch, *sides)
+        .unpivot([*keys, batch], list(features), "feature", "_s")
+        .select(*who, "_s.x", "_s.lo", "_s.hi")
+        .filter(F.col("x").isNotNull())
     )
+    prod_cells = _with_bins(points, n_bins).groupBy(*cell).agg(F.count(F.lit(1)).alias("c_prod"))
 
     # Reference: the rank of every inner edge in the sorted reference.
     inner = (

@@ -12,7 +12,7 @@ Rows whose key is null belong to no group and are left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -194,28 +194,43 @@ def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") ->
     return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value"
+def order_statistics(
+    counts: DataFrame, keys: Sequence[str], ranks: dict[str, Callable[[Column], Column]], value: str = "value"
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles from bucketed (key, value, n) rows."""
+    """Values at 0-based sorted positions of bucketed (key, value, n) rows.
+
+    Each rank is a function of the group's row count.  Returns keys,
+    ``n_values`` and one column per rank.
+    """
     ranked = running_sums(counts, keys, [value], ["n"], totals=True)
-    below = F.col("n_cum") - F.col("n")
+    below, size = F.col("n_cum") - F.col("n"), F.col("n_all")
+    picks = [
+        F.max(F.when((below <= rank(size)) & (rank(size) < F.col("n_cum")), F.col(value))).alias(name)
+        for name, rank in ranks.items()
+    ]
+    return ranked.groupBy(*keys).agg(F.max("n_all").alias("n_values"), *picks)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((below <= rank) & (rank < F.col("n_cum")), F.col(value)))
 
-    parts, final = [], []
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value"
+) -> DataFrame:
+    """Exact linear-interpolation quantiles from bucketed (key, value, n) rows."""
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    final = []
     for name, p in probs.items():
-        rank = (F.col("n_all") - 1) * F.lit(p)
-        parts += [at(F.floor(rank)).alias(f"_lo_{name}"), at(F.ceil(rank)).alias(f"_hi_{name}")]
-        exact = (F.col("_n") - 1) * F.lit(p)
+        ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
+        ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
+        exact = (F.col("n_values") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         final.append((lo + (hi - lo) * (exact - F.floor(exact))).alias(name))
-    return (
-        ranked.groupBy(*keys)
-        .agg(F.max("n_all").alias("_n"), *parts)
-        .select(*keys, F.col("_n").alias("n_values"), *final)
-    )
+    return order_statistics(counts, keys, ranks, value).select(*keys, "n_values", *final)
+
+
+def bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Counts of the distinct values of one column per key, with their bucket."""
+    n = bucket_count(df.sparkSession)
+    rows = df.select(*keys, clean(value).alias("value")).filter(F.col("value").isNotNull())
+    return add_bucket(value_counts(rows, keys), F.col("value"), bounds_of(rows, F.col("value"), n), n)
 
 
 def exact_quantiles(
