@@ -160,11 +160,12 @@ def retrain_triggers(df: DataFrame, *, keys: Sequence[str], order: str = "batch_
 def _reach(times: np.ndarray, cooldown: int) -> np.ndarray:
     """Last alert fired in the chunk when each alert in turn is the first to fire."""
     nxt = np.searchsorted(times, times + cooldown)
-    last = np.arange(len(times))
-    for i in range(len(times) - 1, -1, -1):
-        if nxt[i] < len(times):
-            last[i] = last[nxt[i]]
-    return times[last]
+    reach = np.where(nxt < len(times), nxt, np.arange(len(times)))
+    while True:  # each round doubles the length of the paths
+        further = reach[reach]
+        if np.array_equal(further, reach):
+            return times[reach]
+        reach = further
 
 
 def alert_cooldown(
