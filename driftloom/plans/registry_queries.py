@@ -11,6 +11,7 @@ from driftloom.operators import drift as D
 from driftloom.operators import profile as A
 from driftloom.operators import registry as R
 from driftloom.operators import splits as L
+from driftloom.operators import windows as W
 from driftloom.plans import fixtures as X
 from driftloom.plans.drift_queries import psi_sql
 from driftloom.plans.fixtures import rounded, table
@@ -56,6 +57,47 @@ def _parquet_by_temperature(s, d):
     return readers.read_parquet(s, path)
 
 
+def _tree(s, d):
+    """Events written as folders of CSV files, scanned back as one tree; 'error' folders have a bad name."""
+    path = new_path(s, "cycler")
+    kind, hour = F.col("test_type"), F.hour("ts")
+    rows = telemetry(s, d).select(
+        F.col("voltage_v").alias("Voltage(V)"), F.col("current_a").alias("Current(A)"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("Test_Time(s)"),
+        F.lit(0.0).alias("Charge_Capacity(Ah)"), F.col("event_id").cast("double").alias("Discharge_Capacity(Ah)"),
+        F.concat(
+            F.when(kind == "error", "BAD_").otherwise("SP2_"), F.when(hour < 8, "0").when(hour < 16, "25").otherwise("45"), F.lit("C_"), kind
+        ).alias("run"),
+        F.when(F.dayofmonth("ts") <= 15, "50SOC").otherwise("80SOC").alias("start"),
+    )
+    sinks.write_csv(rows.repartition("run"), path, ["run", "start"])
+    return readers.read_cycler_tree(
+        s, path, folder_pattern=r"/run=SP2_(\d+)C_([a-z]+)/", soc_pattern=r"/start=(\d+)SOC/"
+    )
+
+
+def _tree_rows(s, d):
+    return rounded(
+        _tree(s, d).rows.select(
+            F.col("discharge_capacity_ah").cast("long").alias("event_id"), "voltage_v", "current_a", "temperature_c", "test_type", "initial_soc"
+        )
+    )
+
+
+def _tree_rejects(s, d):
+    return _tree(s, d).rejects.select(F.regexp_extract("reason", r"^([a-z ]+):", 1).alias("reason")).distinct()
+
+
+def _tree_charge(s, d):
+    """Charge counted per run and start value over the scanned files."""
+    rows = _tree(s, d).rows.withColumn("run", F.concat_ws("/", "temperature_c", "test_type", "initial_soc"))
+    out = W.coulomb_variable_step(
+        rows, cell="run", time="test_time_s", order=["test_time_s", "discharge_capacity_ah"], current="current_a", initial=F.col("initial_soc"), capacity_ah=500.0
+    )
+    out = P.cycler_features(out)
+    return rounded(out.select(F.col("discharge_capacity_ah").cast("long").alias("event_id"), "soc", "cc_capacity_ah"))
+
+
 def _metric_store(s, d):
     """Batch metrics logged to a registry and read back with the derived model status."""
     store = ModelRegistry(s, new_path(s, "registry"))
@@ -239,6 +281,9 @@ QUERIES = {
     "S1_csv": _round_trip_csv,
     "S2_tsv": _round_trip_tsv,
     "S3_parquet": lambda s, d: readers.read_table(s, f"{d}/supplier.parquet"),
+    "S4_S8_cycler_tree": _tree_rows,
+    "S5_cycler_rejects": _tree_rejects,
+    "S4_cycler_charge": _tree_charge,
     "S6_S7_json": _round_trip_json,
     "S9_S10_snapshots": _snapshot,
     "S9_catalogue_stats": _catalogue_stats,
@@ -249,7 +294,8 @@ QUERIES = {
     "S14_current_state": _order_states,
     "P1_P8_normalised": _normalised,
     "P3_P5_counted_charge": _normalised_counted,
-    "P8_cycler_features": lambda s, d: rounded(P.cycler_features(telemetry(s, d)).select("event_id", "power_w", "temperature_degc")),
+    # one multiplication of equal operands: compared unrounded
+    "P8_cycler_features": lambda s, d: P.cycler_features(telemetry(s, d)).select("event_id", "power_w", "temperature_degc"),
     "P9_thermal_risk": _thermal,
     "P10_validation": _validated,
     "P11_labelled": lambda s, d: P.labelled(
@@ -325,6 +371,14 @@ ORACLE = {
     "S1_csv": "select * from customer",
     "S2_tsv": "select * from orders",
     "S3_parquet": "select * from supplier",
+    "S4_S8_cycler_tree": f"""with {TELEMETRY_SQL} select event_id, round(voltage_v, 6) as voltage_v, round(current_a, 6) as current_a, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 25 else 45 end as temperature_c,
+      upper(test_type) as test_type, case when day(ts) <= 15 then 0.5 else 0.8 end::double as initial_soc from tel where test_type <> 'error'""",
+    "S5_cycler_rejects": "select distinct 'folder name' as reason from events where event_type = 'error'",
+    "S4_cycler_charge": f"""with {TELEMETRY_SQL}, t as (select *, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 25 else 45 end as h, sec - 1704067200 as t,
+        case when day(ts) <= 15 then 0.5 else 0.8 end::double as s0 from tel where test_type <> 'error'),
+      dq as (select *, current_a * coalesce(greatest(0, t - lag(t) over w), 0) / 3600 as dq from t window w as (partition by h, test_type, s0 order by t, event_id)),
+      q as (select *, sum(dq) over (partition by h, test_type, s0 order by t, event_id rows unbounded preceding) as q from dq)
+      select event_id, round(greatest(0.0, least(1.0, s0 + q / 500)), 6) as soc, round(q, 6) as cc_capacity_ah from q""",
     "S6_S7_json": "select event_id, user_id, event_type, value, props from events",
     "S9_S10_snapshots": "select * replace (round(c_acctbal * 2, 6) as c_acctbal) from customer",
     "S9_catalogue_stats": """with n as (select column_name, 0 as null_count, count(distinct v) as unique_count, round(avg(v), 6) as mean, min(v) as min, max(v) as max, null as top_values from (
@@ -357,7 +411,7 @@ ORACLE = {
       select event_id, round(amp, 6) as "Current_A", round(s, 6) as soc_true, round(h, 6) as soh,
         (coalesce(voltage_v < 2.5 or voltage_v > 4.2 or nullif(temperature_c, 10) > 45 or h < 0.7, false))::int as fault_label,
         round(greatest(0.1, least(5.0, abs(amp) / 0.05)), 6) as charge_rate_c from h""",
-    "P8_cycler_features": f"with {TELEMETRY_SQL} select event_id, round(voltage_v * current_a, 6) as power_w, temperature_c as temperature_degc from tel",
+    "P8_cycler_features": f"with {TELEMETRY_SQL} select event_id, voltage_v * current_a as power_w, temperature_c as temperature_degc from tel",
     "P9_thermal_risk": f"""with {TELEMETRY_SQL}, c as (select *, case test_type when 'click' then 'NMC' when 'view' then 'LFP' else 'NCA' end as chemistry,
         abs(current_a) * 1.5 as c_rate, 1 - temperature_c / 250 as soh from tel),
       l(chemistry, vmax, vmin, tmax) as (values ('NMC', 4.2, 2.8, 45.0), ('LFP', 3.65, 2.5, 55.0), ('NCA', 4.18, 2.7, 40.0)),

@@ -41,9 +41,9 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return read_csv(spark, path, schema, sep="\t" if low.endswith(".tsv") else ",")
 
 
-# Names inside a cycler tree.
-FOLDER_PATTERN = r"(?i)^SP2_(\d+)C_(\w+)"
-SOC_PATTERN = r"(?i)(\d+)SOC"
+# Names inside a cycler tree, as patterns on the whole path.
+FOLDER_PATTERN = r"(?i)/SP2_(\d+)C_(\w+)[^/]*/[^/]*$"
+SOC_PATTERN = r"(?i)(\d+)SOC[^/]*$"
 REQUIRED = {
     "Test_Time(s)": "test_time_s",
     "Current(A)": "current_a",
@@ -61,7 +61,9 @@ class CyclerTree:
     rejects: DataFrame
 
 
-def read_cycler_tree(spark: SparkSession, root: str, glob: str = "*.csv") -> CyclerTree:
+def read_cycler_tree(
+    spark: SparkSession, root: str, glob: str = "*.csv", *, folder_pattern: str = FOLDER_PATTERN, soc_pattern: str = SOC_PATTERN
+) -> CyclerTree:
     """All cycler CSV files below ``root`` as one labelled table.
 
     Temperature and protocol come from the folder name, the initial state of
@@ -86,22 +88,21 @@ def read_cycler_tree(spark: SparkSession, root: str, glob: str = "*.csv") -> Cyc
         .agg(F.min(F.transform(cells, F.trim)).alias("names"))
     )
     files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines")).join(headers, "path", "left")
-    parts = F.split("path", "/")
-    folder = F.url_decode(F.element_at(parts, -2))
-    name = F.url_decode(F.element_at(parts, -1))
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    whole = F.url_decode("path")
     absent = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.coalesce("names", F.array().cast("array<string>")))
     files = files.withColumns(
         {
-            "temperature_c": F.nullif(F.regexp_extract(folder, FOLDER_PATTERN, 1), F.lit("")).cast("int"),
-            "test_type": F.upper(F.regexp_extract(folder, FOLDER_PATTERN, 2)),
-            "initial_soc": F.nullif(F.regexp_extract(name, SOC_PATTERN, 1), F.lit("")).cast("double") / 100.0,
+            "temperature_c": F.nullif(F.regexp_extract(whole, folder_pattern, 1), F.lit("")).cast("int"),
+            "test_type": F.upper(F.regexp_extract(whole, folder_pattern, 2)),
+            "initial_soc": F.nullif(F.regexp_extract(whole, soc_pattern, 1), F.lit("")).cast("double") / 100.0,
             "source_file": name,
             "absent": absent,
         }
     )
     files = files.withColumn(
         "reason",
-        F.when(F.col("temperature_c").isNull(), F.concat(F.lit("folder name: "), folder))
+        F.when(F.col("temperature_c").isNull(), F.concat(F.lit("folder name: "), whole))
         .when(F.col("initial_soc").isNull(), F.concat(F.lit("file name: "), name))
         .when(F.size("absent") > 0, F.concat(F.lit("missing columns: "), F.array_join("absent", ", "))),
     )
