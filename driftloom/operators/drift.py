@@ -19,12 +19,11 @@ from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import band, chi2_p_value, clip, ks_p_value, psi_severity, ratio
 from driftloom.operators.ordered import (
     BUCKET,
-    add_bucket,
-    bounds_by_feature,
+    add_feature_bucket,
     bucket_count,
     clean,
-    exact_quantiles,
     melt,
+    quantiles_of_counts,
     running_sums,
     value_counts,
 )
@@ -105,62 +104,63 @@ def _with_bins(df: DataFrame, n_bins: Sequence[int]) -> DataFrame:
     return df.select("*", F.inline(cells)).drop("x", "lo", "hi", *[f"_g{n}" for n in n_bins])
 
 
-def _reference_counts(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    ref, _ = _sides(df)
-    return value_counts(melt(ref, features, keys), [*keys, "feature"])
+def _limits(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str, ranges: DataFrame) -> DataFrame:
+    """Batch values (x) beside the limits of their batch and feature (lo, hi)."""
+    per_batch = ranges.groupBy(*keys, batch).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("_m")
+    )
+    per_batch = stage(per_batch.select(*keys, batch, *[F.col("_m")[f].alias(f"_l_{f}") for f in features]), "limits")
+    _, prod = _sides(df)
+    sides = [F.struct(clean(f).alias("x"), F.col(f"_l_{f}.lo"), F.col(f"_l_{f}.hi")).alias(f) for f in features]
+    return (
+        prod.select(*keys, batch, *features)
+        .join(per_batch, [*keys, batch])
+        .select(*keys, batch, *sides)
+        .unpivot([*keys, batch], list(features), "feature", "_s")
+        .select(*keys, batch, "feature", "_s.x", "_s.lo", "_s.hi", F.lit(1).cast("long").alias("n"))
+        .filter(F.col("x").isNotNull())
+    )
 
 
 def histograms(
     df: DataFrame, features: Sequence[str], n_bins: Sequence[int], *, keys: Sequence[str] = (), batch: str = "batch_id",
-    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Counts of both sides in equal-width bins over the combined range.
 
     Returns (keys, batch, feature, n_bins, bin, c_ref, c_prod, n_ref, n_prod);
-    bins empty on both sides have no row.
+    bins empty on both sides have no row.  Batch rows are binned where they
+    are read and only bins are shuffled; the reference is collapsed to counts.
     """
     keys = list(keys)
-    if ranges is None:
-        ranges = side_ranges(df, features, keys, batch)
-    who = [*keys, batch, "feature"]
-    cell = [*who, "n_bins", "bin"]
+    ranges = side_ranges(df, features, keys, batch)
+    ref, _ = _sides(df)
+    ref_counts = value_counts(melt(ref, features, keys), [*keys, "feature"])
+    return _histograms(ranges, _limits(df, features, keys, batch, ranges), ref_counts, n_bins, keys, batch)
 
-    # Batches: each row meets the limits of its own batch, then only bins are shuffled.
-    _, prod = _sides(df)
-    per_batch = ranges.groupBy(*keys, batch).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("_limits")
-    )
-    per_batch = per_batch.select(*keys, batch, *[F.col("_limits")[f].alias(f"_l_{f}") for f in features])
-    binned = prod.select(*keys, batch, *features).join(per_batch, [*keys, batch])
 
-    sides = [F.struct(clean(f).alias("x"), F.col(f"_l_{f}.lo"), F.col(f"_l_{f}.hi")).alias(f) for f in features]
-    points = (
-        binned.select(*keys, batch, *sides)
-        .unpivot([*keys, batch], list(features), "feature", "_s")
-        .select(*who, "_s.x", "_s.lo", "_s.hi")
-        .filter(F.col("x").isNotNull())
-    )
-    prod_cells = _with_bins(points, n_bins).groupBy(*cell).agg(F.count(F.lit(1)).alias("c_prod"))
+def _histograms(
+    ranges: DataFrame, points: DataFrame, ref_counts: DataFrame, n_bins: Sequence[int], keys: Sequence[str], batch: str
+) -> DataFrame:
+    """Bins from batch points (x, lo, hi, n) and from the ranks of the inner edges in the reference."""
+    who = [*keys, batch, "feature"]
+    cell = [*who, "n_bins", "bin"]
+    prod_cells = _with_bins(points, n_bins).groupBy(*cell).agg(F.sum("n").alias("c_prod"))
 
-    # Reference: the rank of every inner edge in the sorted reference.
     inner = (
         ranges.filter((F.col("n_prod") > 0) & (F.col("n_ref") > 0))
         .withColumn("n_bins", F.explode(F.array(*[F.lit(n) for n in n_bins])))
         .withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)))
     )
     probes = inner.filter(F.col("bin") > 0).select(
-        *cell, _edge(F.col("bin"), F.col("lo"), F.col("hi"), F.col("n_bins").cast("double")).alias("value")
-    )
-    n = bucket_count(df.sparkSession)
-    ref, _ = _sides(df)
-    cuts = bounds_by_feature(ref, features, n)
-    points = _reference_counts(df, features, keys).select(*keys, "feature", "value", "n").unionByName(
-        probes.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True
+        *cell,
+        _edge(F.col("bin"), F.col("lo"), F.col("hi"), F.col("n_bins").cast("double")).alias("value"),
+        F.lit(0).cast("long").alias("n"),
     )
-    points = add_bucket(points, F.col("value"), F.element_at(cuts, F.col("feature")), n)
+    rows = ref_counts.select(*keys, "feature", "value", "n").unionByName(probes, allowMissingColumns=True)
+    rows = add_feature_bucket(rows, ref_counts)
     at = Window.partitionBy(*keys, "feature", BUCKET, "value")
     ranked = (
-        running_sums(points, [*keys, "feature"], ["value"], ["n"])
+        running_sums(rows, [*keys, "feature"], ["value"], ["n"])
         .withColumn("below", F.col("n_cum") - F.sum("n").over(at))
         .filter(F.col("bin").isNotNull())
         .select(*cell, "below")
@@ -218,48 +218,126 @@ def jensen_shannon(df, features, n_bins=T.JSD_BINS, *, keys=(), batch="batch_id"
     )
 
 
-def _ranked_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
-    """Distinct batch values with counts up to each value on both sides.
+def batch_counts(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
+    """Staged counts of the distinct values of every batch and of the reference (NULL ``_batch``).
 
-    Reference points stay in the output with a NULL batch.  Columns: n (rows
-    of the point), r / s (reference rows and their value sum at the point),
-    *_cum running values, *_all totals.
+    This is the only scan of the rows; all ordered statistics read the counts.
     """
-    keys = list(keys)
     side = df.withColumn("_batch", F.when(~F.col(REF), F.col(batch)))
-    counts = value_counts(melt(side, features, [*keys, REF, "_batch"]), [*keys, "feature", REF, "_batch"])
-    n = bucket_count(df.sparkSession)
-    counts = add_bucket(counts, F.col("value"), F.element_at(bounds_by_feature(df, features, n), F.col("feature")), n)
+    long = melt(side, features, [*keys, REF, "_batch"])
+    return value_counts(long, [*keys, "feature", REF, "_batch"])
+
+
+def ranges_of_counts(counts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """``side_ranges`` computed from counts, with mean and sample std of both sides."""
+    x, n = F.col("value"), F.col("n")
+    group = [*keys, "feature", REF, "_batch"]
+    sums = counts.groupBy(*group).agg(
+        F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(n).alias("n"), (F.sum(n * x) / F.sum(n)).alias("mean")
+    )
+    sums = stage(sums, "ranges")
+    ref, prod = _sides(sums)
+    ref = ref.select(*keys, "feature", *[F.col(c).alias(f"ref_{c}") for c in ("lo", "hi", "n", "mean")])
+    gaps = counts.join(
+        sums.select(*[F.col(c).alias(f"_k_{c}") for c in group], F.col("mean").alias("_mean")),
+        F.expr(" and ".join(f"{c} <=> _k_{c}" for c in group)),
+    )
+    spread = gaps.groupBy(*group).agg(F.sum(n * F.pow(x - F.col("_mean"), 2)).alias("_sq"))
+    spread = stage(spread, "spread")
+    ref_spread, prod_spread = _sides(spread)
+    ref = ref.join(ref_spread.select(*keys, "feature", F.col("_sq").alias("_ref_sq")), [*keys, "feature"])
+    who = [*keys, batch, "feature"]
+    prod = prod.select(*keys, F.col("_batch").alias(batch), "feature", "lo", "hi", "n", "mean")
+    prod = prod.join(prod_spread.select(*keys, F.col("_batch").alias(batch), "feature", "_sq"), who)
+
+    def sample_std(sq: str, size: str) -> Column:
+        size = F.col(size)
+        return F.when(size > 1, F.sqrt(F.col(sq) / F.when(size > 1, size - 1)))
+
+    return prod.join(ref, [*keys, "feature"]).select(
+        *who,
+        F.least("lo", "ref_lo").alias("lo"),
+        F.greatest("hi", "ref_hi").alias("hi"),
+        F.col("ref_n").alias("n_ref"),
+        F.col("n").alias("n_prod"),
+        F.sqrt(F.col("_ref_sq") / F.col("ref_n")).alias("ref_sd"),
+        "ref_mean",
+        sample_std("_ref_sq", "ref_n").alias("ref_std"),
+        F.col("mean").alias("prod_mean"),
+        sample_std("_sq", "n").alias("prod_std"),
+    )
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts with running reference and batch sums, in one exchange.
+
+    What lies in earlier buckets enters as carry rows (NULL value) that sort
+    first in their bucket, so no join is needed.  Adds r_cum / s_cum (reference
+    rows and their value sum up to the value), r_at (reference rows at the
+    value) and n_cum (rows of the own batch up to the value).
+    """
+    feature = [*keys, "feature"]
     is_ref = F.col(REF)
-    counts = counts.withColumns(
+    rows = add_feature_bucket(counts, counts).withColumns(
         {
             "r": F.when(is_ref, F.col("n")).otherwise(F.lit(0).cast("long")),
             "s": F.when(is_ref, F.col("n") * F.col("value")).otherwise(F.lit(0.0)),
         }
     )
-    feature = [*keys, "feature"]
-    ranked = running_sums(counts, feature, ["value"], ["r", "s"], totals=True)
+    totals = rows.groupBy(*feature, BUCKET, REF, "_batch").agg(
+        F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("s").alias("s")
+    )
+    totals = stage(totals, "bucket-totals")  # (batches + 1) x buckets rows per feature
+    by_batch = Window.partitionBy(*feature, "_batch").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    by_feature = Window.partitionBy(*feature).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(None).cast("double").alias("value")
+    batch_carry = totals.filter(~is_ref).select(
+        *feature, BUCKET, REF, "_batch", nothing, F.coalesce(F.sum("n").over(by_batch), F.lit(0)).alias("n"),
+        F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("s"),
+    )
+    ref_carry = (
+        totals.groupBy(*feature, BUCKET).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+        .select(
+            *feature, BUCKET, F.lit(True).alias(REF), nothing, F.lit(0).cast("long").alias("n"),
+            F.coalesce(F.sum("r").over(by_feature), F.lit(0)).alias("r"), F.coalesce(F.sum("s").over(by_feature), F.lit(0.0)).alias("s"),
+        )
+    )
+    rows = rows.unionByName(batch_carry).unionByName(ref_carry, allowMissingColumns=True)
+    upto = Window.partitionBy(*feature, BUCKET).orderBy(F.asc_nulls_first("value"))
     at = Window.partitionBy(*feature, BUCKET, "value")
-    return ranked.withColumn("r_at", F.sum("r").over(at))
+    own = Window.partitionBy(*feature, BUCKET, "_batch").orderBy(F.asc_nulls_first("value"))
+    return (
+        rows.withColumns({"r_cum": F.sum("r").over(upto), "s_cum": F.sum("s").over(upto), "r_at": F.sum("r").over(at)})
+        .withColumn("n_cum", F.sum("n").over(own))
+        .filter(F.col("value").isNotNull())
+    )
 
 
-def _batch_steps(ranked: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """Batch points with reference share F and batch share G at and just below the value."""
-    who = [*keys, "feature", "_batch"]
-    prod = running_sums(ranked.filter(~F.col(REF)), who, ["value"], ["n"], totals=True)
-    return prod.select(
+def _shares_at(ranked: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """Ranked points with reference share f and batch share g, at and just below the value.
+
+    Reference points have a NULL batch and a NULL g.
+    """
+    feature = [*keys, "feature"]
+    sizes = ranges.select(*feature, F.col(batch).alias("_k"), "n_ref", "n_prod")
+    ref_sizes = ranges.groupBy(*feature).agg(F.max("n_ref").alias("n_ref"))
+    both = sizes.unionByName(ref_sizes, allowMissingColumns=True)
+    both = stage(both.withColumnsRenamed({c: f"_s_{c}" for c in feature}), "sizes")
+    same = F.expr(" and ".join([*[f"{c} = _s_{c}" for c in feature], "_batch <=> _k"]))
+    return ranked.join(both, same).select(
         *keys,
         F.col("_batch").alias(batch),
         "feature",
+        REF,
         "value",
-        "s_cum",
-        F.col("r_all").alias("n_ref"),
-        F.col("n_all").alias("n_prod"),
-        ratio(F.col("r_cum"), F.col("r_all")).alias("f"),
-        ratio(F.col("r_cum") - F.col("r_at"), F.col("r_all")).alias("f_below"),
-        ratio(F.col("n_cum"), F.col("n_all")).alias("g"),
-        ratio(F.col("n_cum") - F.col("n"), F.col("n_all")).alias("g_below"),
-    ).filter(F.col("n_ref") > 0)
+        "n_ref",
+        "n_prod",
+        ratio(F.col("r_cum"), F.col("n_ref")).alias("f"),
+        ratio(F.col("r_cum") - F.col("r_at"), F.col("n_ref")).alias("f_below"),
+        ratio(F.col("s_cum"), F.col("n_ref")).alias("iq"),
+        ratio(F.col("n_cum"), F.col("n_prod")).alias("g"),
+        ratio(F.col("n_cum") - F.col("n"), F.col("n_prod")).alias("g_below"),
+    )
 
 
 def _ks_distance() -> Column:
@@ -274,15 +352,17 @@ def ks(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     Between two batch points the batch share is constant and the reference
     share only grows, so the largest gap lies at a batch point or just below it.
     """
-    steps = _batch_steps(_ranked_batches(df, features, keys, batch), keys, batch)
-    out = steps.groupBy(*keys, batch, "feature").agg(
+    keys = list(keys)
+    counts = batch_counts(df, features, keys, batch)
+    points = _shares_at(_ranked(counts, keys), ranges_of_counts(counts, keys, batch), keys, batch).filter(~F.col(REF))
+    out = points.groupBy(*keys, batch, "feature").agg(
         _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
     )
     return out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
 
 
-def _wasserstein(ranked: DataFrame, steps: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """Integral of |Q(p) - v| over the probability slice of each batch value.
+def _distances(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """KS distance and the integral of |Q(p) - v| over the probability slice of each batch value.
 
     Q is the reference quantile function and IQ its integral from 0.  A slice
     [a, b] needs IQ at a, at b and at the crossing f clipped into [a, b].  IQ at
@@ -290,54 +370,70 @@ def _wasserstein(ranked: DataFrame, steps: DataFrame, keys: Sequence[str], batch
     in one pass over both kinds of points sorted by probability.
     """
     keys = list(keys)
-    group = [*keys, "feature", BUCKET]
-    n = bucket_count(ranked.sparkSession)
-    steps = steps.withColumn("c", F.greatest("g_below", F.least("g", "f")))
+    feature = [*keys, "feature"]
+    group = [*feature, BUCKET]
+    n = bucket_count(counts.sparkSession)
+    p_bucket = F.least(F.floor(F.col("p") * n), F.lit(n - 1)).cast("int")
+
+    points = _shares_at(_ranked(counts, keys), ranges, keys, batch)
+    a, b = F.col("g_below"), F.col("g")
+    points = points.withColumn("c", F.greatest(a, F.least(b, F.col("f"))))
+    c = F.col("c")
+    gap = F.greatest(F.abs(F.col("f") - b), F.abs(F.col("f_below") - a))
+    constant = F.col("value") * (2 * c - a - b)
+    no_gap, no_point = F.lit(None).cast("double"), F.lit(None).cast("struct<p:double,iq:double,x:double>")
+
+    def probe(p: Column, weight: Column, gap: Column, constant: Column) -> Column:
+        return F.struct(
+            p.alias("p"), weight.cast("double").alias("weight"), gap.alias("gap"), constant.alias("constant"), no_point.alias("point")
+        )
 
-    ref = ranked.filter(F.col(REF)).select(
-        *keys,
-        "feature",
-        ratio(F.col("r_cum"), F.col("r_all")).alias("p"),
-        F.struct(
-            ratio(F.col("r_cum"), F.col("r_all")).alias("p"),
-            ratio(F.col("s_cum"), F.col("r_all")).alias("iq"),
-            F.col("value").alias("x"),
-        ).alias("point"),
-    )
     # weight: the signed part each IQ(p) plays in the total
-    probes = steps.select(
-        *keys,
-        "feature",
-        batch,
-        F.inline(
-            F.array(
-                F.struct(F.col("g_below").alias("p"), F.lit(1.0).alias("weight")),
-                F.struct(F.col("g").alias("p"), F.lit(1.0).alias("weight")),
-                F.struct(F.col("c").alias("p"), F.lit(-2.0).alias("weight")),
-            )
-        ),
-    )
-    probes = probes.groupBy(*keys, "feature", batch, "p").agg(F.sum("weight").alias("weight")).filter("weight <> 0")
-    points = ref.unionByName(probes, allowMissingColumns=True).withColumn(
-        BUCKET, F.least(F.floor(F.col("p") * n), F.lit(n - 1)).cast("int")
-    )
-    # the first reference point of a later bucket serves probes at the end of a bucket
-    firsts = points.groupBy(*group).agg(F.min("point").alias("_first"))
-    later = Window.partitionBy(*keys, "feature").orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select(*group, F.last("_first", ignorenulls=True).over(later).alias("_next"))
+    middle = F.when((c > a) & (c < b), -2).otherwise(0)
+    probes = F.array(
+        probe(a, 1 - F.when(c == a, 2).otherwise(0), gap, constant),
+        probe(b, 1 - F.when((c == b) & (c > a), 2).otherwise(0), no_gap, no_gap),
+        probe(c, middle, no_gap, no_gap),
+    )
+    ref_point = F.struct(
+        F.col("f").alias("p"), F.lit(None).cast("double").alias("weight"), no_gap.alias("gap"), no_gap.alias("constant"),
+        F.struct(F.col("f").alias("p"), F.col("iq"), F.col("value").alias("x")).alias("point"),
+    )
+    rows = points.select(
+        *keys, batch, "feature",
+        F.inline(F.when(F.col(REF), F.array(ref_point)).otherwise(F.filter(probes, lambda q: q["weight"] != 0))),
+    ).withColumn(BUCKET, p_bucket)
+
+    # the first reference point of each bucket serves the probes at the end of the bucket before
+    ref_counts = counts.filter(F.col(REF))
+    ref_rows = running_sums(
+        add_feature_bucket(ref_counts, counts).withColumn("s", F.col("n") * F.col("value")), feature, ["value"], ["n", "s"], totals=True
+    )
+    firsts = (
+        ref_rows.select(
+            *feature, ratio(F.col("n_cum"), F.col("n_all")).alias("p"), ratio(F.col("s_cum"), F.col("n_all")).alias("iq"), F.col("value").alias("x")
+        )
+        .withColumn(BUCKET, p_bucket)
+        .groupBy(*group)
+        .agg(F.min(F.struct("p", "iq", "x")).alias("_first"))
+    )
+    # every bucket gets the first point behind it, also buckets without reference points
+    later = Window.partitionBy(*feature).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    every = firsts.select(*feature).distinct().withColumn(BUCKET, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    carry = (
+        every.join(firsts, group, "left")
+        .withColumn("_next", F.last("_first", ignorenulls=True).over(later))
+        .select(*group, F.lit(float("inf")).alias("p"), F.col("_next").alias("point"))
+        .filter(F.col("point").isNotNull())
+    )
+    rows = rows.unionByName(carry, allowMissingColumns=True)
     down = Window.partitionBy(*group).orderBy(F.desc("p"))
-    found = (
-        points.join(firsts, group)
-        .withColumn("_at", F.coalesce(F.last("point", ignorenulls=True).over(down), F.col("_next")))
-        .filter(F.col("weight").isNotNull())
-    )
+    found = rows.withColumn("_at", F.last("point", ignorenulls=True).over(down)).filter(F.col("weight").isNotNull())
     iq = F.col("_at.iq") - F.col("_at.x") * (F.col("_at.p") - F.col("p"))
-    area = found.groupBy(*keys, batch, "feature").agg(F.sum(F.col("weight") * iq).alias("_iq"))
-    values = steps.groupBy(*keys, batch, "feature").agg(
-        F.sum(F.col("value") * (2 * F.col("c") - F.col("g_below") - F.col("g"))).alias("_v")
-    )
-    return values.join(area, [*keys, batch, "feature"], "left").select(
-        *keys, batch, "feature", F.abs(F.col("_v") + F.coalesce("_iq", F.lit(0.0))).alias("distance")
+    return (
+        found.groupBy(*keys, batch, "feature")
+        .agg(F.max("gap").alias("ks"), F.sum(F.col("weight") * iq).alias("_iq"), F.sum("constant").alias("_v"))
+        .select(*keys, batch, "feature", "ks", F.abs(F.col("_iq") + F.col("_v")).alias("distance"))
     )
 
 
@@ -347,37 +443,63 @@ def _normalised(distance: Column, sd: Column) -> Column:
 
 def wasserstein(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Wasserstein-1 distance over the reference's population std (0 if that is 0)."""
-    ranked = _ranked_batches(df, features, keys, batch)
-    steps = _batch_steps(ranked, keys, batch)
-    ranges = side_ranges(df, features, keys, batch).select(*keys, batch, "feature", "ref_sd")
-    out = _wasserstein(ranked, steps, keys, batch).join(ranges, [*keys, batch, "feature"])
-    return out.select(*keys, batch, "feature", _normalised(F.col("distance"), F.col("ref_sd")).alias("wasserstein"))
-
-
-def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool = True) -> DataFrame:
-    """PSI, KS, JSD, Wasserstein, verdict and summary statistics per (keys, batch, feature)."""
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    ranges = side_ranges(df, features, keys, batch)
-    cells = histograms(df, features, sorted({T.PSI_BINS, T.JSD_BINS}), keys=keys, batch=batch, ranges=ranges)
-    shape = cells.groupBy(*who).agg(
+    counts = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_counts(counts, keys, batch)
+    out = _distances(counts, ranges, keys, batch).join(ranges, who)
+    return out.select(*who, _normalised(F.col("distance"), F.col("ref_sd")).alias("wasserstein"))
+
+
+def _shape_scores(cells: DataFrame, who: Sequence[str]) -> DataFrame:
+    return cells.groupBy(*who).agg(
         F.sum(F.when(F.col("n_bins") == T.PSI_BINS, psi_term())).alias("psi"),
         F.sqrt(
             F.greatest(F.lit(0.0), F.sum(F.when(F.col("n_bins") == T.JSD_BINS, divergence_term(F.col("n_bins")))))
         ).alias("jsd"),
     )
-    ranked = _ranked_batches(df, features, keys, batch)
-    steps = _batch_steps(ranked, keys, batch)
-    distance = steps.groupBy(*who).agg(_ks_distance().alias("ks"))
+
+
+def _cells_of_counts(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    who = [*keys, batch, "feature"]
+    ref, prod = _sides(counts)
+    points = (
+        prod.withColumnRenamed("_batch", batch)
+        .join(stage(ranges.select(*who, "lo", "hi"), "limits"), who)
+        .select(*who, F.col("value").alias("x"), "lo", "hi", "n")
+    )
+    return _histograms(ranges, points, ref.select(*keys, "feature", "value", "n"), sorted({T.PSI_BINS, T.JSD_BINS}), keys, batch)
+
+
+def _all_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
+    """Every batch with every feature: a feature without values still gets a verdict."""
+    _, prod = _sides(df)
+    names = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
+    return prod.select(*keys, batch).distinct().select(*keys, batch, names)
+
+
+def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool = True) -> DataFrame:
+    """PSI, KS, JSD, Wasserstein, verdict and summary statistics per (keys, batch, feature).
+
+    The rows are read once, into counts; every statistic comes from the counts.
+    """
+    keys = list(keys)
+    who = [*keys, batch, "feature"]
+    counts = batch_counts(df, features, keys, batch)
+    ranges = stage(ranges_of_counts(counts, keys, batch), "ranges")
     out = (
-        ranges.join(shape, who, "left")
-        .join(distance, who, "left")
-        .join(_wasserstein(ranked, steps, keys, batch), who, "left")
+        _all_batches(df, features, keys, batch)
+        .join(ranges, who, "left")
+        .join(_shape_scores(_cells_of_counts(counts, ranges, keys, batch), who), who, "left")
+        .join(_distances(counts, ranges, keys, batch), who, "left")
+        .withColumn("n_prod", F.coalesce("n_prod", F.lit(0).cast("long")))
         .withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
         .withColumn("wasserstein", _normalised(F.col("distance"), F.col("ref_sd")))
     )
     if with_stats:
-        out = out.join(side_statistics(df, features, keys=keys, batch=batch), who, "left")
+        out = out.join(_side_quartiles(counts, keys, batch), who, "left")
+    else:
+        out = out.drop("ref_mean", "ref_std", "prod_mean", "prod_std")
     return numeric_verdict(out.drop("lo", "hi", "ref_sd", "distance"))
 
 
@@ -410,31 +532,25 @@ def numeric_verdict(scores: DataFrame) -> DataFrame:
     )
 
 
-def side_statistics(df, features, *, keys=(), batch="batch_id") -> DataFrame:
-    """Mean, sample std and quartiles of both sides, prefixed ref_ and prod_."""
-    keys = list(keys)
-    side = df.withColumn("_batch", F.when(~F.col(REF), F.col(batch)))
-    # exact_quantiles needs non-null keys, so the reference gets its own pass
-    ref, prod = _sides(side)
+def _side_quartiles(counts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """Exact quartiles of both sides, prefixed ref_ and prod_."""
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    ref, prod = _sides(add_feature_bucket(counts, counts))
+    feature = [*keys, "feature"]
+    r = quantiles_of_counts(ref.select(*feature, "value", "n", BUCKET), feature, quartiles)
+    p = quantiles_of_counts(prod.withColumnRenamed("_batch", batch).select(*feature, batch, "value", "n", BUCKET), [*feature, batch], quartiles)
+    return p.select(*feature, batch, *[F.col(q).alias(f"prod_{q}") for q in quartiles]).join(
+        r.select(*feature, *[F.col(q).alias(f"ref_{q}") for q in quartiles]), feature
+    )
 
-    def stats(rows: DataFrame, group: list[str], prefix: str) -> DataFrame:
-        moments = (
-            rows.groupBy(*group)
-            .agg(
-                *[
-                    F.struct(F.avg(clean(f)).alias("mean"), F.stddev_samp(clean(f)).alias("std")).alias(f)
-                    for f in features
-                ]
-            )
-            .unpivot(group, list(features), "feature", "_m")
-        )
-        out = moments.join(exact_quantiles(rows, features, group, quartiles), [*group, "feature"])
-        named = {"mean": F.col("_m.mean"), "std": F.col("_m.std"), **{q: F.col(q) for q in quartiles}}
-        return out.select(*group, "feature", *[c.alias(f"{prefix}{k}") for k, c in named.items()])
 
-    ref_side = stats(ref, keys, "ref_") if keys else stats(ref.withColumn("_all", F.lit(1)), ["_all"], "ref_").drop("_all")
-    return stats(prod, [*keys, batch], "prod_").join(ref_side, [*keys, "feature"])
+def side_statistics(df, features, *, keys=(), batch="batch_id") -> DataFrame:
+    """Mean, sample std and quartiles of both sides, prefixed ref_ and prod_."""
+    keys = list(keys)
+    who = [*keys, batch, "feature"]
+    counts = batch_counts(df, features, keys, batch)
+    moments = ranges_of_counts(counts, keys, batch).select(*who, "ref_mean", "ref_std", "prod_mean", "prod_std")
+    return moments.join(_side_quartiles(counts, keys, batch), who)
 
 
 # Categorical features -------------------------------------------------------
@@ -631,15 +747,14 @@ def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     keys = list(keys)
     rows = df.select(*keys, batch, REF, F.col(score).alias("prediction_score"))
     who = [*keys, batch, "feature"]
-    features = ["prediction_score"]
-    cells = histograms(rows, features, sorted({T.PSI_BINS, T.JSD_BINS}), keys=keys, batch=batch)
-    shape = cells.groupBy(*who).agg(
-        F.sum(F.when(F.col("n_bins") == T.PSI_BINS, psi_term())).alias("psi"),
-        F.sqrt(
-            F.greatest(F.lit(0.0), F.sum(F.when(F.col("n_bins") == T.JSD_BINS, divergence_term(F.col("n_bins")))))
-        ).alias("jsd"),
+    counts = batch_counts(rows, ["prediction_score"], keys, batch)
+    ranges = stage(ranges_of_counts(counts, keys, batch), "ranges")
+    points = _shares_at(_ranked(counts, keys), ranges, keys, batch).filter(~F.col(REF))
+    distance = points.groupBy(*who).agg(
+        _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
     )
-    out = shape.join(ks(rows, features, keys=keys, batch=batch), who)
+    out = _shape_scores(_cells_of_counts(counts, ranges, keys, batch), who).join(distance, who)
+    out = out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
     severity = psi_severity(F.col("psi"))
     return out.withColumns(
         {

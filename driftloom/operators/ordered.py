@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.stage import stage
+
 BUCKET = "_bucket"
 MAX_BUCKETS = 1024
 
@@ -46,18 +48,21 @@ def bounds_of(df: DataFrame, order: Column, n: int) -> Column:
     return df.agg(_sketch(order.cast("double"), n)).scalar()
 
 
-def bounds_by_feature(df: DataFrame, features: Sequence[str], n: int) -> Column:
-    """Scalar subquery: map feature -> cut points, from one pass over wide rows.
+def bounds_by_feature(counts: DataFrame, n: int) -> Column:
+    """Scalar subquery: map feature -> cut points of its distinct-value rows.
 
-    The map has one entry per column of the table, so its size is known
-    before the query runs.
+    The rows are what the windows will sort, so the cuts balance exactly them.
+    The map has one entry per column of the table, so its size is known before
+    the query runs.
     """
-    return df.agg(
-        F.map_from_arrays(
-            F.array(*[F.lit(f) for f in features]),
-            F.array(*[F.coalesce(_sketch(clean(f), n), F.array().cast("array<double>")) for f in features]),
-        )
-    ).scalar()
+    per_feature = counts.groupBy("feature").agg(_sketch(F.col("value"), n).alias("cuts"))
+    return per_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts")))).scalar()
+
+
+def add_feature_bucket(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Bucket (feature, value) rows by the cut points of ``counts``."""
+    n = bucket_count(rows.sparkSession)
+    return add_bucket(rows, F.col("value"), F.element_at(bounds_by_feature(counts, n), F.col("feature")), n)
 
 
 def _search(df: DataFrame, value: Column, bounds: str, n: int, out: str) -> DataFrame:
@@ -190,8 +195,12 @@ def chunked(df: DataFrame, position: str, size: int, halo: int) -> DataFrame:
 
 
 def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Distinct values with their counts ``n``: the small form of a group of rows."""
-    return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    """Distinct values with their counts ``n``, staged.
+
+    Ordered operators read the counts several times; staging them keeps the
+    table itself to a single scan.
+    """
+    return stage(long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
 def order_statistics(
@@ -228,21 +237,18 @@ def quantiles_of_counts(
 
 def bucketed_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Counts of the distinct values of one column per key, with their bucket."""
-    n = bucket_count(df.sparkSession)
     rows = df.select(*keys, clean(value).alias("value")).filter(F.col("value").isNotNull())
-    return add_bucket(value_counts(rows, keys), F.col("value"), bounds_of(rows, F.col("value"), n), n)
+    counts = value_counts(rows, keys)
+    n = bucket_count(df.sparkSession)
+    return add_bucket(counts, F.col("value"), bounds_of(counts, F.col("value"), n), n)
 
 
 def exact_quantiles(
     df: DataFrame, features: Sequence[str], keys: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
     """Quantiles of several numeric columns at once, one row per (keys, feature)."""
-    n = bucket_count(df.sparkSession)
     counts = value_counts(melt(df, features, keys), [*keys, "feature"])
-    counts = add_bucket(
-        counts, F.col("value"), F.element_at(bounds_by_feature(df, features, n), F.col("feature")), n
-    )
-    return quantiles_of_counts(counts, [*keys, "feature"], probs)
+    return quantiles_of_counts(add_feature_bucket(counts, counts), [*keys, "feature"], probs)
 
 
 def melt(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

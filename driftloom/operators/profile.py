@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import ratio
 from driftloom.operators.ordered import (
-    add_bucket,
-    bounds_by_feature,
-    bucket_count,
+    add_feature_bucket,
     bucketed_counts,
     clean,
     exact_quantiles,
@@ -25,11 +23,8 @@ from driftloom.operators.ordered import (
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
 
-def feature_stats(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample std, min, max and exact quartiles per (keys, feature)."""
-    group = list(keys) or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(1))
-    moments = (
+def _moments(rows: DataFrame, features: Sequence[str], group: Sequence[str]) -> DataFrame:
+    return (
         rows.groupBy(*group)
         .agg(
             *[
@@ -43,11 +38,17 @@ def feature_stats(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
                 for f in features
             ]
         )
-        .unpivot(group, list(features), "feature", "_m")
+        .unpivot(list(group), list(features), "feature", "_m")
         .select(*group, "feature", "_m.*")
     )
+
+
+def feature_stats(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, sample std, min, max and exact quartiles per (keys, feature)."""
+    group = list(keys) or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(1))
     quartiles = exact_quantiles(rows, features, group, QUARTILES).drop("n_values")
-    out = moments.join(quartiles, [*group, "feature"], "left")
+    out = _moments(rows, features, group).join(quartiles, [*group, "feature"], "left")
     return out if keys else out.drop("_all")
 
 
@@ -84,15 +85,14 @@ def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], t
         ]
     ).unpivot([], columns, "column_name", "_s").select("column_name", "_s.null_count")
 
-    n = bucket_count(df.sparkSession)
-    counts = add_bucket(
-        value_counts(melt(df, numeric, []), ["feature"]),
-        F.col("value"), F.element_at(bounds_by_feature(df, numeric, n), F.col("feature")), n,
-    )
+    counts = value_counts(melt(df, numeric, []), ["feature"])
     distinct = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"))
+    quartiles = quantiles_of_counts(add_feature_bucket(counts, counts), ["feature"], QUARTILES).drop("n_values")
     stats = (
-        feature_stats(df, numeric).join(distinct, "feature", "left")
-        .withColumnRenamed("feature", "column_name").drop("n")
+        _moments(df.withColumn("_all", F.lit(1)), numeric, ["_all"])
+        .join(distinct, "feature", "left")
+        .join(quartiles, "feature", "left")
+        .withColumnRenamed("feature", "column_name").drop("n", "_all")
     )
     from driftloom.operators.drift import melt_text
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import ratio
 from driftloom.operators.ordered import add_bucket, bounds_of, bucket_count, clean, running_sums
+from driftloom.sources.stage import stage
 
 
 def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
@@ -21,8 +22,9 @@ def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) ->
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"),
     )
+    counts = stage(counts, "score-counts")
     n = bucket_count(df.sparkSession)
-    return add_bucket(counts, F.col("_s"), bounds_of(rows, F.col("_s"), n), n)
+    return add_bucket(counts, F.col("_s"), bounds_of(counts, F.col("_s"), n), n)
 
 
 def _f1(precision: Column, recall: Column) -> Column:
