@@ -22,6 +22,8 @@ from driftloom.operators.ordered import (
     add_feature_bucket,
     bucket_count,
     clean,
+    cuts_of_row,
+    feature_cuts,
     melt,
     quantiles_of_counts,
     running_sums,
@@ -109,7 +111,7 @@ def _limits(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch:
     per_batch = ranges.groupBy(*keys, batch).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("_m")
     )
-    per_batch = stage(per_batch.select(*keys, batch, *[F.col("_m")[f].alias(f"_l_{f}") for f in features]), "limits")
+    per_batch = per_batch.select(*keys, batch, *[F.col("_m")[f].alias(f"_l_{f}") for f in features])
     _, prod = _sides(df)
     sides = [F.struct(clean(f).alias("x"), F.col(f"_l_{f}.lo"), F.col(f"_l_{f}.hi")).alias(f) for f in features]
     return (
@@ -135,11 +137,12 @@ def histograms(
     ranges = side_ranges(df, features, keys, batch)
     ref, _ = _sides(df)
     ref_counts = value_counts(melt(ref, features, keys), [*keys, "feature"])
-    return _histograms(ranges, _limits(df, features, keys, batch, ranges), ref_counts, n_bins, keys, batch)
+    points = _limits(df, features, keys, batch, ranges)
+    return _histograms(ranges, points, ref_counts, feature_cuts(ref_counts), n_bins, keys, batch)
 
 
 def _histograms(
-    ranges: DataFrame, points: DataFrame, ref_counts: DataFrame, n_bins: Sequence[int], keys: Sequence[str], batch: str
+    ranges: DataFrame, points: DataFrame, ref_counts: DataFrame, cuts: DataFrame, n_bins: Sequence[int], keys: Sequence[str], batch: str
 ) -> DataFrame:
     """Bins from batch points (x, lo, hi, n) and from the ranks of the inner edges in the reference."""
     who = [*keys, batch, "feature"]
@@ -157,7 +160,7 @@ def _histograms(
         F.lit(0).cast("long").alias("n"),
     )
     rows = ref_counts.select(*keys, "feature", "value", "n").unionByName(probes, allowMissingColumns=True)
-    rows = add_feature_bucket(rows, ref_counts)
+    rows = add_feature_bucket(rows, cuts)
     at = Window.partitionBy(*keys, "feature", BUCKET, "value")
     ranked = (
         running_sums(rows, [*keys, "feature"], ["value"], ["n"])
@@ -218,53 +221,60 @@ def jensen_shannon(df, features, n_bins=T.JSD_BINS, *, keys=(), batch="batch_id"
     )
 
 
-def batch_counts(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
-    """Staged counts of the distinct values of every batch and of the reference (NULL ``_batch``).
+def batch_counts(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str
+) -> tuple[DataFrame, DataFrame]:
+    """Bucketed counts of the distinct values of every batch and of the reference (NULL ``_batch``), and the cuts.
 
-    This is the only scan of the rows; all ordered statistics read the counts.
+    This is the only scan of the rows; all ordered statistics read the staged counts.
     """
     side = df.withColumn("_batch", F.when(~F.col(REF), F.col(batch)))
     long = melt(side, features, [*keys, REF, "_batch"])
-    return value_counts(long, [*keys, "feature", REF, "_batch"])
+    counts = value_counts(long, [*keys, "feature", REF, "_batch"])
+    cuts = feature_cuts(counts)
+    return add_feature_bucket(counts, cuts), cuts
 
 
-def ranges_of_counts(counts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """``side_ranges`` computed from counts, with mean and sample std of both sides."""
-    x, n = F.col("value"), F.col("n")
+def ranges_of_counts(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """``side_ranges`` computed from counts, with mean and sample std of both sides; staged.
+
+    Squares are taken around the feature's middle cut point, which keeps the
+    one-pass variance exact enough; a constant side has std 0.
+    """
+    n = F.col("n")
+    middle = F.get(cuts_of_row(cuts), F.lit(bucket_count(counts.sparkSession) // 2 - 1))
+    rows = counts.withColumn("_d", F.col("value") - middle)
+    d = F.col("_d")
     group = [*keys, "feature", REF, "_batch"]
-    sums = counts.groupBy(*group).agg(
-        F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(n).alias("n"), (F.sum(n * x) / F.sum(n)).alias("mean")
-    )
-    sums = stage(sums, "ranges")
-    ref, prod = _sides(sums)
-    ref = ref.select(*keys, "feature", *[F.col(c).alias(f"ref_{c}") for c in ("lo", "hi", "n", "mean")])
-    gaps = counts.join(
-        sums.select(*[F.col(c).alias(f"_k_{c}") for c in group], F.col("mean").alias("_mean")),
-        F.expr(" and ".join(f"{c} <=> _k_{c}" for c in group)),
-    )
-    spread = gaps.groupBy(*group).agg(F.sum(n * F.pow(x - F.col("_mean"), 2)).alias("_sq"))
-    spread = stage(spread, "spread")
-    ref_spread, prod_spread = _sides(spread)
-    ref = ref.join(ref_spread.select(*keys, "feature", F.col("_sq").alias("_ref_sq")), [*keys, "feature"])
-    who = [*keys, batch, "feature"]
-    prod = prod.select(*keys, F.col("_batch").alias(batch), "feature", "lo", "hi", "n", "mean")
-    prod = prod.join(prod_spread.select(*keys, F.col("_batch").alias(batch), "feature", "_sq"), who)
+    sums = rows.groupBy(*group).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(n).alias("n"), F.sum(n * F.col("value")).alias("sum"),
+        F.sum(n * d).alias("_s1"), F.sum(n * d * d).alias("_s2"),
+    )
+    squares = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(
+        F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * F.col("_s1") / n)
+    )
+    sums = sums.select(*group, "lo", "hi", "n", (F.col("sum") / n).alias("mean"), squares.alias("sq"))
+    ref, prod = _sides(stage(sums, "ranges"))
+    ref = ref.select(*keys, "feature", *[F.col(c).alias(f"ref_{c}") for c in ("lo", "hi", "n", "mean", "sq")])
+    prod = prod.select(*keys, F.col("_batch").alias(batch), "feature", "lo", "hi", "n", "mean", "sq")
 
-    def sample_std(sq: str, size: str) -> Column:
-        size = F.col(size)
-        return F.when(size > 1, F.sqrt(F.col(sq) / F.when(size > 1, size - 1)))
+    def sample_std(sq: str, rows: str) -> Column:
+        rows = F.col(rows)
+        return F.when(rows > 1, F.sqrt(F.col(sq) / F.when(rows > 1, rows - 1)))
 
     return prod.join(ref, [*keys, "feature"]).select(
-        *who,
+        *keys,
+        batch,
+        "feature",
         F.least("lo", "ref_lo").alias("lo"),
         F.greatest("hi", "ref_hi").alias("hi"),
         F.col("ref_n").alias("n_ref"),
         F.col("n").alias("n_prod"),
-        F.sqrt(F.col("_ref_sq") / F.col("ref_n")).alias("ref_sd"),
+        F.sqrt(F.col("ref_sq") / F.col("ref_n")).alias("ref_sd"),
         "ref_mean",
-        sample_std("_ref_sq", "ref_n").alias("ref_std"),
+        sample_std("ref_sq", "ref_n").alias("ref_std"),
         F.col("mean").alias("prod_mean"),
-        sample_std("_sq", "n").alias("prod_std"),
+        sample_std("sq", "n").alias("prod_std"),
     )
 
 
@@ -278,7 +288,7 @@ def _ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     feature = [*keys, "feature"]
     is_ref = F.col(REF)
-    rows = add_feature_bucket(counts, counts).withColumns(
+    rows = counts.withColumns(
         {
             "r": F.when(is_ref, F.col("n")).otherwise(F.lit(0).cast("long")),
             "s": F.when(is_ref, F.col("n") * F.col("value")).otherwise(F.lit(0.0)),
@@ -322,7 +332,7 @@ def _shares_at(ranked: DataFrame, ranges: DataFrame, keys: Sequence[str], batch:
     sizes = ranges.select(*feature, F.col(batch).alias("_k"), "n_ref", "n_prod")
     ref_sizes = ranges.groupBy(*feature).agg(F.max("n_ref").alias("n_ref"))
     both = sizes.unionByName(ref_sizes, allowMissingColumns=True)
-    both = stage(both.withColumnsRenamed({c: f"_s_{c}" for c in feature}), "sizes")
+    both = both.withColumnsRenamed({c: f"_s_{c}" for c in feature})
     same = F.expr(" and ".join([*[f"{c} = _s_{c}" for c in feature], "_batch <=> _k"]))
     return ranked.join(both, same).select(
         *keys,
@@ -353,8 +363,9 @@ def ks(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     share only grows, so the largest gap lies at a batch point or just below it.
     """
     keys = list(keys)
-    counts = batch_counts(df, features, keys, batch)
-    points = _shares_at(_ranked(counts, keys), ranges_of_counts(counts, keys, batch), keys, batch).filter(~F.col(REF))
+    counts, cuts = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_counts(counts, cuts, keys, batch)
+    points = _shares_at(_ranked(counts, keys), ranges, keys, batch).filter(~F.col(REF))
     out = points.groupBy(*keys, batch, "feature").agg(
         _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
     )
@@ -407,7 +418,7 @@ def _distances(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch:
     # the first reference point of each bucket serves the probes at the end of the bucket before
     ref_counts = counts.filter(F.col(REF))
     ref_rows = running_sums(
-        add_feature_bucket(ref_counts, counts).withColumn("s", F.col("n") * F.col("value")), feature, ["value"], ["n", "s"], totals=True
+        ref_counts.withColumn("s", F.col("n") * F.col("value")), feature, ["value"], ["n", "s"], totals=True
     )
     firsts = (
         ref_rows.select(
@@ -445,8 +456,8 @@ def wasserstein(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Wasserstein-1 distance over the reference's population std (0 if that is 0)."""
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts = batch_counts(df, features, keys, batch)
-    ranges = ranges_of_counts(counts, keys, batch)
+    counts, cuts = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_counts(counts, cuts, keys, batch)
     out = _distances(counts, ranges, keys, batch).join(ranges, who)
     return out.select(*who, _normalised(F.col("distance"), F.col("ref_sd")).alias("wasserstein"))
 
@@ -460,15 +471,15 @@ def _shape_scores(cells: DataFrame, who: Sequence[str]) -> DataFrame:
     )
 
 
-def _cells_of_counts(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+def _cells_of_counts(counts: DataFrame, cuts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
     who = [*keys, batch, "feature"]
     ref, prod = _sides(counts)
     points = (
         prod.withColumnRenamed("_batch", batch)
-        .join(stage(ranges.select(*who, "lo", "hi"), "limits"), who)
+        .join(ranges.select(*who, "lo", "hi"), who)
         .select(*who, F.col("value").alias("x"), "lo", "hi", "n")
     )
-    return _histograms(ranges, points, ref.select(*keys, "feature", "value", "n"), sorted({T.PSI_BINS, T.JSD_BINS}), keys, batch)
+    return _histograms(ranges, points, ref, cuts, sorted({T.PSI_BINS, T.JSD_BINS}), keys, batch)
 
 
 def _all_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
@@ -485,12 +496,12 @@ def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool =
     """
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts = batch_counts(df, features, keys, batch)
-    ranges = stage(ranges_of_counts(counts, keys, batch), "ranges")
+    counts, cuts = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_counts(counts, cuts, keys, batch)
     out = (
         _all_batches(df, features, keys, batch)
         .join(ranges, who, "left")
-        .join(_shape_scores(_cells_of_counts(counts, ranges, keys, batch), who), who, "left")
+        .join(_shape_scores(_cells_of_counts(counts, cuts, ranges, keys, batch), who), who, "left")
         .join(_distances(counts, ranges, keys, batch), who, "left")
         .withColumn("n_prod", F.coalesce("n_prod", F.lit(0).cast("long")))
         .withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
@@ -535,7 +546,7 @@ def numeric_verdict(scores: DataFrame) -> DataFrame:
 def _side_quartiles(counts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
     """Exact quartiles of both sides, prefixed ref_ and prod_."""
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    ref, prod = _sides(add_feature_bucket(counts, counts))
+    ref, prod = _sides(counts)
     feature = [*keys, "feature"]
     r = quantiles_of_counts(ref.select(*feature, "value", "n", BUCKET), feature, quartiles)
     p = quantiles_of_counts(prod.withColumnRenamed("_batch", batch).select(*feature, batch, "value", "n", BUCKET), [*feature, batch], quartiles)
@@ -548,8 +559,8 @@ def side_statistics(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Mean, sample std and quartiles of both sides, prefixed ref_ and prod_."""
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts = batch_counts(df, features, keys, batch)
-    moments = ranges_of_counts(counts, keys, batch).select(*who, "ref_mean", "ref_std", "prod_mean", "prod_std")
+    counts, cuts = batch_counts(df, features, keys, batch)
+    moments = ranges_of_counts(counts, cuts, keys, batch).select(*who, "ref_mean", "ref_std", "prod_mean", "prod_std")
     return moments.join(_side_quartiles(counts, keys, batch), who)
 
 
@@ -747,13 +758,13 @@ def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     keys = list(keys)
     rows = df.select(*keys, batch, REF, F.col(score).alias("prediction_score"))
     who = [*keys, batch, "feature"]
-    counts = batch_counts(rows, ["prediction_score"], keys, batch)
-    ranges = stage(ranges_of_counts(counts, keys, batch), "ranges")
+    counts, cuts = batch_counts(rows, ["prediction_score"], keys, batch)
+    ranges = ranges_of_counts(counts, cuts, keys, batch)
     points = _shares_at(_ranked(counts, keys), ranges, keys, batch).filter(~F.col(REF))
     distance = points.groupBy(*who).agg(
         _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
     )
-    out = _shape_scores(_cells_of_counts(counts, ranges, keys, batch), who).join(distance, who)
+    out = _shape_scores(_cells_of_counts(counts, cuts, ranges, keys, batch), who).join(distance, who)
     out = out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
     severity = psi_severity(F.col("psi"))
     return out.withColumns(

@@ -48,21 +48,25 @@ def bounds_of(df: DataFrame, order: Column, n: int) -> Column:
     return df.agg(_sketch(order.cast("double"), n)).scalar()
 
 
-def bounds_by_feature(counts: DataFrame, n: int) -> Column:
-    """Scalar subquery: map feature -> cut points of its distinct-value rows.
+def feature_cuts(counts: DataFrame) -> DataFrame:
+    """Cut points of every feature's distinct-value rows: (feature, cuts), staged.
 
     The rows are what the windows will sort, so the cuts balance exactly them.
-    The map has one entry per column of the table, so its size is known before
-    the query runs.
+    One row per column of the table, so the size is known before the query runs.
     """
-    per_feature = counts.groupBy("feature").agg(_sketch(F.col("value"), n).alias("cuts"))
-    return per_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts")))).scalar()
+    n = bucket_count(counts.sparkSession)
+    return stage(counts.groupBy("feature").agg(_sketch(F.col("value"), n).alias("cuts")), "cuts")
 
 
-def add_feature_bucket(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Bucket (feature, value) rows by the cut points of ``counts``."""
-    n = bucket_count(rows.sparkSession)
-    return add_bucket(rows, F.col("value"), F.element_at(bounds_by_feature(counts, n), F.col("feature")), n)
+def cuts_of_row(cuts: DataFrame) -> Column:
+    """The cut points of the row's feature."""
+    table = cuts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts")))).scalar()
+    return F.element_at(table, F.col("feature"))
+
+
+def add_feature_bucket(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Bucket (feature, value) rows by the cut points of their feature."""
+    return add_bucket(rows, F.col("value"), cuts_of_row(cuts), bucket_count(rows.sparkSession))
 
 
 def _search(df: DataFrame, value: Column, bounds: str, n: int, out: str) -> DataFrame:
@@ -248,7 +252,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Quantiles of several numeric columns at once, one row per (keys, feature)."""
     counts = value_counts(melt(df, features, keys), [*keys, "feature"])
-    return quantiles_of_counts(add_feature_bucket(counts, counts), [*keys, "feature"], probs)
+    return quantiles_of_counts(add_feature_bucket(counts, feature_cuts(counts)), [*keys, "feature"], probs)
 
 
 def melt(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from driftloom.operators.ordered import (
     bucketed_counts,
     clean,
     exact_quantiles,
+    feature_cuts,
     melt,
     order_statistics,
     quantiles_of_counts,
@@ -87,7 +88,7 @@ def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], t
 
     counts = value_counts(melt(df, numeric, []), ["feature"])
     distinct = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"))
-    quartiles = quantiles_of_counts(add_feature_bucket(counts, counts), ["feature"], QUARTILES).drop("n_values")
+    quartiles = quantiles_of_counts(add_feature_bucket(counts, feature_cuts(counts)), ["feature"], QUARTILES).drop("n_values")
     stats = (
         _moments(df.withColumn("_all", F.lit(1)), numeric, ["_all"])
         .join(distinct, "feature", "left")

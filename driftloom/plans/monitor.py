@@ -31,7 +31,7 @@ def monitor(
     """Drift, quality, retraining trigger and cost per (keys, batch).
 
     ``rows`` hold reference and batches.  The verdicts are one row per batch
-    and feature; they are staged, as the summary and the details both use them.
+    and feature, the summary one row per batch; both are staged for their readers.
     The baseline AUC defaults to the model's own AUC on the reference.
     """
     keys = list(keys)
@@ -55,7 +55,7 @@ def monitor(
         joined = joined.withColumn("baseline_auc", F.lit(baseline))
     history = joined if keys else joined.withColumn("_one", F.lit(1))
     decided = W.retrain_triggers(history, keys=keys or ["_one"], order=batch)
-    summary = B.monthly_loss(decided, baseline=F.col("baseline_auc")).drop("_one")
+    summary = stage(B.monthly_loss(decided, baseline=F.col("baseline_auc")).drop("_one"), "summary")
     prediction = D.prediction_drift(rows, score, keys=keys, batch=batch)
     return MonitoringRun(details, prediction, summary)
 
