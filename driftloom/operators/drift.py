@@ -410,10 +410,11 @@ def _distances(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch:
         F.col("f").alias("p"), F.lit(None).cast("double").alias("weight"), no_gap.alias("gap"), no_gap.alias("constant"),
         F.struct(F.col("f").alias("p"), F.col("iq"), F.col("value").alias("x")).alias("point"),
     )
-    rows = points.select(
-        *keys, batch, "feature",
-        F.inline(F.when(F.col(REF), F.array(ref_point)).otherwise(F.filter(probes, lambda q: q["weight"] != 0))),
-    ).withColumn(BUCKET, p_bucket)
+    rows = (
+        points.select(*keys, batch, "feature", F.inline(F.when(F.col(REF), F.array(ref_point)).otherwise(probes)))
+        .filter("weight is null or weight <> 0 or gap is not null")
+        .withColumn(BUCKET, p_bucket)
+    )
 
     # the first reference point of each bucket serves the probes at the end of the bucket before
     ref_counts = counts.filter(F.col(REF))

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from driftloom.sources.stage import stage
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """A power of two that follows the session's shuffle width."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A power of two, at least four times the session's shuffle width where the cap allows.
+
+    Several buckets per task even out how the groups hash to tasks.
+    """
+    width = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(MAX_BUCKETS, 1 << max(3, (width - 1).bit_length()))
 
 

@@ -117,6 +117,15 @@ cj as (select batch_id, feature, sqrt(greatest(0, sum((case when r > 0 then r *
       + case when p > 0 then p * ln(p / ((r + p) / 2)) else 0 end) / 2))) as jsd from merged group by all)"""
 
 
+# 5 % points of the chi-square law; p < 0.05 exactly when the statistic exceeds them.
+CRITICAL = """crit(dof, lim) as (values (1, 3.841458820694124::double), (2, 5.991464547107979::double), (3, 7.814727903251179::double),
+    (4, 9.487729036781154::double), (5, 11.070497693516351::double))"""
+
+CAT_VERDICT = f"""{CRITICAL}, cv as (select batch_id, feature, chi2, jsd, chi2 > lim as is_drifted,
+    case when chi2 > lim and jsd > 0.10 then 'critical' when chi2 > lim then 'warning' else 'none' end as severity
+  from chi join cj using (batch_id, feature) join crit on dof = k - 1)"""
+
+
 def cat_sql(src: str, base: tuple[str, ...], cols: str) -> str:
     return f"with {X.ctes(*base)}, {CAT_LONG.format(src=src, cols=cols)}\n"
 
@@ -208,6 +217,18 @@ ORACLE = {
     "D7_wide_domain_jsd": cat_sql("f1", ("f1",), "l_suppkey, l_partkey")
     + "select batch_id, feature, round(chi2, 6) as chi2, k - 1 as dof, round(jsd, 6) as jsd from chi join cj using (batch_id, feature)",
     "D8_numeric_verdict": verdict_sql("f1s", _S),
+    "D9_categorical_verdict": cat_sql("f2", ("f1", "f2"), _COLS).rstrip() + f""", {CAT_VERDICT},
+      n as (select batch_id, feature, is_reference, category, count(*) as n from cl group by all),
+      t as (select batch_id, feature, is_reference, sum(n)::bigint as n, arg_min(category, (-n, category)) as top, count(*) as k from n group by all)
+      select cv.batch_id, feature, round(chi2, 6) as score, severity, is_drifted, r.n as n_ref, p.n as n_prod, r.top as ref_top_category,
+        p.top as prod_top_category, r.k as ref_categories, p.k as prod_categories
+      from cv join (select * from t where not is_reference) p using (batch_id, feature) join (select * exclude (batch_id) from t where is_reference) r using (feature)""",
+    "D11_batch_report": _with("f2", ("f1", "f2"), *NUMERIC_PARTS) + ", " + CAT_LONG.format(src="f2", cols=_COLS) + f""", {CAT_VERDICT},
+      d as (select batch_id, feature, score, severity, true as num from verdict union all select batch_id, feature, chi2, severity, false from cv)
+      select batch_id, round(avg(score), 6) as overall_drift_score, round(avg(score) filter (num), 6) as mean_psi, count(*) as n_features,
+        count(*) filter (severity <> 'none') as n_drifted_features, case when count(*) filter (severity = 'critical') > 0
+          or count(*) filter (severity <> 'none') > count(*) * 0.3 then 'critical' when count(*) filter (severity <> 'none') > 0 then 'warning' else 'none' end as overall_severity,
+        coalesce(string_agg(feature, ',' order by feature) filter (severity <> 'none'), '') as drifted_features from d group by all""",
     "D10_prediction_drift": "with " + ",\n".join([
         X.ctes("f1", "f3"),
         "long as (select batch_id, is_reference, 'prediction_score' as feature, score_b as value from f3)",

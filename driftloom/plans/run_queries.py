@@ -13,7 +13,7 @@ from driftloom.operators import splits
 from driftloom.operators import windows as W
 from driftloom.operators.ordered import rank_values
 from driftloom.plans import fixtures as X
-from driftloom.plans.drift_queries import NUMERIC_PARTS, PAIRS, SEVERITY, _with
+from driftloom.plans.drift_queries import CAT_LONG, CAT_VERDICT, NUMERIC_PARTS, PAIRS, SEVERITY, _with
 from driftloom.plans.fixtures import rounded, table
 from driftloom.plans.history_queries import ORDER, SEQ, TELEMETRY_SQL, _windows, telemetry
 from driftloom.plans.monitor import battery_monitor, monitor
@@ -46,7 +46,7 @@ def _summary(s, d):
     return rounded(
         _run(s, d).summary.select(
             "batch_id", "n_samples", "auc_roc", "f1_score", "precision_val", "recall_val", "brier_score", "overall_drift_score",
-            "overall_severity", "n_drifted_features", "retrain_triggered", "retrain_reason", "baseline_auc", "auc_drop",
+            "overall_severity", "n_drifted_features", "retrain_triggered", "baseline_auc", "auc_drop",
             "missed_churners", "total_monthly_loss", "total_annual_loss", "roi_status",
         )
     )
@@ -342,13 +342,29 @@ _SS = """ss as (select *, (l_extendedprice / (1 + 0.1::double * (batch_id - 1995
 
 _WIN = "window w as (partition by model_id order by ts, event_id)"
 
+SUMMARY_SQL = """, j as (select 1 as model_id, *, coalesce(2 * precision_val * recall_val / nullif(precision_val + recall_val, 0), 0) as f1_score,
+      case when nc > 0 or nd > nf * 0.3 then 'critical' when nd > 0 then 'warning' else 'none' end as drift_severity from met join rep using (batch_id)),
+    bm as (select * from j), """ + TRIGGER_SQL + ", raw as (select *, rule is not null as raised from rule), " + COOLDOWN_SQL
+
 ORACLE = {
+    "B5_batch_summary": _with("f1s", ("f1", "f1s"), *NUMERIC_PARTS, CAT_LONG.format(src="f1s", cols="l_returnflag, l_linestatus"), CAT_VERDICT, _SS,
+                              METRIC_CTE.format(k="batch_id", s="score", src="prod", t=0.5)).replace("with ", "with recursive ", 1)
+    + """, b0 as (select score, sum(y)::double as pos, sum(1 - y)::double as neg from ss where is_reference group by all),
+    b1 as (select *, sum(neg) over (order by score) - neg as below, sum(pos) over () as pp, sum(neg) over () as nn from b0),
+    base as (select sum(pos * (below + neg / 2)) / (max(pp) * max(nn)) as b from b1),
+    dd as (select batch_id, score, severity from verdict union all select batch_id, chi2, severity from cv),
+    rep as (select batch_id, avg(score) as overall_drift_score, count(*) filter (severity <> 'none') as nd, count(*) filter (severity = 'critical') as nc, count(*) as nf
+      from dd group by all)""" + SUMMARY_SQL + """,
+    o as (select *, greatest(0::double, b - auc_roc) as auc_drop from raw join (select model_id, r, fired from st) using (model_id, r), base),
+    q as (select *, floor(500 * least(auc_drop * 1.8::double, 0.8::double))::bigint as missed_churners from o),
+    z as (select *, missed_churners * 0.3::double * 3600 + floor(500 * least(auc_drop * 1.5::double, 0.5::double) * 0.7::double) * 50 as loss from q)
+    select batch_id, n_samples, round(auc_roc, 6) as auc_roc, round(f1_score, 6) as f1_score, round(precision_val, 6) as precision_val, round(recall_val, 6) as recall_val,
+      round(brier_score, 6) as brier_score, round(overall_drift_score, 6) as overall_drift_score, drift_severity as overall_severity, nd as n_drifted_features,
+      fired as retrain_triggered, round(b, 6) as baseline_auc, round(auc_drop, 6) as auc_drop, missed_churners, round(loss, 6) as total_monthly_loss,
+      round(loss * 12, 6) as total_annual_loss, case when auc_drop = 0 then 'healthy' when auc_drop < 0.07 then 'warning' else 'critical' end as roi_status from z""",
     "B5_numeric_summary": _with("f1s", ("f1", "f1s"), *NUMERIC_PARTS, _SS, METRIC_CTE.format(k="batch_id", s="score", src="prod", t=0.5)).replace("with ", "with recursive ", 1)
     + """, rep as (select batch_id, avg(score) as overall_drift_score, count(*) filter (severity <> 'none') as nd, count(*) filter (severity = 'critical') as nc, count(*) as nf
-      from verdict group by all),
-    j as (select 1 as model_id, *, coalesce(2 * precision_val * recall_val / nullif(precision_val + recall_val, 0), 0) as f1_score,
-      case when nc > 0 or nd > nf * 0.3 then 'critical' when nd > 0 then 'warning' else 'none' end as drift_severity from met join rep using (batch_id)),
-    bm as (select * from j), """ + TRIGGER_SQL + ", raw as (select *, rule is not null as raised from rule), " + COOLDOWN_SQL + """,
+      from verdict group by all)""" + SUMMARY_SQL + """,
     o as (select *, greatest(0::double, 0.95::double - auc_roc) as auc_drop from raw join (select model_id, r, fired from st) using (model_id, r)),
     q as (select *, floor(500 * least(auc_drop * 1.8::double, 0.8::double))::bigint as missed_churners from o)
     select batch_id, n_samples, round(auc_roc, 6) as auc_roc, round(f1_score, 6) as f1_score, round(overall_drift_score, 6) as overall_drift_score,
