@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import clip
 from driftloom.operators.ordered import BUCKET, add_order_bucket, chunked, rank_values, running_sums
+from driftloom.sources.stage import stage
 
 CHUNK = 256
 
@@ -130,7 +131,8 @@ def apply_cooldown(df: DataFrame, raised: str, *, keys: Sequence[str], position:
 def retrain_triggers(df: DataFrame, *, keys: Sequence[str], order: str = "batch_id", auc: str = "auc_roc", severity: str = "drift_severity") -> DataFrame:
     """Retraining decisions: rules, then the cooldown of three batches."""
     rows = raw_triggers(df, keys=keys, order=order, auc=auc, severity=severity)
-    rows = rows.withColumn("_raised", F.col("rule").isNotNull())
+    # one row per batch of a model, read by the cooldown and by the result
+    rows = stage(rows.withColumn("_raised", F.col("rule").isNotNull()), "triggers")
     out = apply_cooldown(rows, "_raised", keys=keys)
     reason = (
         F.when(

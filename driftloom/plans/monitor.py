@@ -53,7 +53,8 @@ def monitor(
             joined = joined.withColumn("baseline_auc", base.select("baseline_auc").scalar())
     else:
         joined = joined.withColumn("baseline_auc", F.lit(baseline))
-    history = joined if keys else joined.withColumn("_one", F.lit(1))
+    # one row per batch; the ordered rules read their input several times
+    history = stage(joined if keys else joined.withColumn("_one", F.lit(1)), "history")
     decided = W.retrain_triggers(history, keys=keys or ["_one"], order=batch)
     summary = stage(B.monthly_loss(decided, baseline=F.col("baseline_auc")).drop("_one"), "summary")
     prediction = D.prediction_drift(rows, score, keys=keys, batch=batch)
