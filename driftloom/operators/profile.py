@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import ratio
+from driftloom.operators.drift import melt_text, top_category
 from driftloom.operators.ordered import (
     add_feature_bucket,
     bucketed_counts,
@@ -55,8 +57,6 @@ def feature_stats(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
 
 def category_frequencies(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Share of each category among the non-null values of its feature."""
-    from driftloom.operators.drift import melt_text
-
     counts = melt_text(df, features, keys).groupBy(*keys, "feature", "category").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(*keys, "feature").agg(F.sum("n").alias("_size"))
     return counts.join(sizes, [*keys, "feature"]).select(
@@ -73,43 +73,35 @@ def score_summary(df: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFr
     )
 
 
-def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], top: int = 5) -> DataFrame:
-    """One row per column: type, moments, quartiles, nulls, distinct values, top values of text."""
-    types = dict(df.dtypes)
-    columns = [*numeric, *text]
-    nulls = df.agg(
-        *[
-            F.struct(
-                F.count_if(clean(c).isNull() if c in numeric else F.col(c).isNull()).alias("null_count")
-            ).alias(c)
-            for c in columns
-        ]
-    ).unpivot([], columns, "column_name", "_s").select("column_name", "_s.null_count")
-
+def _numeric_profile(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     counts = value_counts(melt(df, numeric, []), ["feature"])
     distinct = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"))
     quartiles = quantiles_of_counts(add_feature_bucket(counts, feature_cuts(counts)), ["feature"], QUARTILES).drop("n_values")
-    stats = (
-        _moments(df.withColumn("_all", F.lit(1)), numeric, ["_all"])
-        .join(distinct, "feature", "left")
-        .join(quartiles, "feature", "left")
-        .withColumnRenamed("feature", "column_name").drop("n", "_all")
-    )
-    from driftloom.operators.drift import melt_text
+    moments = _moments(df.withColumn("_all", F.lit(1)), numeric, ["_all"]).drop("n", "_all")
+    return moments.join(distinct, "feature", "left").join(quartiles, "feature", "left")
 
+
+def _text_profile(df: DataFrame, text: Sequence[str], top: int) -> DataFrame:
     words = melt_text(df, text, []).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("feature").orderBy(F.desc("n"), "category")
-    tops = (
-        words.withColumn("_r", F.row_number().over(best))
-        .filter(F.col("_r") <= top)
-        .groupBy("feature")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "category"))), lambda s: s["category"]).alias("top_values"))
-    )
-    word_stats = (
-        words.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count")).join(tops, "feature")
-        .withColumnRenamed("feature", "column_name")
-    )
-    detail = stats.unionByName(word_stats, allowMissingColumns=True)
+    leading = words.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top)
+    ordered = F.array_sort(F.collect_list(F.struct("_r", "category")))
+    tops = leading.groupBy("feature").agg(F.transform(ordered, lambda s: s["category"]).alias("top_values"))
+    return words.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count")).join(tops, "feature")
+
+
+def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], top: int = 5) -> DataFrame:
+    """One row per column: type, moments, quartiles, nulls, distinct values, top values of text."""
+    types = dict(df.dtypes)
+    columns = [*numeric, *text]
+    missing = {c: (clean(c) if c in numeric else F.col(c)).isNull() for c in columns}
+    nulls = df.agg(*[F.count_if(m).alias(c) for c, m in missing.items()]).unpivot([], columns, "column_name", "null_count")
+    parts = []
+    if numeric:
+        parts.append(_numeric_profile(df, numeric))
+    if text:
+        parts.append(_text_profile(df, text, top))
+    detail = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumnRenamed("feature", "column_name")
     kinds = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
     return (
         nulls.join(detail, "column_name", "left")
@@ -156,8 +148,6 @@ def grouped_rate(df: DataFrame, by: str, target: str) -> DataFrame:
 
 def top_categories(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Most frequent category (first alphabetically on a tie) and number of categories."""
-    from driftloom.operators.drift import melt_text, top_category
-
     counts = melt_text(df, features, keys).groupBy(*keys, "feature", "category").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*keys, "feature").agg(
         top_category("n").alias("top_category"), F.count(F.lit(1)).alias("n_categories")

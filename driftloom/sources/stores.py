@@ -202,7 +202,7 @@ class DatasetCatalogue(_Store):
         snapshot = self.spark.read.parquet(path)
         profile = column_profile(snapshot, numeric, text).withColumn("dataset_id", F.lit(dataset_id))
         self.append("dataset_stats", profile)
-        if target in snapshot.columns if target else False:
+        if target and target in snapshot.columns:
             balance = class_balance(snapshot, target).withColumnRenamed(target, "class")
             self.append("class_balance", balance.withColumn("dataset_id", F.lit(dataset_id)))
         if old is not None:
