@@ -490,8 +490,8 @@ def _all_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], ba
     return prod.select(*keys, batch).distinct().select(*keys, batch, names)
 
 
-def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool = True) -> DataFrame:
-    """PSI, KS, JSD, Wasserstein, verdict and summary statistics per (keys, batch, feature).
+def numeric_scores(df, features, *, keys=(), batch="batch_id", with_stats: bool = False) -> DataFrame:
+    """PSI, KS, JSD and Wasserstein per (keys, batch, feature), with row counts of both sides.
 
     The rows are read once, into counts; every statistic comes from the counts.
     """
@@ -507,12 +507,16 @@ def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool =
         .withColumn("n_prod", F.coalesce("n_prod", F.lit(0).cast("long")))
         .withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
         .withColumn("wasserstein", _normalised(F.col("distance"), F.col("ref_sd")))
+        .drop("lo", "hi", "ref_sd", "distance")
     )
     if with_stats:
-        out = out.join(_side_quartiles(counts, keys, batch), who, "left")
-    else:
-        out = out.drop("ref_mean", "ref_std", "prod_mean", "prod_std")
-    return numeric_verdict(out.drop("lo", "hi", "ref_sd", "distance"))
+        return out.join(_side_quartiles(counts, keys, batch), who, "left")
+    return out.drop("ref_mean", "ref_std", "prod_mean", "prod_std")
+
+
+def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool = True) -> DataFrame:
+    """Scores, verdict and summary statistics of every numeric feature in every batch."""
+    return numeric_verdict(numeric_scores(df, features, keys=keys, batch=batch, with_stats=with_stats))
 
 
 def numeric_verdict(scores: DataFrame) -> DataFrame:
@@ -754,6 +758,11 @@ def categorical_drift(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     )
 
 
+def label_drift(df, target: str, *, keys=(), batch="batch_id") -> DataFrame:
+    """Chi-square and JSD of the target's classes."""
+    return categorical_drift(df, [target], keys=keys, batch=batch)
+
+
 def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     """PSI, KS and JSD of the model's own scores; severity from PSI alone."""
     keys = list(keys)
@@ -767,8 +776,13 @@ def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     )
     out = _shape_scores(_cells_of_counts(counts, cuts, ranges, keys, batch), who).join(distance, who)
     out = out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
+    return prediction_verdict(out)
+
+
+def prediction_verdict(scores: DataFrame) -> DataFrame:
+    """Severity of score drift from PSI alone; without scores there is no row."""
     severity = psi_severity(F.col("psi"))
-    return out.withColumns(
+    return scores.filter(F.col("psi").isNotNull()).withColumns(
         {
             "method": F.lit("PSI+KS"),
             "score": F.col("psi"),

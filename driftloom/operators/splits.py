@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.operators.ordered import BUCKET, bucket_count, bucketed_counts, order_statistics, rank_values, row_numbers
+from driftloom.sources.stage import stage
 
 
 def stratified_split(df: DataFrame, *, key: Sequence[str], strata: str, test_share: float = 0.20, seed: int = 42) -> DataFrame:
@@ -78,8 +79,12 @@ def split_by_value(df: DataFrame, column: str, *, test: Sequence, train: Sequenc
 
 
 def members_of(df: DataFrame, assignment: DataFrame, key: str, part: str) -> DataFrame:
-    """Rows whose key the (key, split) table assigns to ``part``."""
-    return df.join(assignment.filter(F.col("split") == part).select(key), key, "left_semi")
+    """Rows whose key the (key, split) table assigns to ``part``.
+
+    The table has one row per key; staged, its true size decides on a broadcast.
+    """
+    members = stage(assignment.filter(F.col("split") == part).select(key), "members")
+    return df.join(members, key, "left_semi")
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

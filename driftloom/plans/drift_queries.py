@@ -148,6 +148,15 @@ def _full_report(spark, sf):
     )
 
 
+def _scenarios(spark, sf):
+    """Shipments after 1995 as three named scenarios side by side."""
+    gone = F.col("l_returnflag")
+    name = F.when(gone == "R", "sudden").when(gone == "A", "gradual").otherwise("none")
+    scale = F.when(F.col("is_reference"), 0.0).when(gone == "R", 0.5).when(gone == "A", 0.1 * (F.col("batch_id") - 1995)).otherwise(0.0)
+    rows = X.shipments(spark, sf).withColumn("l_extendedprice", F.col("l_extendedprice") * (1 + scale))
+    return rows.withColumn("batch_id", F.when(F.col("is_reference"), "reference").otherwise(name))
+
+
 QUERIES = {
     "D1_psi": lambda s, d: rounded(D.psi(X.shipments(s, d), X.NUMERIC)),
     "D2_psi_severity": lambda s, d: rounded(D.psi(X.shifted(s, d), X.NUMERIC)),
@@ -190,6 +199,10 @@ QUERIES = {
     "D13_psi_bin_sensitivity": lambda s, d: rounded(
         D.psi(X.shifted(s, d), X.NUMERIC, (5, 10, 15, 20, 30, 50))
     ),
+    "D14_scenarios": lambda s, d: _verdict_columns(D.numeric_drift(_scenarios(s, d), X.NUMERIC, with_stats=False)),
+    "D6_label_drift": lambda s, d: rounded(
+        D.label_drift(X.scored(s, d), "y").select("batch_id", "feature", "score", "jsd", "severity", "is_drifted")
+    ),
     "D15_messages": lambda s, d: D.numeric_drift(X.shifted(s, d), X.NUMERIC, with_stats=False).select(
         "batch_id", "feature", "message"
     ),
@@ -238,6 +251,9 @@ ORACLE = {
     "D12_drift_details": _with("f1s", _S, *NUMERIC_PARTS) + """select batch_id, feature,
       case when n_prod < 100 then 'PSI' else 'PSI+KS+JSD+Wasserstein' end as method, round(score, 6) as score,
       round(p_value, 6) as p_value, severity, severity <> 'none' as is_drifted from verdict""",
+    "D14_scenarios": verdict_sql("sc", ("f1", "sc")),
+    "D6_label_drift": cat_sql("f3", ("f1", "f3"), "y").rstrip() + f", {CAT_VERDICT}"
+    + " select batch_id, feature, round(chi2, 6) as score, round(jsd, 6) as jsd, severity, is_drifted from cv",
     "D13_psi_bin_sensitivity": psi_sql("f1s", _S, "[5, 10, 15, 20, 30, 50]"),
     "J3_aligned_categories": cat_sql("f2", ("f1", "f2"), _COLS)
     + "select batch_id, feature, category, r as n_ref, p as n_prod from filled",

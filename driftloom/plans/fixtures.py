@@ -73,6 +73,9 @@ SQL = {
       l_discount * (1 + 0.01::double * (batch_id - 1995)) as l_discount) from f1)""",
     "f1n": """f1n as (select * replace (nullif(l_quantity, 10) as l_quantity,
       case when l_linenumber = 1 then 'nan'::double else l_tax end as l_tax) from f1)""",
+    "sc": """sc as (select * replace (l_extendedprice * (1 + case when is_reference then 0.0 when l_returnflag = 'R' then 0.5
+      when l_returnflag = 'A' then 0.1::double * (batch_id - 1995) else 0.0 end::double) as l_extendedprice,
+      case when is_reference then 'reference' when l_returnflag = 'R' then 'sudden' when l_returnflag = 'A' then 'gradual' else 'none' end as batch_id) from f1)""",
     "f2": """f2 as (select * replace (case when batch_id > 1998 and l_returnflag = 'R' then 'X' else l_returnflag end
       as l_returnflag) from f1)""",
     "f2o": """f2o as (select *, year(o_orderdate)::int as batch_id, year(o_orderdate) = 1995 as is_reference from orders)""",

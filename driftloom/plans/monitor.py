@@ -36,15 +36,26 @@ def monitor(
     """
     keys = list(keys)
     who = [*keys, batch]
-    num = D.numeric_drift(rows, numeric, keys=keys, batch=batch, with_stats=False) if numeric else None
+    # the scores are one more column of the same counting scan
+    rows = rows.withColumn("prediction_score", F.col(score))
+    scores = stage(D.numeric_scores(rows, [*numeric, "prediction_score"], keys=keys, batch=batch), "drift-scores")
+    of_scores = F.col("feature") == "prediction_score"
+    num = D.numeric_verdict(scores.filter(~of_scores)) if numeric else None
     cat = D.categorical_drift(rows, categorical, keys=keys, batch=batch) if categorical else None
     details = stage(D.drift_details(num, cat, keys=keys, batch=batch), "drift-details")
     report = D.batch_report(details, keys=keys, batch=batch)
-    quality = M.binary_metrics(rows.filter(~F.col(D.REF)), label, score, keys=who)
+    prediction = D.prediction_verdict(scores.filter(of_scores))
+
+    # the reference is one more group of the same metrics
+    kind = dict(rows.dtypes)[batch]
+    grouped = rows.withColumn("_group", F.when(F.col(D.REF), "reference").otherwise(F.col(batch).cast("string")))
+    metrics = stage(M.binary_metrics(grouped, label, score, keys=[*keys, "_group"]), "quality")
+    is_ref = F.col("_group") == "reference"
+    quality = metrics.filter(~is_ref).withColumn(batch, F.col("_group").cast(kind)).drop("_group")
 
     joined = quality.join(report, who).withColumn("drift_severity", F.col("overall_severity"))
     if baseline is None:
-        base = M.baseline_auc(rows, label, score, keys=keys)
+        base = metrics.filter(is_ref).select(*keys, F.coalesce("auc_roc", F.lit(T.BASELINE_AUC)).alias("baseline_auc"))
         if keys:
             joined = joined.join(base, keys, "left").withColumn(
                 "baseline_auc", F.coalesce("baseline_auc", F.lit(T.BASELINE_AUC))
@@ -57,7 +68,6 @@ def monitor(
     history = stage(joined if keys else joined.withColumn("_one", F.lit(1)), "history")
     decided = W.retrain_triggers(history, keys=keys or ["_one"], order=batch)
     summary = stage(B.monthly_loss(decided, baseline=F.col("baseline_auc")).drop("_one"), "summary")
-    prediction = D.prediction_drift(rows, score, keys=keys, batch=batch)
     return MonitoringRun(details, prediction, summary)
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from driftloom.functions import thresholds as T
 from driftloom.operators import clean as P
 from driftloom.operators import drift as D
 from driftloom.operators import profile as A
@@ -113,7 +114,7 @@ def _snapshot(s, d):
     """Register the customer table twice, augment nothing, and load the latest version."""
     store = DatasetCatalogue(s, new_path(s, "catalogue"))
     first = store.register(_customer(s, d), "customer", target="c_mktsegment", at=AT)
-    again = store.register(_customer(s, d).limit(0), "customer", at=AT + dt.timedelta(days=1))
+    again = store.register(_customer(s, d), "customer", at=AT + dt.timedelta(days=1))
     if first != again:
         raise AssertionError("a known dataset must keep its id")
     newer = _customer(s, d).withColumn("c_acctbal", F.col("c_acctbal") * 2)
@@ -312,6 +313,9 @@ QUERIES = {
         "event_id", F.round("voltage_v", 6).alias("voltage_v"), "cycle_count"
     ),
     "P19_model_status": _status_rows,
+    "P19_regression_status": lambda s, d: batch_metrics(s, d).select(
+        "id", R.regression_status(F.col("drift_score"), F.lit("none"), R.thresholds_map(T.TASK_THRESHOLDS["regression"])).alias("status")
+    ),
     "J1_latest_batch": lambda s, d: rounded(R.latest_batch(batch_metrics(s, d)).select("model_id", "batch_id", "id", "auc_roc")),
     "J2_fleet_counts": lambda s, d: _fleet(s, d).select("model_id", "n_batches", "n_retrains"),
     "J4_split_members": lambda s, d: L.members_of(
@@ -433,6 +437,7 @@ ORACLE = {
     "P19_model_status": f"""with {METRICS_SQL}, t as (select *, case when model_id > 50 then 0.78 else 0.80 end::double as auc_warning from bm)
       select id, case when auc_roc < 0.7 or drift_severity = 'critical' then 'critical' when auc_roc < auc_warning or drift_severity = 'warning' then 'warning'
         else 'healthy' end as status, auc_warning, case when model_id > 50 then 6 else 5 end as n_thresholds from t""",
+    "P19_regression_status": f"""with {METRICS_SQL} select id, case when drift_score > 0.10 then 'critical' when drift_score > 0.05 then 'warning' else 'healthy' end as status from bm""",
     "J1_latest_batch": f"""with {METRICS_SQL} select model_id, batch_id, id, round(auc_roc, 6) as auc_roc from bm
       qualify row_number() over (partition by model_id order by batch_id desc, id desc) = 1""",
     "J2_fleet_counts": f"with {FLEET_SQL} select model_id, n_batches, n_retrains from fleet",
