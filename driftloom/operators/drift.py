@@ -242,7 +242,7 @@ def ranges_of_counts(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], ba
     one-pass variance exact enough; a constant side has std 0.
     """
     n = F.col("n")
-    middle = F.get(cuts_of_row(cuts), F.lit(bucket_count(counts.sparkSession) // 2 - 1))
+    middle = F.coalesce(F.get(cuts_of_row(cuts), F.lit(bucket_count(counts.sparkSession) // 2 - 1)), F.lit(0.0))
     rows = counts.withColumn("_d", F.col("value") - middle)
     d = F.col("_d")
     group = [*keys, "feature", REF, "_batch"]

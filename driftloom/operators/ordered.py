@@ -40,6 +40,16 @@ def _sketch(column: Column, n: int) -> Column:
     return F.percentile_approx(column, _fractions(n), 8 * n)
 
 
+def _for_cuts(df: DataFrame, n: int) -> DataFrame:
+    """Rows from which cut points are read: all of a small table, some 400 per bucket of a large one.
+
+    Cut points only balance the work, as in range partitioning; every row is
+    processed.  Without this the sketches of all tasks would meet in one task.
+    """
+    size = df.agg(F.count(F.lit(1))).scalar()
+    return df.filter(F.rand(42) * size <= 400.0 * n)
+
+
 def clean(name: str) -> Column:
     """The column as double, with NaN turned into NULL."""
     c = F.col(name).cast("double")
@@ -48,7 +58,7 @@ def clean(name: str) -> Column:
 
 def bounds_of(df: DataFrame, order: Column, n: int) -> Column:
     """Scalar subquery: n-1 ascending cut points of ``order``."""
-    return df.agg(_sketch(order.cast("double"), n)).scalar()
+    return _for_cuts(df, n).agg(_sketch(order.cast("double"), n)).scalar()
 
 
 def feature_cuts(counts: DataFrame) -> DataFrame:
@@ -56,9 +66,11 @@ def feature_cuts(counts: DataFrame) -> DataFrame:
 
     The rows are what the windows will sort, so the cuts balance exactly them.
     One row per column of the table, so the size is known before the query runs.
+    A feature too rare for a cut stays in one bucket, which is small.
     """
     n = bucket_count(counts.sparkSession)
-    return stage(counts.groupBy("feature").agg(_sketch(F.col("value"), n).alias("cuts")), "cuts")
+    rows = _for_cuts(counts, 8 * n)
+    return stage(rows.groupBy("feature").agg(_sketch(F.col("value"), n).alias("cuts")), "cuts")
 
 
 def cuts_of_row(cuts: DataFrame) -> Column:
@@ -101,7 +113,7 @@ def add_order_bucket(
     if tie is None:
         return add_bucket(df, order, bounds_of(df, order, n), n)
     tie = tie.cast("double")
-    cuts = df.agg(F.struct(_sketch(order, n).alias("a"), _sketch(tie, n).alias("b"))).scalar()
+    cuts = _for_cuts(df, n).agg(F.struct(_sketch(order, n).alias("a"), _sketch(tie, n).alias("b"))).scalar()
     df = df.withColumn("_cuts", cuts)
     df = df.withColumn("_ba", F.col("_cuts.a")).withColumn("_bb", F.col("_cuts.b")).drop("_cuts")
     df = _search(df, order, "_ba", n, "_first")

@@ -38,6 +38,11 @@ ALERTS = (
     "alert_id string, model_id bigint, batch_id bigint, ts timestamp, severity string, category string, "
     "title string, message string, acknowledged boolean"
 )
+DRIFT_LOG = (
+    "window_id bigint, predictions_at_check bigint, window_size bigint, drift_severity string, drift_score double, "
+    "n_drifted_features bigint, drifted_features array<string>, prediction_psi double, estimated_auc double, "
+    "roi_monthly_loss double, roi_status string, roi_headline string"
+)
 CHURN = (
     "tenure int, monthly_charges double, total_charges double, num_products int, num_support_calls int, "
     "avg_call_duration double, days_since_last_login int, data_usage_gb double, billing_amount_variance double, "

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftloom import schemas
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import ratio
 from driftloom.operators import drift as D
@@ -154,7 +155,14 @@ class WindowMonitor:
 
     def drift_log(self, keep: int | None = T.DRIFT_LOG_KEEP) -> DataFrame:
         """The newest entries per model."""
-        rows = self.spark.read.parquet(f"{self.root}/drift_log").drop("epoch")
+        kind = dict(self.spark.read.parquet(f"{self.root}/log").dtypes)[self.model]
+        schema = f"`{self.model}` {kind}, {schemas.DRIFT_LOG}"
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/drift_log/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], schema)  # no window was complete yet
         return rows if keep is None else last_rows(rows, keep, keys=[self.model], order=["window_id"])
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):

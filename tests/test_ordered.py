@@ -21,9 +21,14 @@ def skewed():
     return pd.DataFrame({"key": key, "t": t, "id": rng.permutation(n), "v": rng.normal(size=n)})
 
 
-def test_row_numbers(spark, skewed):
+@pytest.mark.parametrize("width", ["1", "8"])
+def test_row_numbers(spark, skewed, width):
+    """With one partition the cut points come from a sample of the rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert (len(skewed) > 400 * O.bucket_count(spark)) == (width == "1")
     df = spark.createDataFrame(skewed)
     got = O.rank_values(df, ["key"], ["t", "id"], first=F.col("t"), tie=F.col("id"), totals="size").toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     want = skewed.sort_values(["t", "id"]).assign(r=lambda d: d.groupby("key").cumcount() + 1)
     merged = got.merge(want, on="id")
     assert (merged["row_number"] == merged["r"]).all()
@@ -55,6 +60,17 @@ def test_exact_quantiles(spark, skewed):
         assert [r[p] for p in probs] == pytest.approx(list(x.quantile(list(probs.values()))))
 
 
+def test_plans_have_no_pairing_and_no_whole_table_sort(spark):
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    for name in ("D1_psi", "D8_numeric_verdict", "D9_categorical_verdict", "J3_aligned_categories", "M1_M5_quality", "A4_column_profile",
+                 "W4_alert_cooldown", "W6_coulomb_variable_step", "W8_sequences", "B7_T5_fleet_health", "T2_model_history"):
+        plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    assert "WindowGroupLimit" in plan  # the last N rows are cut before the shuffle
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key int, t double, id long, v double")
     assert O.rank_values(df, ["key"], ["t"], first=F.col("t")).count() == 0
