@@ -84,24 +84,23 @@ def add_feature_bucket(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return add_bucket(rows, F.col("value"), cuts_of_row(cuts), bucket_count(rows.sparkSession))
 
 
-def _search(df: DataFrame, value: Column, bounds: str, n: int, out: str) -> DataFrame:
-    """Binary search as log2(n) projections: the number of cut points <= value."""
-    df = df.withColumn("_v", value).withColumn(out, F.lit(0))
-    step = n // 2
-    while step:
-        here = F.col(out)
-        df = df.withColumn(
-            out,
-            F.when(F.col("_v") >= F.get(F.col(bounds), here + (step - 1)), here + step).otherwise(here),
-        )
-        step //= 2
-    return df.drop("_v")
+def _search(value: Column, bounds: Column, n: int) -> Column:
+    """The number of cut points <= value: a binary search as a fold over its log2(n) steps.
+
+    A fold keeps the expression small; nested CASEs would grow with every step.
+    """
+    steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda pos, step: F.when(value >= F.get(bounds, pos + step - 1), pos + step).otherwise(pos),
+    )
 
 
 def add_bucket(df: DataFrame, value: Column, bounds: Column, n: int) -> DataFrame:
     """Add the bucket of ``value``; equal values always share a bucket."""
-    df = df.withColumn("_bounds", bounds)
-    return _search(df, value.cast("double"), "_bounds", n, BUCKET).drop("_bounds")
+    df = df.withColumn("_bounds", bounds)  # a subquery must not stand inside a fold
+    return df.withColumn(BUCKET, _search(value.cast("double"), F.col("_bounds"), n)).drop("_bounds")
 
 
 def add_order_bucket(
@@ -115,13 +114,12 @@ def add_order_bucket(
     tie = tie.cast("double")
     cuts = _for_cuts(df, n).agg(F.struct(_sketch(order, n).alias("a"), _sketch(tie, n).alias("b"))).scalar()
     df = df.withColumn("_cuts", cuts)
-    df = df.withColumn("_ba", F.col("_cuts.a")).withColumn("_bb", F.col("_cuts.b")).drop("_cuts")
-    df = _search(df, order, "_ba", n, "_first")
-    df = _search(df, tie, "_bb", n, "_second")
+    firsts, seconds = F.col("_cuts.a"), F.col("_cuts.b")
+    df = df.withColumn("_first", _search(order, firsts, n))
     first = F.col("_first")
-    heavy = (first >= 2) & (F.get("_ba", first - 1) == order) & (F.get("_ba", first - 2) == order)
-    code = first * (n + 1) + F.when(heavy, F.col("_second")).otherwise(n)
-    return df.withColumn(BUCKET, code).drop("_ba", "_bb", "_first", "_second")
+    heavy = (first >= 2) & (F.get(firsts, first - 1) == order) & (F.get(firsts, first - 2) == order)
+    code = first * (n + 1) + F.when(heavy, _search(tie, seconds, n)).otherwise(n)
+    return df.withColumn(BUCKET, code).drop("_cuts", "_first")
 
 
 def running_sums(
