@@ -181,7 +181,10 @@ def feature_importances(model: PipelineModel, scored: DataFrame, top: int = 15)
     """Names and importances of the strongest features; one row per model input."""
     spark = scored.sparkSession
     attrs = scored.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a.get("name", f"feature_{a['idx']}") for kind in attrs.values() for a in kind}
+    names = {int(a["idx"]): a.get("name", f"feature_{a['idx']}") for kind in attrs.values() for a in kind}
+    # the scaler loses the names of its inputs
+    numeric = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    names.update({i: numeric[i] for i, name in names.items() if name == f"numeric_{i}"})
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(names.get(i, f"feature_{i}"), float(w)) for i, w in enumerate(weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)

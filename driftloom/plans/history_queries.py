@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import profile as A
 from driftloom.operators import windows as W
-from driftloom.plans import fixtures as X
 from driftloom.plans.fixtures import rounded, table
 from driftloom.plans.quality_queries import ALERTS_SQL, LOSS_SQL, METRICS_SQL, _alert_stream, _loss, batch_metrics
 

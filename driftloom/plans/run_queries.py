@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom import schemas
 from driftloom.operators import clean as P
 from driftloom.operators import impact as B
 from driftloom.operators import models as L
@@ -15,9 +14,9 @@ from driftloom.operators.ordered import rank_values
 from driftloom.plans import fixtures as X
 from driftloom.plans.drift_queries import CAT_LONG, CAT_VERDICT, NUMERIC_PARTS, PAIRS, SEVERITY, _with
 from driftloom.plans.fixtures import rounded, table
-from driftloom.plans.history_queries import ORDER, SEQ, TELEMETRY_SQL, _windows, telemetry
+from driftloom.plans.history_queries import SEQ, _windows, telemetry
 from driftloom.plans.monitor import battery_monitor, monitor
-from driftloom.plans.quality_queries import ALERTS_SQL, METRIC_CTE, METRICS_SQL, _alert_stream, batch_metrics
+from driftloom.plans.quality_queries import METRIC_CTE, METRICS_SQL, _alert_stream, batch_metrics
 from driftloom.sources.stage import new_path, stage
 from driftloom.streaming import online as O
 
