@@ -31,7 +31,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Distinct words and pieces that a worker keeps in each generation.
-MEMO = 300_000
+MEMO = 150_000
 _BITS, _PLACE = 24, 32
 
 
