@@ -23,15 +23,15 @@ from driftloom.llm.common import blocks, texts
 from driftloom.llm.links import components
 from driftloom.sources.stage import stage
 
-#: Registers, registers of a band, mantissa bits.  At a similarity of 0.8 a pair shares none of the 40 bands with a
-#: probability of 7e-10.
-REGISTERS, BAND, MANTISSA = 160, 4, 10
-#: Sets up to this size also meet under the least hashes that two sets of similarity 0.8 cannot both lack.
-SMALL = 20
-#: An estimate this far below the limit ends a pair: six deviations of the estimate at 0.8.
+#: Registers, registers of a band, mantissa bits.  At a similarity of 0.8 a pair shares none of the 45 bands with a
+#: probability of 2e-8; at 0.2, as among documents with a common passage, it shares one with a probability of 0.014.
+REGISTERS, BAND, MANTISSA = 225, 5, 10
+#: An estimate this far below the limit ends a pair: seven deviations of the estimate at 0.8.
 SLACK = 0.19
 #: Estimates need so many filled registers.
 FILLED = 48
+#: Tries by which an empty register borrows from a filled one, before it takes the next filled one.
+TRIES = 24
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,15 +102,33 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray, regs: np.ndarray, limit: float) -> np.ndarray:
-    """The keys under which a set meets others; bands of empty registers are none."""
-    bands = regs.reshape(-1, BAND).astype(np.uint64)
-    packed = (bands << (np.arange(BAND, dtype=np.uint64) * np.uint64(16))).sum(axis=1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        keys = _mix(packed * np.uint64(_STEP) + np.arange(1, len(bands) + 1, dtype=np.uint64))[packed != 0]
-        if len(hashes) <= SMALL:
-            share = len(hashes) - int(np.ceil(limit * len(hashes) - 1e-9)) + 1
-            keys = np.append(keys, _mix(hashes[:share] + np.uint64(_STEP)))
+_BORROW = np.random.default_rng(11).integers(0, REGISTERS, size=(TRIES, REGISTERS))
+
+
+def filled_up(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers in which empty ones borrow from filled ones, at places that are the same for every row.
+
+    A small set leaves most registers empty, and bands of one or two filled ones would bring together all documents
+    that share a line.
+    """
+    out = regs.copy()
+    for places in _BORROW:
+        empty = out == 0
+        if not empty.any():
+            return out
+        out = np.where(empty, regs[:, places], out)
+    here = np.where(regs != 0, np.arange(REGISTERS), 2 * REGISTERS)
+    twice = np.concatenate([here, here + REGISTERS], axis=1)
+    after = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]
+    return np.where(out == 0, np.take_along_axis(regs, after % REGISTERS, axis=1), out)
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """The keys under which each row of registers meets others, one for each band."""
+    bands = filled_up(regs).reshape(len(regs), -1, BAND).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), bands.shape[:2])
+    for k in range(BAND):
+        keys = _mix(keys * np.uint64(_STEP) + bands[:, :, k])
     return keys.view(np.int64)
 
 
@@ -126,8 +144,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (equal / np.maximum(filled, 1) - p) / (1 - p), filled
 
 
-def sketches(docs: DataFrame, width: int, limit: float) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes), registers, keys of every document."""
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, set_hash (16 bytes) and registers of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -135,20 +153,31 @@ def sketches(docs: DataFrame, width: int, limit: float) -> DataFrame:
         for batch in batches:
             for block in blocks(batch):
                 sets = shingle_sets([t.encode() for t in block.column("text").to_pylist()], width)
-                regs = [registers(s) for s in sets]
-                keys = [band_keys(s, r, limit) if len(s) else s.view(np.int64) for s, r in zip(sets, regs, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array([registers(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "registers", "keys"],
+                    ["doc_id", "n_shingles", "set_hash", "registers"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, registers binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, registers binary")
+
+
+def meetings(heads: DataFrame) -> DataFrame:
+    """key, doc_id: a row for each key of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                some = batch.slice(low, 1000)
+                keys = band_keys(np.frombuffer(b"".join(some.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                ids = np.repeat(some.column("doc_id").to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+
+    return heads.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
 
 def likely(pairs: DataFrame, sketched: DataFrame, limit: float) -> DataFrame:
@@ -166,12 +195,8 @@ def likely(pairs: DataFrame, sketched: DataFrame, limit: float) -> DataFrame:
     return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets satisfy 100 * intersection >= percent * union.
-
-    Sets are built again for the documents of some pair only.
-    """
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and the whole set of shingle hashes (binary)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +204,11 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 out = shingle_sets([t.encode() for t in block.column("text").to_pylist()], width)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([s.tobytes() for s in out], pa.binary())], ["doc_id", "hashes"])
 
-    full = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary"), "near-sets")
+    return docs.mapInArrow(sets, "doc_id long, hashes binary")
+
+
+def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets satisfy 100 * intersection >= percent * union."""
     rows = pairs.join(full.toDF("u", "a"), "u").join(full.toDF("v", "b"), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +236,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     one id all carry its component; of different texts under one id, links of any count.  Other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
-    sketched = stage(sketches(rows, width, percent / 100), "near-sketches")
+    sketched = stage(sketches(rows, width), "near-sketches")
     some = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("first_id"))
     tagged = some.select("doc_id", "set_hash").join(classes, "set_hash")
     same = tagged.where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
-    # the members whose sets are the first of their kind: one row for each class
-    heads = some.join(classes.withColumnRenamed("first_id", "doc_id"), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    heads = heads.select("doc_id", "registers", "keys")
+    # only the first document of each set goes on
+    heads = some.select("doc_id", "set_hash", "registers").join(classes.withColumnRenamed("first_id", "doc_id"), ["set_hash", "doc_id"], "left_semi")
+    heads = stage(heads.dropDuplicates(["set_hash", "doc_id"]).select("doc_id", "registers"), "near-heads")
 
-    members = heads.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    members = meetings(heads)
     crowd = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = stage(members.join(crowd, "key"), "near-keys")  # key, doc_id, size
     centrality = met.groupBy("doc_id").agg(F.sum("size").alias("weight"))
@@ -225,7 +254,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = met.join(centres, "key").where(F.col("doc_id") != F.col("centre"))
     pairs = pairs.select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
     spokes = stage(likely(pairs, heads, percent / 100), "near-pairs")
-    links = stage(verified(spokes, rows, width, percent), "near-links")
+    full = stage(full_sets(rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), width), "near-sets")
+    links = stage(verified(spokes, full, percent), "near-links")
 
     # members of one key in different components: compare them, one after the other, beyond the centre
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
@@ -239,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cross = cross.join(spokes, ["u", "v"], "left_anti")
     more = stage(likely(cross, heads, percent / 100), "near-pairs")
     if not more.isEmpty():
-        links = links.unionByName(stage(verified(more, rows, width, percent), "near-links"))
+        links = links.unionByName(stage(verified(more, full, percent), "near-links"))
 
     final = components(links.unionByName(same)).select(F.col("node").alias("doc_id"), "root")
     out = sketched.select("doc_id", "n_shingles").join(final, "doc_id", "left")
