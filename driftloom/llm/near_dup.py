@@ -7,7 +7,8 @@ limit go, and every other pair is verified on the full sets.
 
 Documents of one key are never paired all with all.  Equal sets are one class from the start.  In each key the member
 whose keys are the most crowded is the centre, and the others are compared with it; what is linked by then needs no
-more comparison.  Only members of one key that are still in different components are compared with one another.
+more comparison.  Only members of one key that are still in different components are compared with one another: pair by
+pair under small keys, and under crowded ones in cells of bounded size from which only links come out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SLACK = 0.19
 FILLED = 48
 #: Tries by which an empty register borrows from a filled one, before it takes the next filled one.
 TRIES = 24
+#: Keys with more members than this are compared in cells, of so many outsiders and members at most on average.
+CROWDED, CELL = 64, (256, 1024)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -225,6 +228,66 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def links_between(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between (id, root, set) of two lists, one for each pair of roots.  Intersections are counted for all
+    pairs at once, as products of the documents' indicator rows over the hashes that both lists have."""
+    sides = [[np.frombuffer(r[2], np.uint64) for r in rows] for rows in (left, right)]
+    common = np.intersect1d(*[np.unique(np.concatenate(s)) for s in sides])
+    sizes = [np.array([len(x) for x in s], dtype=np.int64) for s in sides]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, len(common), 4096):
+        some = common[low : low + 4096]
+        marks = []
+        for s, n in zip(sides, sizes, strict=True):
+            flat = np.concatenate(s)
+            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            hit = some[at] == flat
+            mark = np.zeros((len(s), len(some)), dtype=np.float32)
+            mark[np.repeat(np.arange(len(s)), n)[hit], at[hit]] = 1
+            marks.append(mark)
+        both += marks[0] @ marks[1].T
+    both = both.astype(np.int64)
+    near = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+    found = {}
+    for i, j in zip(*np.nonzero(near), strict=True):
+        if left[i][1] != right[j][1]:
+            found.setdefault((left[i][1], right[j][1]), (left[i][0], right[j][0]))
+    return list(found.values())
+
+
+def crowd_links(crowded: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of crowded keys; ``crowded`` has doc_id, centre, root.
+
+    Documents that share a crowded key belong to one crowd.  Whatever is not in a crowd's largest component is
+    compared with all of the crowd, in cells of bounded size; only links leave a cell, one for each pair of components.
+    """
+    crowded = stage(crowded.distinct(), "near-crowded")
+    crowds = components(crowded.select(F.col("doc_id").alias("u"), F.col("centre").alias("v"))).select(F.col("node").alias("doc_id"), F.col("root").alias("crowd"))
+    members = crowded.select("doc_id", "root").distinct().join(crowds, "doc_id", "left")
+    members = members.withColumn("crowd", F.coalesce("crowd", "doc_id"))
+    main = members.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd")
+    main = main.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("out"))
+    members = stage(members.join(main, "crowd").join(full.dropDuplicates(["doc_id"]), "doc_id"), "near-members")
+    n_left, n_right = F.ceil(F.col("out") / CELL[0]), F.ceil(F.col("n") / CELL[1])
+    own = F.xxhash64("doc_id")
+
+    def dealt(df: DataFrame, mine: str, n_mine, other: str, n_other) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), n_other - 1)).alias(other)
+        return df.select("crowd", F.pmod(own, n_mine).alias(mine), copies, "doc_id", "root", "hashes")
+
+    left = dealt(members.where("root != main"), "a", n_left, "b", n_right).groupBy("crowd", "a", "b")
+    right = dealt(members.where("out > 0"), "b", n_right, "a", n_left).groupBy("crowd", "a", "b")
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        pairs = []
+        if one.num_rows and two.num_rows:
+            rows = [list(zip(*(t[c].to_pylist() for c in ("doc_id", "root", "hashes")), strict=True)) for t in (one, two)]
+            pairs = links_between(*rows, percent)
+        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return left.cogroup(right).applyInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by similar shingle sets: doc_id, n_shingles, component_id, kept.
 
@@ -257,19 +320,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     full = stage(full_sets(rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi"), width), "near-sets")
     links = stage(verified(spokes, full, percent), "near-links")
 
-    # members of one key in different components: compare them, one after the other, beyond the centre
+    # members of one key in different components are compared beyond the centre
     roots = components(links).select(F.col("node").alias("doc_id"), "root")
-    placed = met.select("key", "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = met.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     rest = stage(placed.join(split, "key"), "near-rest")
-    a = rest.select("key", "doc_id", "root")
-    b = rest.select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"))
+    a = rest.where(F.col("size") <= CROWDED).select("key", "doc_id", "root")
+    b = a.select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"))
     cross = a.join(b, "key").where((F.col("root") != F.col("other_root")) & (F.col("doc_id") < F.col("other")))
     cross = cross.select(F.col("doc_id").alias("u"), F.col("other").alias("v")).distinct()
     cross = cross.join(spokes, ["u", "v"], "left_anti")
     more = stage(likely(cross, heads, percent / 100), "near-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(stage(verified(more, full, percent), "near-links"))
+    links = links.unionByName(stage(verified(more, full, percent), "near-links"))
+    crowded = rest.where(F.col("size") > CROWDED).join(centres, "key").select("doc_id", "centre", "root")
+    links = links.unionByName(stage(crowd_links(crowded, full, percent), "near-links"))
 
     final = components(links.unionByName(same)).select(F.col("node").alias("doc_id"), "root")
     out = sketched.select("doc_id", "n_shingles").join(final, "doc_id", "left")
