@@ -36,11 +36,12 @@ def monthly_loss(
     """Monthly and annual loss caused by an AUC below the baseline, with status and headline."""
     pool = int(customers * churn_rate)
     baseline = _col(baseline)
-    out = df.withColumn("auc_drop", F.greatest(F.lit(0.0), baseline - F.col(auc)))
+    gap = baseline - F.col(auc)  # unknown without an AUC or a baseline; greatest() would call that no drop
+    out = df.withColumn("auc_drop", F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap)))
     drop = F.col("auc_drop")
-    out = out.withColumn("missed_churners", F.floor(pool * F.least(drop * sensitivity, F.lit(0.80))))
+    out = out.withColumn("missed_churners", F.floor(pool * F.when(drop.isNotNull(), F.least(drop * sensitivity, F.lit(0.80)))))
     out = out.withColumn("revenue_at_risk", F.col("missed_churners") * T.RETENTION_RATE * ltv)
-    calls = F.floor(pool * F.least(drop * 1.5, F.lit(0.50)) * coverage)
+    calls = F.floor(pool * F.when(drop.isNotNull(), F.least(drop * 1.5, F.lit(0.50))) * coverage)
     out = out.withColumn("wasted_outreach", calls * float(call_cost))
     out = out.withColumn("total_monthly_loss", F.col("revenue_at_risk") + F.col("wasted_outreach"))
     out = out.withColumns(

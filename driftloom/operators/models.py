@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -27,8 +27,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), *, scale: bool = True) -> list:
-    """Scaled numerics and one-hot categoricals in ``features``; an unknown category is all zeros."""
-    stages: list = []
+    """Scaled numerics and one-hot categoricals in ``features``; an unknown category is all zeros.
+
+    A missing numeric takes the column's median of the training rows, so that every row is scored.
+    """
+    filled = [f"{c}_filled" for c in numeric]
+    stages: list = [Imputer(inputCols=list(numeric), outputCols=filled, strategy="median")] if filled else []
     inputs = []
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -36,7 +40,7 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = (), *, sc
         stages.append(OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_onehot", dropLast=True))
         inputs.append(f"{c}_onehot")
     raw = "numeric_raw" if scale else "numeric"
-    stages.append(VectorAssembler(inputCols=list(numeric), outputCol=raw, handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=filled, outputCol=raw))
     if scale:
         stages.append(StandardScaler(inputCol=raw, outputCol="numeric", withMean=True, withStd=True))
     stages.append(VectorAssembler(inputCols=["numeric", *inputs], outputCol="features"))
@@ -144,8 +148,9 @@ def charge_from_sequences(windows: DataFrame, *, length: int, width: int, trees:
 _INTERNAL = ("features", "numeric", "numeric_raw", "rawPrediction", "probability", "prediction")
 
 
-def _without_internals(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c in _INTERNAL or c.endswith(("_index", "_onehot"))])
+def _without_internals(df: DataFrame, own: Sequence[str] = ()) -> DataFrame:
+    """Drops what the pipeline added; ``own`` are the columns that came in."""
+    return df.drop(*[c for c in df.columns if c not in own and (c in _INTERNAL or c.endswith(("_index", "_onehot", "_filled")))])
 
 
 def clipped_prediction(scored: DataFrame, lo: float, hi: float, out: str = "prediction") -> DataFrame:
@@ -156,7 +161,7 @@ def clipped_prediction(scored: DataFrame, lo: float, hi: float, out: str = "pred
 def score_table(model: PipelineModel, df: DataFrame, *, threshold: float = T.DEFAULT_THRESHOLD) -> DataFrame:
     """Add ``score`` (probability of class 1) and ``predicted`` to every row."""
     scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
-    return _without_internals(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    return _without_internals(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), df.columns)
 
 
 def prediction_spread(
@@ -184,7 +189,7 @@ def feature_importances(model: PipelineModel, scored: DataFrame, top: int = 15)
     names = {int(a["idx"]): a.get("name", f"feature_{a['idx']}") for kind in attrs.values() for a in kind}
     # the scaler loses the names of its inputs
     numeric = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
-    names.update({i: numeric[i] for i, name in names.items() if name == f"numeric_{i}"})
+    names.update({i: numeric[i].removesuffix("_filled") for i, name in names.items() if name == f"numeric_{i}"})
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(names.get(i, f"feature_{i}"), float(w)) for i, w in enumerate(weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)

@@ -53,7 +53,11 @@ def monitor(
     is_ref = F.col("_group") == "reference"
     quality = metrics.filter(~is_ref).withColumn(batch, F.col("_group").cast(kind)).drop("_group")
 
-    joined = quality.join(report, who).withColumn("drift_severity", F.col("overall_severity"))
+    # labels arrive late: a batch without them keeps its drift, and its quality is null
+    same = [F.col(f"q.{c}").eqNullSafe(F.col(f"r.{c}")) for c in who]
+    both = quality.alias("q").join(report.alias("r"), same, "full")
+    rest = [F.col(f"q.{c}") for c in quality.columns if c not in who] + [F.col(f"r.{c}") for c in report.columns if c not in who]
+    joined = both.select(*[F.coalesce(f"q.{c}", f"r.{c}").alias(c) for c in who], *rest).withColumn("drift_severity", F.col("overall_severity"))
     if baseline is None:
         base = metrics.filter(is_ref).select(*keys, F.coalesce("auc_roc", F.lit(T.BASELINE_AUC)).alias("baseline_auc"))
         if keys:
@@ -61,7 +65,7 @@ def monitor(
                 "baseline_auc", F.coalesce("baseline_auc", F.lit(T.BASELINE_AUC))
             )
         else:
-            joined = joined.withColumn("baseline_auc", base.select("baseline_auc").scalar())
+            joined = joined.withColumn("baseline_auc", F.coalesce(base.select("baseline_auc").scalar(), F.lit(T.BASELINE_AUC)))
     else:
         joined = joined.withColumn("baseline_auc", F.lit(baseline))
     # one row per batch; the ordered rules read their input several times

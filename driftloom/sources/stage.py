@@ -1,4 +1,4 @@
-"""Small tables written to the shared checkpoint folder and read back.
+"""Tables written to a folder that all executors share, and read back.
 
 A staged table has a true size on disk, so Spark's own broadcast threshold
 decides how later joins with it run.  It also survives the loss of executors.
@@ -6,25 +6,19 @@ decides how later joins with it run.  It also survives the loss of executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only if unset."""
+    """Folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="driftloom-")
-    return _FALLBACK[app]
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
