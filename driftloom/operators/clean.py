@@ -190,11 +190,20 @@ def normalise(
     return result
 
 
-def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill NULL and NaN with the column's exact median."""
+def impute_median(df: DataFrame, columns: Sequence[str], *, keep_types: bool = False) -> DataFrame:
+    """Fill NULL and NaN with the column's exact median, as doubles or in the column's own type."""
     medians = exact_quantiles(df.withColumn("_all", F.lit(1)), columns, ["_all"], {"median": 0.5})
     table = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
-    filled = {c: F.coalesce(clean(c), F.element_at(F.col("_medians"), c)) for c in columns}
+    types = dict(df.dtypes)
+
+    def fill(c: str) -> Column:
+        median = F.element_at(F.col("_medians"), c)
+        if not keep_types:
+            return F.coalesce(clean(c), median)
+        own = F.col(c) if types[c] not in ("double", "float") else F.when(~F.isnan(c), F.col(c))
+        return F.coalesce(own, median.cast(types[c]))
+
+    filled = {c: fill(c) for c in columns}
     return df.withColumn("_medians", table).withColumns(filled).drop("_medians")
 
 

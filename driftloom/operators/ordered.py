@@ -1,13 +1,15 @@
 """Running sums, ranks and exact quantiles that stay parallel under skew.
 
 A window partitioned by a hot key would sort that key's rows in one task.
-Here rows first get a bucket number from quantiles of the order column, so no
+Here rows first get a bucket number from cut points of the order columns, so no
 (key, bucket) group exceeds about 1/n of the table.  Windows run inside the
 groups, and the small per-bucket totals carry the sums across buckets.  The
-bucket is a pure function of the row and of one scalar-subquery result, so a
-recomputed task gives the same answer.
+bucket is a pure function of the row and of one scalar-subquery result, and the
+rows behind the cut points are chosen by a hash, so a recomputed task gives the
+same answer.
 
-Rows whose key is null belong to no group and are left out.
+Null is a key like any other.  Keys travel as one struct, which compares equal
+where both sides are null, so joins keep such rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,19 @@ from pyspark.sql import functions as F
 from driftloom.sources.stage import stage
 
 BUCKET = "_bucket"
+KEY = "_key"
 MAX_BUCKETS = 4096
+PER_BUCKET = 64
+
+
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct, which is equal to itself also where a key is null."""
+    return df.withColumn(KEY, F.struct(*keys) if keys else F.lit(0))
+
+
+def _share(columns: Sequence[str], wanted: float, size: Column) -> Column:
+    """True for about ``wanted`` of ``size`` rows, the same ones in every run."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)).cast("double") * size <= float(wanted) * (1 << 30)
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -47,7 +61,7 @@ def _for_cuts(df: DataFrame, n: int) -> DataFrame:
     processed.  Without this the sketches of all tasks would meet in one task.
     """
     size = df.agg(F.count(F.lit(1))).scalar()
-    return df.filter(F.rand(42) * size <= 400.0 * n)
+    return df.filter(_share(df.columns, 400.0 * n, size))
 
 
 def clean(name: str) -> Column:
@@ -103,23 +117,21 @@ def add_bucket(df: DataFrame, value: Column, bounds: Column, n: int) -> DataFram
     return df.withColumn(BUCKET, _search(value.cast("double"), F.col("_bounds"), n)).drop("_bounds")
 
 
-def add_order_bucket(
-    df: DataFrame, order: Column, *, tie: Column | None = None, n: int | None = None
-) -> DataFrame:
-    """Bucket rows by ``order``; a value that fills whole buckets is split by ``tie``."""
+def add_order_bucket(df: DataFrame, order: Sequence[str], *, n: int | None = None) -> DataFrame:
+    """Bucket rows by all their order columns together, each in its own type and order.
+
+    A struct compares column by column as a window's ORDER BY does, nulls first,
+    so buckets follow the sort whatever the types, and a heavy instant is split
+    by the columns after it.  The cut points are taken from distinct places
+    chosen by hash, PER_BUCKET a bucket: a key's rows stand at distinct places.
+    """
     n = n or bucket_count(df.sparkSession)
-    order = order.cast("double")
-    if tie is None:
-        return add_bucket(df, order, bounds_of(df, order, n), n)
-    tie = tie.cast("double")
-    cuts = _for_cuts(df, n).agg(F.struct(_sketch(order, n).alias("a"), _sketch(tie, n).alias("b"))).scalar()
-    df = df.withColumn("_cuts", cuts)
-    firsts, seconds = F.col("_cuts.a"), F.col("_cuts.b")
-    df = df.withColumn("_first", _search(order, firsts, n))
-    first = F.col("_first")
-    heavy = (first >= 2) & (F.get(firsts, first - 1) == order) & (F.get(firsts, first - 2) == order)
-    code = first * (n + 1) + F.when(heavy, _search(tie, seconds, n)).otherwise(n)
-    return df.withColumn(BUCKET, code).drop("_cuts", "_first")
+    place = F.struct(*order)
+    size = df.agg(F.count(F.lit(1))).scalar()
+    held = df.filter(_share(order, PER_BUCKET * n, size)).agg(F.sort_array(F.collect_set(place)).alias("a"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / n).cast("int")))
+    df = df.withColumn("_bounds", held.select(at).scalar())
+    return df.withColumn(BUCKET, _search(place, F.col("_bounds"), n)).drop("_bounds")
 
 
 def running_sums(
@@ -136,10 +148,10 @@ def running_sums(
     By default rows with equal order values share the sum up to and including
     them; ``by_row`` needs a total order and counts row by row.
     """
-    keys = list(keys)
-    group = keys + [BUCKET]
+    df = keyed(df, keys)
+    group = [KEY, BUCKET]
     per_bucket = df.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(KEY)
     before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     carried = [F.coalesce(F.sum(f"_t_{c}").over(before), zero).alias(f"_o_{c}") for c in columns]
@@ -152,7 +164,7 @@ def running_sums(
     joined = joined.withColumns(
         {f"{c}_cum": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), zero) for c in columns}
     )
-    return joined.drop(*[f"_o_{c}" for c in columns])
+    return joined.drop(KEY, *[f"_o_{c}" for c in columns])
 
 
 def row_numbers(
@@ -164,10 +176,10 @@ def row_numbers(
     totals: str | None = None,
 ) -> DataFrame:
     """1-based position of each bucketed row within its key; ``order`` must be total."""
-    keys = list(keys)
-    group = keys + [BUCKET]
+    df = keyed(df, keys)
+    group = [KEY, BUCKET]
     per_bucket = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_t"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(KEY)
     before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o")]
     if totals:
@@ -176,16 +188,15 @@ def row_numbers(
     return (
         df.join(per_bucket.select(*group, *carried), group)
         .withColumn(out, F.col("_o") + F.row_number().over(w))
-        .drop("_o", BUCKET)
+        .drop("_o", KEY, BUCKET)
     )
 
 
 def rank_values(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, first: Column, tie: Column | None = None,
-    out: str = "row_number", totals: str | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, out: str = "row_number", totals: str | None = None
 ) -> DataFrame:
     """``add_order_bucket`` followed by ``row_numbers``."""
-    return row_numbers(add_order_bucket(df, first, tie=tie), keys, order, out=out, totals=totals)
+    return row_numbers(add_order_bucket(df, order), keys, order, out=out, totals=totals)
 
 
 def chunked(df: DataFrame, position: str, size: int, halo: int) -> DataFrame:

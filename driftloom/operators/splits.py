@@ -45,13 +45,13 @@ def split_by_cycle(df: DataFrame, cycle: str, *, train: float = 0.70, val: float
 
 
 def split_by_position(
-    df: DataFrame, *, first: Column, order: Sequence[str], shares: dict[str, float], rest: str, tie: Column | None = None
+    df: DataFrame, *, order: Sequence[str], shares: dict[str, float], rest: str
 ) -> DataFrame:
     """Mark ``split`` by row order: each part takes int(n * share) rows, ``rest`` the others.
 
     Parts with a positive share are cut from the start in the given order.
     """
-    rows = rank_values(df, [], list(order), first=first, tie=tie, out="_rank", totals="_size")
+    rows = rank_values(df, [], list(order), out="_rank", totals="_size")
     label, start = F.lit(rest), F.lit(0)
     spans = []
     for name, share in shares.items():
@@ -63,9 +63,9 @@ def split_by_position(
     return rows.withColumn("split", label).drop("_rank", "_size")
 
 
-def hold_out_last(df: DataFrame, *, first: Column, order: Sequence[str], share: float = 0.15, tie: Column | None = None) -> DataFrame:
+def hold_out_last(df: DataFrame, *, order: Sequence[str], share: float = 0.15) -> DataFrame:
     """Mark ``split``: the last int(n * share) rows are validation, the others train."""
-    rows = rank_values(df, [], list(order), first=first, tie=tie, out="_rank", totals="_size")
+    rows = rank_values(df, [], list(order), out="_rank", totals="_size")
     late = F.col("_rank") > F.col("_size") - F.floor(F.col("_size") * F.lit(share))
     return rows.withColumn("split", F.when(late, "val").otherwise("train")).drop("_rank", "_size")
 

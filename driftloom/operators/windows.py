@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import clip
-from driftloom.operators.ordered import BUCKET, add_order_bucket, chunked, rank_values, running_sums
+from driftloom.operators.ordered import BUCKET, KEY, add_order_bucket, chunked, keyed, rank_values, running_sums
 from driftloom.sources.stage import stage
 
 CHUNK = 256
 
 
 def _numbered(df: DataFrame, keys: Sequence[str], order: str, out: str = "_r") -> DataFrame:
-    return rank_values(df, keys, [order], first=F.col(order), out=out)
+    return rank_values(df, keys, [order], out=out)
 
 
 # Batch history ---------------------------------------------------------------
@@ -41,7 +41,7 @@ def rolling_mean(df: DataFrame, value: str, *, keys: Sequence[str], order: str =
 def cumulative(df: DataFrame, value: str, *, keys: Sequence[str], order: str = "batch_id", out: str | None = None) -> DataFrame:
     """Running sum in order."""
     out = out or f"cumulative_{value}"
-    rows = running_sums(add_order_bucket(df, F.col(order)), keys, [order], [value], by_row=True)
+    rows = running_sums(add_order_bucket(df, [order]), keys, [order], [value], by_row=True)
     return rows.withColumnRenamed(f"{value}_cum", out).drop(BUCKET)
 
 
@@ -75,12 +75,11 @@ def apply_cooldown(df: DataFrame, raised: str, *, keys: Sequence[str], position:
     over chunks of chunks, so every array stays short.  Then each chunk is
     replayed from its true start state.
     """
-    keys = list(keys)
     states = list(range(cooldown + 1))
     start = F.array(*[F.lit(s) for s in states])
-    rows = df.withColumn("_c1", F.floor((F.col(position) - 1) / CHUNK)).withColumn("_c2", F.floor(F.col("_c1") / CHUNK))
+    rows = keyed(df, keys).withColumn("_c1", F.floor((F.col(position) - 1) / CHUNK)).withColumn("_c2", F.floor(F.col("_c1") / CHUNK))
 
-    packed = rows.groupBy(*keys, "_c2", "_c1").agg(
+    packed = rows.groupBy(KEY, "_c2", "_c1").agg(
         F.array_sort(F.collect_list(F.struct(F.col(position).alias("r"), F.col(raised).alias("raised")))).alias("_rows")
     )
     packed = packed.withColumn(
@@ -101,16 +100,16 @@ def apply_cooldown(df: DataFrame, raised: str, *, keys: Sequence[str], position:
 
         return F.aggregate(items, seed, step)["seen"]
 
-    groups = packed.groupBy(*keys, "_c2").agg(
+    groups = packed.groupBy(KEY, "_c2").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_c1").alias("id"), F.col("_map").alias("map")))).alias("_chunks")
     ).withColumn("_map2", compose(F.transform("_chunks", lambda c: c["map"])))
-    tops = groups.groupBy(*keys).agg(
+    tops = groups.groupBy(KEY).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_c2").alias("id"), F.col("_map2").alias("map")))).alias("_groups")
     )
-    tops = tops.select(*keys, F.inline(entries(F.col("_groups"), F.lit(0)))).withColumnsRenamed({"id": "_c2", "state": "_s2"})
+    tops = tops.select(KEY, F.inline(entries(F.col("_groups"), F.lit(0)))).withColumnsRenamed({"id": "_c2", "state": "_s2"})
     starts = (
-        groups.join(tops, [*keys, "_c2"])
-        .select(*keys, "_c2", F.inline(entries(F.col("_chunks"), F.col("_s2"))))
+        groups.join(tops, [KEY, "_c2"])
+        .select(KEY, "_c2", F.inline(entries(F.col("_chunks"), F.col("_s2"))))
         .withColumnsRenamed({"id": "_c1", "state": "_s1"})
     )
     seed = F.struct(F.col("_s1").alias("state"), F.array().cast("array<bigint>").alias("fired"))
@@ -121,11 +120,11 @@ def apply_cooldown(df: DataFrame, raised: str, *, keys: Sequence[str], position:
         return F.struct(_advance(acc["state"], x["raised"], cooldown).alias("state"), fired.alias("fired"))
 
     fired = (
-        packed.join(starts, [*keys, "_c2", "_c1"])
-        .select(*keys, F.explode(F.aggregate("_rows", seed, replay)["fired"]).alias(position), F.lit(True).alias("fired"))
+        packed.join(starts, [KEY, "_c2", "_c1"])
+        .select(KEY, F.explode(F.aggregate("_rows", seed, replay)["fired"]).alias(position), F.lit(True).alias("fired"))
     )
-    out = rows.drop("_c1", "_c2").join(fired, [*keys, position], "left")
-    return out.withColumn("fired", F.coalesce("fired", F.lit(False)))
+    out = rows.drop("_c1", "_c2").join(fired, [KEY, position], "left")
+    return out.withColumn("fired", F.coalesce("fired", F.lit(False))).drop(KEY)
 
 
 def retrain_triggers(df: DataFrame, *, keys: Sequence[str], order: str = "batch_id", auc: str = "auc_roc", severity: str = "drift_severity") -> DataFrame:
@@ -176,22 +175,22 @@ def alert_cooldown(
 ) -> DataFrame:
     """Mark which alerts fire: CRITICAL always, others 30 minutes after the last fired of their kind.
 
-    Of equal instants only the first can fire, so kinds collapse to distinct
-    instants first.  Each kind is cut into chunks of 48 cooldowns.  A chunk is
+    Null is a kind like any other.  Of equal instants only the alert with the
+    smallest id (null first) can fire, and of repeated rows one, so kinds
+    collapse to distinct instants first.  Each kind is cut into chunks of 48 cooldowns.  A chunk is
     summed up as a step function "earliest allowed time -> last fired time";
     few steps remain because paths from different starts soon meet.  The steps
     are chained per kind, then the chunks are replayed in parallel.
     """
     cooldown = minutes * 60 * 1_000_000
     span = cooldown * 48
-    kind = [category, severity]
-    always = F.col(severity) == "CRITICAL"
+    always = F.col(severity).eqNullSafe("CRITICAL")
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = alerts.withColumn("_t", micros)
-    firsts = rows.filter(~always).groupBy(*kind, "_t").agg(F.min(tie).alias("_first"))
-    instants = firsts.select(*kind, "_t", F.floor(F.col("_t") / span).alias("_chunk"))
-    types = dict(alerts.dtypes)
-    kind_ddl = ", ".join(f"`{k}` {types[k]}" for k in kind)
+    # the kind as one text without nulls; the id as a struct, which is equal to itself also where it is null
+    name = F.to_json(F.struct(F.col(category).alias("c"), F.col(severity).alias("s")))
+    rows = alerts.withColumns({"_t": micros, "_kind": name, "_tie": F.struct(tie)})
+    firsts = rows.filter(~always & F.col("_t").isNotNull()).groupBy("_kind", "_t").agg(F.min("_tie").alias("_tie"))
+    instants = firsts.select("_kind", "_t", F.floor(F.col("_t") / span).alias("_chunk"))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_t"].to_numpy())
@@ -200,8 +199,7 @@ def alert_cooldown(
         head = min(len(times), int(np.searchsorted(times, pdf["_chunk"].iloc[0] * span + cooldown)) + 1)
         times, reach = times[:head], reach[:head]
         keep = np.append(reach[1:] != reach[:-1], True)
-        row = {k: pdf[k].iloc[0] for k in kind}
-        return pd.DataFrame([{**row, "_chunk": pdf["_chunk"].iloc[0], "upto": times[keep].tolist(), "last": reach[keep].tolist()}])
+        return pd.DataFrame([{"_kind": pdf["_kind"].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "upto": times[keep].tolist(), "last": reach[keep].tolist()}])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
@@ -211,7 +209,7 @@ def alert_cooldown(
             i = int(np.searchsorted(np.asarray(upto), allowed))
             if i < len(upto):
                 allowed = int(last[i]) + cooldown
-        return pdf[[*kind, "_chunk"]].assign(_allowed=starts)
+        return pdf[["_kind", "_chunk"]].assign(_allowed=starts)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_t"].to_numpy())
@@ -220,24 +218,24 @@ def alert_cooldown(
         while i < len(times):
             fired.append(times[i])
             i = int(np.searchsorted(times, times[i] + cooldown))
-        out = pd.DataFrame({"_t": np.asarray(fired, dtype="int64")})
-        for k in kind:
-            out[k] = pdf[k].iloc[0]
-        return out[[*kind, "_t"]]
+        return pd.DataFrame({"_kind": pdf["_kind"].iloc[0], "_t": np.asarray(fired, dtype="int64")})
 
-    steps = instants.groupBy(*kind, "_chunk").applyInPandas(
-        summarise, f"{kind_ddl}, _chunk bigint, upto array<bigint>, last array<bigint>"
+    steps = instants.groupBy("_kind", "_chunk").applyInPandas(
+        summarise, "_kind string, _chunk bigint, upto array<bigint>, last array<bigint>"
     )
-    starts = steps.groupBy(*kind).applyInPandas(chain, f"{kind_ddl}, _chunk bigint, _allowed bigint")
+    starts = steps.groupBy("_kind").applyInPandas(chain, "_kind string, _chunk bigint, _allowed bigint")
     fired = (
-        instants.join(starts, [*kind, "_chunk"])
-        .groupBy(*kind, "_chunk")
-        .applyInPandas(replay, f"{kind_ddl}, _t bigint")
-        .join(firsts, [*kind, "_t"])
-        .select(*kind, "_t", F.col("_first").alias(tie), F.lit(True).alias("_fired"))
+        instants.join(starts, ["_kind", "_chunk"])
+        .groupBy("_kind", "_chunk")
+        .applyInPandas(replay, "_kind string, _t bigint")
+        .join(firsts, ["_kind", "_t"])
+        .select("_kind", "_t", "_tie", F.lit(True).alias("_fired"))
     )
-    out = rows.join(fired, [*kind, "_t", tie], "left")
-    return out.withColumn("fired", always | F.coalesce("_fired", F.lit(False))).drop("_t", "_fired")
+    alert = ["_kind", "_t", "_tie"]
+    copy = F.row_number().over(Window.partitionBy(*alert).orderBy(F.xxhash64(*[c for c, t in alerts.dtypes if "map<" not in t])))
+    out = rows.join(fired, alert, "left").withColumn("_copy", copy)
+    fires = always | (F.coalesce("_fired", F.lit(False)) & (F.col("_copy") == 1))
+    return out.withColumn("fired", fires).drop("_fired", "_copy", *alert)
 
 
 # Telemetry -----------------------------------------------------------------------
@@ -248,8 +246,7 @@ def coulomb_fixed_step(
     initial: float = 1.0, dt: float = 1.0, out: str = "soc",
 ) -> DataFrame:
     """State of charge from summed current with a fixed time step; clipped after the sum."""
-    rows = add_order_bucket(df, _seconds(df, time), tie=F.col(order[-1]).cast("double") if len(order) > 1 else None)
-    rows = rows.withColumn("_q", F.col(current) * dt)
+    rows = add_order_bucket(df, order).withColumn("_q", F.col(current) * dt)
     rows = running_sums(rows, [cell], list(order), ["_q"], by_row=True)
     soc = initial + F.col("_q_cum") / (capacity_ah * 3600.0)
     return rows.withColumn(out, clip(soc, 0.0, 1.0)).drop("_q", "_q_cum", BUCKET)
@@ -271,15 +268,14 @@ def coulomb_variable_step(
     The time before a bucket's first row comes from the bucket before it.
     """
     initial = initial if isinstance(initial, Column) else F.lit(initial)
-    rows = df.withColumn("_sec", _seconds(df, time))
-    rows = add_order_bucket(rows, F.col("_sec"), tie=F.col(order[-1]).cast("double") if len(order) > 1 else None)
-    group = [cell, BUCKET]
+    rows = keyed(add_order_bucket(df.withColumn("_sec", _seconds(df, time)), order), [cell])
+    group = [KEY, BUCKET]
     ends = rows.groupBy(*group).agg(F.max("_sec").alias("_end"))
-    ends = ends.select(*group, F.lag("_end").over(Window.partitionBy(cell).orderBy(BUCKET)).alias("_carry"))
+    ends = ends.select(*group, F.lag("_end").over(Window.partitionBy(KEY).orderBy(BUCKET)).alias("_carry"))
     w = Window.partitionBy(*group).orderBy(*order)
     before = F.coalesce(F.lag("_sec").over(w), F.col("_carry"))
     dt = F.coalesce(F.greatest(F.lit(0.0), F.col("_sec") - before), F.lit(0.0))
-    rows = rows.join(ends, group).withColumn("_q", F.col(current) * dt / 3600.0).drop("_carry")
+    rows = rows.join(ends, group).withColumn("_q", F.col(current) * dt / 3600.0).drop("_carry", KEY)
     rows = running_sums(rows, [cell], list(order), ["_q"], by_row=True)
     return (
         rows.withColumn(charge, F.col("_q_cum"))
@@ -309,8 +305,7 @@ def sequences(
 
     Rows are numbered, cut into chunks and preceded by length-1 copied rows.
     """
-    tie = F.col(order[-1]).cast("double") if len(order) > 1 else None
-    rows = rank_values(df, [cell], list(order), first=_seconds(df, time), tie=tie, out="_r")
+    rows = rank_values(df, [cell], list(order), out="_r")
     rows = chunked(rows, "_r", max(4096, length), length - 1)
     w = Window.partitionBy(cell, "_chunk").orderBy("_r").rowsBetween(-(length - 1), 0)
     window = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(w)

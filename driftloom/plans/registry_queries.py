@@ -349,14 +349,14 @@ QUERIES = {
     "L9_stratified_split": lambda s, d: L.stratified_split(_docs(s, d), key=["doc_id"], strata="toxic").select("doc_id", "toxic", "split"),
     "L10_split_by_cycle": lambda s, d: L.split_by_cycle(telemetry(s, d), "cycle_count").select("event_id", "cycle_count", "split"),
     "L10_split_by_position": lambda s, d: L.split_by_position(
-        telemetry(s, d), first=F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), order=ORDER, shares={"train": 0.70, "val": 0.15}, rest="test"
+        telemetry(s, d), order=ORDER, shares={"train": 0.70, "val": 0.15}, rest="test"
     ).select("event_id", "split"),
     "L11_split_by_protocol": lambda s, d: L.split_by_value(telemetry(s, d), "test_type", test=["error"]).select("event_id", "test_type", "split"),
     "L11_split_by_temperature": lambda s, d: L.split_by_value(
         telemetry(s, d), "temperature_c", test=[0.0], train=[25.0, 45.0]
     ).select("event_id", "split"),
     "L11_hold_out_last": lambda s, d: L.hold_out_last(
-        telemetry(s, d), first=F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), order=ORDER
+        telemetry(s, d), order=ORDER
     ).select("event_id", "split"),
     "L15_augmented": lambda s, d: rounded(
         L.augment(_customer(s, d), numeric=["c_acctbal"], keep=["c_custkey"], n=500, key=["c_custkey"]).groupBy("is_augmented").agg(

@@ -243,7 +243,7 @@ def _numbered_predictions(s, d):
     rows = X.scored(s, d).withColumn("l_shipdate", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
     return rank_values(
         rows, ["l_linestatus"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"],
-        first=F.col("l_shipdate"), tie=F.col("l_orderkey"), out="position", totals="served",
+        out="position", totals="served",
     )
 
 

@@ -78,7 +78,9 @@ def read_cycler_tree(
         .text(root)
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
     )
-    cells = F.split(F.regexp_replace("value", '"', ""), ",")
+    # a comma is a border where an even number of quotes follows; "" inside quotes is one quote
+    cells = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    cells = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
     is_header = F.col("start") == 0
     # the header is the first line of a file's first block that names any known column
     known = F.arrays_overlap(F.transform(cells, F.trim), F.array(*[F.lit(c) for c in REQUIRED]))

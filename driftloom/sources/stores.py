@@ -18,6 +18,7 @@ from pyspark.sql.types import NumericType, StructType
 from driftloom import schemas
 from driftloom.operators import registry as R
 from driftloom.operators.clean import drop_unnamed, impute_median
+from driftloom.operators.ordered import clean
 from driftloom.operators.profile import class_balance, column_profile, null_rates
 from driftloom.operators.splits import augment
 from driftloom.sources.sinks import write_json
@@ -197,7 +198,9 @@ class DatasetCatalogue(_Store):
         features = [c for c in numeric if c != target]
         safe = re.sub(r"[ /]", "_", name)
         path = f"{self.root}/data/name={safe}/version={version}/id={dataset_id}"
-        (impute_median(df, features) if features else df).write.mode("errorifexists").parquet(path)
+        holes = df.agg(F.lit(0).alias("_none"), *[F.count_if(clean(c).isNull()).alias(c) for c in features]).first()
+        gaps = [c for c in features if holes[c]]
+        (impute_median(df, gaps, keep_types=True) if gaps else df).write.mode("errorifexists").parquet(path)
 
         snapshot = self.spark.read.parquet(path)
         profile = column_profile(snapshot, numeric, text).withColumn("dataset_id", F.lit(dataset_id))

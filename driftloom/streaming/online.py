@@ -118,10 +118,7 @@ class WindowMonitor:
         served_ddl = f"`{self.model}` {types[self.model]}, served bigint"
         before = self._read("served", epoch - 1, served_ddl)
 
-        first = F.col(self.order[0])
-        if types[self.order[0]].startswith("timestamp"):
-            first = F.unix_micros(first.cast("timestamp"))
-        numbered = rank_values(rows, [self.model], self.order, first=first, out="_n")
+        numbered = rank_values(rows, [self.model], self.order, out="_n")
         numbered = numbered.join(before, self.model, "left").select(
             *self.columns, (F.col("_n") + F.coalesce("served", F.lit(0))).cast("bigint").alias("position")
         )

@@ -182,3 +182,23 @@ def test_tags_and_risk_bands(spark):
     assert rows[0]["t"] == {"a": "1", "b": "x=y"} and rows[1]["t"] == {} and rows[3]["t"] == {"k": ""}
     assert [r["r"] for r in rows] == ["low", "medium", "medium", "high"]
     assert [r["m"] for r in rows] == ["₹1.2L", "₹1,234", "₹12", "₹-2,000"]
+
+
+def test_snapshots_keep_types(spark, tmp_path):
+    cat = DatasetCatalogue(spark, str(tmp_path / "catalogue"))
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1.0, 1), (big + 1, None, None), (big + 2, float("nan"), 3)], "id bigint, x double, n int")
+    cat.register(df, "ids", at=DAY)
+    back = cat.load("ids")
+    assert back.dtypes == df.dtypes
+    assert sorted(tuple(r) for r in back.collect()) == [(big, 1.0, 1), (big + 1, 1.0, 2), (big + 2, 1.0, 3)]
+
+
+def test_quoted_commas_in_cycler_files(spark, tmp_path):
+    folder = tmp_path / "SP2_25C_FUDS"
+    folder.mkdir()
+    head = '"Note, long",Test_Time(s),Current(A),Voltage(V),Charge_Capacity(Ah),Discharge_Capacity(Ah)'
+    (folder / "x_80SOC.csv").write_text(head + '\n"a, b ""c""",1,2,3,4,5\n,6,7,8,9,10\n')
+    tree = readers.read_cycler_tree(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in tree.rows.select(*readers.REQUIRED.values()).collect())
+    assert got == [(1.0, 2.0, 3.0, 4.0, 5.0), (6.0, 7.0, 8.0, 9.0, 10.0)] and tree.rejects.count() == 0
