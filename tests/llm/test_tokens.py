@@ -44,9 +44,24 @@ def test_counts_as_the_library(odd_texts):
 
 
 def test_ids_for_packing_as_the_library(odd_texts):
-    own, library = packing.Ids(BYTES, memo=200), Tokenizer.from_file(BYTES)
-    for text, raw in zip(odd_texts, own.block(odd_texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    own, library = packing.Ids(BYTES), Tokenizer.from_file(BYTES)
+    long = [" " * 1_200_000 + "x", "\n \t" * 400_000, "ab c" * 100_000]
+    for text, raw in zip(odd_texts + long, own.block(odd_texts + long), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:99]
+
+
+def test_every_character_is_split_as_the_library_does():
+    own, library = packing.Ids(BYTES), Tokenizer.from_file(BYTES)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(points), 50_000):
+        made = [f"a{c}b 1{c}2 .{c}!  {c} {c}{c}\n{c} x" for c in points[low : low + 50_000]]
+        for text, e in zip(made, library.encode_batch(made, add_special_tokens=False), strict=True):
+            assert own.of(text) == e.ids, text
+
+
+def test_ids_for_packing_need_ranks():
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.Ids(WORDS)
 
 
 def test_op1_query(spark, docs):
