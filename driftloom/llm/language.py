@@ -2,12 +2,13 @@
 
 A text's vector holds the TF-IDF weights of its hashed character n-grams (bigrams and trigrams of lower-case bytes,
 everything but letters as one blank), scaled to length 1.  Every language is clustered into a few centroids by spherical
-k-means; a text takes the language of the centroid with the highest cosine.  A text farther from it than the
-cluster's own documents are, by a margin, is rejected.
+k-means; a text takes the language of the centroid with the highest cosine.  A text farther from it than texts of the
+language with about as many n-grams are, by a margin, is rejected: short texts have few n-grams and low cosines.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,14 @@ from driftloom.sources.stage import stage
 BUCKETS, CLUSTERS, ROUNDS = 4096, 4, 8
 #: The model is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 SAMPLE = 500
-#: A text is rejected below this share of the lowest cosine between a cluster's own documents and its centroid.
-MARGIN = 0.5
+#: Clusters with a smaller share of their language's documents are merged into the others.
+LEAST_SHARE = 0.05
+#: A text is rejected below this share of a low quantile of the cosines of its language's texts of about its size.
+MARGIN, LOW = 0.5, 0.01
+#: Sizes are classes of doubling numbers of bigrams; beside each whole text, pieces of these many characters are sized.
+CLASSES, PIECES = 14, (4, 8, 16, 32, 64, 128, 256, 512)
+#: Texts that a size class needs for a quantile of its own.
+FEW = 30
 
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -56,33 +63,62 @@ def weigh(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def cluster(rows: np.ndarray, k: int = CLUSTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from mutually far starts: centroids, and the lowest cosine within each cluster."""
+def size_class(rows: np.ndarray) -> np.ndarray:
+    """Class of each row of counts by its number of bigrams."""
+    return np.minimum(np.log2(np.maximum(rows[:, :BUCKETS].sum(axis=1), 1)).astype(np.int64), CLASSES - 1)
+
+
+def pieces(text: str) -> list[str]:
+    """The text and one piece of each smaller size, those with a letter."""
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    cut = [text[a : a + n] for n in PIECES if n < len(text) for a in (seed % (len(text) - n + 1),)]
+    return [t for t in [text, *cut] if _LETTER.search(t)]
+
+
+def cluster(rows: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
+    """Centroids by spherical k-means from mutually far starts; those with few rows give theirs to the others."""
     starts = [0]
     near = rows @ rows[0]
     while len(starts) < min(k, len(rows)):
         starts.append(int(np.argmin(near)))
         near = np.maximum(near, rows @ rows[starts[-1]])
     centroids = rows[starts]
-    for _ in range(ROUNDS):
-        own = np.argmax(rows @ centroids.T, axis=1)
-        for c in range(len(centroids)):
-            mean = rows[own == c].sum(axis=0)
-            if np.linalg.norm(mean) > 0:
-                centroids[c] = mean / np.linalg.norm(mean)
-    cosine = rows @ centroids.T
-    own = np.argmax(cosine, axis=1)
-    lowest = np.array([cosine[own == c, c].min() if (own == c).any() else 1.0 for c in range(len(centroids))])
-    return centroids, lowest
+    while True:
+        for _ in range(ROUNDS):
+            own = np.argmax(rows @ centroids.T, axis=1)
+            for c in range(len(centroids)):
+                mean = rows[own == c].sum(axis=0)
+                if np.linalg.norm(mean) > 0:
+                    centroids[c] = mean / np.linalg.norm(mean)
+        held = np.bincount(np.argmax(rows @ centroids.T, axis=1), minlength=len(centroids))
+        if len(centroids) == 1 or held.min() >= LEAST_SHARE * len(rows):
+            return centroids
+        centroids = np.delete(centroids, np.argmin(held), axis=0)  # an outlier is no cluster
+
+
+def limits(found: dict[int, tuple[int, float]]) -> np.ndarray:
+    """Limit of each size class from the number and low cosine of its texts: a shorter text's is never higher.
+
+    A class with few texts takes that of the next smaller one, or of the smallest that has enough; without any such,
+    all classes count.
+    """
+    known = {c: low for c, (n, low) in found.items() if n >= FEW} or {c: low for c, (_, low) in found.items()}
+    out, last = np.zeros(CLASSES), known[min(known)] if known else 0.0
+    for c in range(CLASSES):
+        last = out[c] = known.get(c, last)
+    return MARGIN * np.minimum.accumulate(out[::-1])[::-1]
 
 
 @dataclass
 class Model:
-    """Centroids with their language and lowest cosine.  Its size is languages x CLUSTERS x 2 * BUCKETS x 4 bytes."""
+    """Centroids with their language, and its limit for each size class.
+
+    Its size is languages x CLUSTERS x 2 * BUCKETS x 4 bytes.
+    """
 
     languages: list[str]
     centroids: np.ndarray
-    lowest: np.ndarray
+    limit: np.ndarray
     idf: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -90,10 +126,12 @@ class Model:
         lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if some and len(self.languages):
-            cosine = weigh(counts([texts[i] for i in some]), self.idf) @ self.centroids.T
+            rows = counts([texts[i] for i in some])
+            cosine = weigh(rows, self.idf) @ self.centroids.T
             best = np.argmax(cosine, axis=1)
-            for i, b, c in zip(some, best.tolist(), cosine[np.arange(len(best)), best].tolist(), strict=True):
-                lang[i], score[i], far[i] = self.languages[b], min(1.0, max(0.0, c)), c < MARGIN * self.lowest[b]
+            least = self.limit[best, size_class(rows)]
+            for i, b, c, low in zip(some, best.tolist(), cosine[np.arange(len(best)), best].tolist(), least.tolist(), strict=True):
+                lang[i], score[i], far[i] = self.languages[b], min(1.0, max(0.0, c)), c < low or c <= 0
         return lang, score, far
 
 
@@ -114,9 +152,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
         for batch in batches:
             for block in blocks(batch):
                 out = [r.tobytes() for r in counts(block.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([block.column("lang"), block.column("doc_id"), pa.array(out, pa.binary())], ["lang", "doc_id", "counts"])
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("lang", "doc_id", "text")), pa.array(out, pa.binary())], ["lang", "doc_id", "text", "counts"])
 
-    held = stage(chosen.mapInArrow(count, "lang string, doc_id long, counts binary"), "language-sample")
+    held = stage(chosen.mapInArrow(count, "lang string, doc_id long, text string, counts binary"), "language-sample")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = 0, np.zeros(dim)
@@ -131,12 +169,28 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
-        c, lowest = cluster(weigh(np.stack([np.frombuffer(x, np.float32) for x in pdf["counts"]]), idf))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "place": range(len(c)), "centroid": [x.astype(np.float32).tobytes() for x in c], "lowest": lowest})
+        c = cluster(weigh(np.stack([np.frombuffer(x, np.float32) for x in pdf["counts"]]), idf))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "place": range(len(c)), "centroid": [x.astype(np.float32).tobytes() for x in c]})
 
-    found = held.groupBy("lang").applyInPandas(centroids, "lang string, place int, centroid binary, lowest double").orderBy("lang", "place").collect()
+    found = held.select("lang", "doc_id", "counts").groupBy("lang").applyInPandas(centroids, "lang string, place int, centroid binary").orderBy("lang", "place").collect()
     matrix = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, dim), np.float32)
-    return Model([r["lang"] for r in found], matrix, np.array([r["lowest"] for r in found]), idf)
+    own = np.array([r["lang"] for r in found], dtype=object)
+    shared = labelled.sparkSession.sparkContext.broadcast((own, matrix, idf))
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, matrix, idf = shared.value
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows = counts(pieces(text))
+                cosine = (weigh(rows, idf) @ matrix[own == lang].T).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(size_class(rows)), pa.array(cosine, pa.float64())], ["lang", "class", "cosine"])
+
+    low: dict[str, dict[int, tuple[int, float]]] = {}
+    usual = held.select("lang", "text").mapInArrow(sized, "lang string, class long, cosine double").groupBy("lang", "class")
+    for r in usual.agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(LOW)).alias("low")).collect():
+        low.setdefault(r["lang"], {})[r["class"]] = r["n"], r["low"]
+    limit = np.stack([limits(low[x]) for x in own]) if found else np.zeros((0, CLASSES))
+    return Model(own.tolist(), matrix, limit, idf)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -102,6 +102,27 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_short_texts_stay_and_other_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs)
+    rows = np.random.default_rng(1).normal(size=(200, 8)) * 0.05 + np.eye(8)[0]
+    rows = np.vstack([rows, np.eye(8)[5:]])
+    assert len(language.cluster(rows / np.linalg.norm(rows, axis=1, keepdims=True))) < 4  # three outliers are no clusters
+    short = ["Is nd of thlying.", "In. The.", "The end.", "Das ist gut.", "Bonjour, merci.", "Hola amigo", "Je ne sais pas.", "Der Hund schläft"]
+    assert not model.predict(short)[2].any()
+    other = [
+        "Съешь ещё этих мягких французских булок, да выпей чаю.", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί.",
+        "今日は天気がいいので公園を散歩しました。", "الطقس جميل اليوم وذهبنا للتنزه في الحديقة",
+        "Tänään sää on hyvä, ja me menimme kävelylle puistoon, jossa lapset leikkivät iloisesti koko päivän. " * 4,
+        "Ma szép az idő, ezért sétálni mentünk a parkba, ahol a gyerekek egész nap játszottak. " * 4,
+    ]
+    assert model.predict(other)[2].all()
+    texts = [r.text for r in docs.where("text rlike '\\\\p{L}'").collect()]
+    far = model.predict(texts)[2]
+    print("rejected", far.sum(), "of", len(texts))
+    assert far.sum() <= 0.001 * len(texts)
+
+
 def test_odd_rows(odd, none):
     model = language.fit(odd)
     found = {r.doc_id: r for r in language.identify(odd, model).collect()}
