@@ -3,7 +3,8 @@
 A line walks a tree of fixed depth: its number of tokens, then its leading tokens, with tokens that hold a digit as a
 variable field.  At the leaf, a template keeps the other tokens of the line except one variable stretch: the tokens
 behind the leading ones are cut into SEGMENTS, and each choice of a stretch gives one candidate template, beside the
-line as it stands.  A template found in many documents is recurring; its line stays in the document with the smallest
+line with its variable fields alone.  A template has at least as many words as variable fields; a line without such
+stands for itself.  A template found in many documents is recurring; its line stays in the document with the smallest
 id and is dropped from the others.
 
 The tree is kept as keys: a template is the hash of its path and fixed tokens, so counting templates is one aggregate
@@ -31,21 +32,31 @@ MIN_DOCS = 10
 
 
 _DIGIT = re.compile(r"\d")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def templates(line: str, depth: int = DEPTH, segments: int = SEGMENTS, general: int = GENERAL) -> list[str]:
-    """Templates of a line, the strictest first; none for a line without tokens.  Variable fields are written <*>."""
-    tokens = line.split()
-    if _DIGIT.search(line):
-        tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
-    if not tokens:
+    """Templates of a line, the strictest first; none for a line without tokens.  Variable fields are written <*>.
+
+    Tokens with a letter and without a digit are words.  A template needs as many of them as it has variable fields,
+    else rows of numbers, dates or ids would all look alike: such a line is compared as it stands.
+    """
+    raw = line.split()
+    if not raw:
         return []
-    out = [" ".join(tokens)]
+    tokens, words, fields = raw, [bool(_LETTER.search(t)) for t in raw], [False] * len(raw)
+    if _DIGIT.search(line):
+        fields = [bool(_DIGIT.search(t)) for t in raw]
+        tokens = ["<*>" if f else t for t, f in zip(raw, fields, strict=True)]
+        words = [w and not f for w, f in zip(words, fields, strict=True)]
+    n_words, n_fields = sum(words), sum(fields)
+    out = [" ".join(tokens) if n_words >= n_fields else f"={' '.join(raw)}"]
     if len(tokens) >= general:
         rest = len(tokens) - depth
         for s in range(segments):
             a, b = depth + rest * s // segments, depth + rest * (s + 1) // segments
-            out.append(f"{len(tokens)} " + " ".join([*tokens[:a], "<*>", *tokens[b:]]))
+            if n_words - sum(words[a:b]) > n_fields - sum(fields[a:b]):  # the stretch is one more field
+                out.append(f"{len(tokens)} " + " ".join([*tokens[:a], "<*>", *tokens[b:]]))
     return out
 
 

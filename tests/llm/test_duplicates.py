@@ -162,6 +162,13 @@ def test_templates_generalise():
     assert line_dedup.templates(" \t") == []
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    rows = [(i, f"{i * 7} {i * 3}.5\n2024-01-{10 + i}\n| {i} | {i + 1} |\n{' '.join(str(i + k) for k in range(9))}\nPage {i} of 20\n12 34") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(df, 10).collect()}
+    assert got == {i: t if i == 0 else "\n".join(t.split("\n")[:4]) for i, t in rows}
+
+
 def test_recurring_lines(spark, docs, odd):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     made = [(1000 + i, f"Licensed by number {i}\nown line {chr(97 + i) * 5}\n\nall rights of this page and its parts {chr(97 + i)} stay with us") for i in range(12)]
