@@ -37,11 +37,20 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five words, similarity 0.8); repeated rows go."""
-    found = near_dup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    with_id = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
-    rows = with_id.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """Keeps the first document of each group of near copies (five words, similarity 0.8); repeated rows go.
+
+    Each distinct pair of doc_id and text is a document of its own.  They are ordered by doc_id, those without one
+    last, then by the digest of the text; of rows that differ in the other columns alone, the least one stays.
+    """
+    rest = F.struct("lang", "source", "n_chars")
+    rows = docs.select(*COLUMNS).withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    pairs = rows.groupBy("doc_id", "digest").agg(F.min(rest).alias("least"))
+    pairs = pairs.orderBy(F.asc_nulls_last("doc_id"), "digest").select("doc_id", "digest", "least", F.monotonically_increasing_id().alias("key"))
+    own = stage(pairs, "pipeline-near-keys").withColumnsRenamed({"doc_id": "own_id", "digest": "own_digest"})
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")) & rest.eqNullSafe(F.col("least"))
+    keyed = stage(rows.join(own, same).select("key", *COLUMNS), "pipeline-near-rows")
+    found = near_dup.near_duplicates(keyed, width=5, percent=80, id_col="key").where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(found, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

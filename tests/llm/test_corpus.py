@@ -154,6 +154,23 @@ def test_pipeline_stages(spark, odd, none, tmp_path, empty):
         rows = out
 
 
+def test_near_copies_with_shared_and_missing_ids(spark):
+    def words(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [
+        (1, a, "en"), (1, b, "en"), (1, b, "de"), (1, b, "en"),  # two texts under one id, and repeated rows
+        (2, b + " more", "en"), (3, a, "en"), (None, a, "en"), (None, c, "fr"), (None, c + " x", "en"), (None, c, "fr"), (4, d, "en"), (None, d, "en"),
+    ]
+    want = sorted([(1, a, "en"), (1, b, "de"), (4, d, "en")], key=str)
+    for n in (1, 7):
+        df = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = [(r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_near_copies(spark, df.repartition(n), SMALL).collect()]
+        assert sorted((r for r in got if r[0]), key=str) == want
+        assert len(got) == 4 and [t for i, t, _ in got if i is None][0] in (c, c + " x")
+
+
 def test_pipeline(spark, docs):
     from test_duplicates import brute_lines, brute_near, brute_repeats
 
