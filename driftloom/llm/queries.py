@@ -33,7 +33,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
-    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20)
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), 20, whole=True)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import parts, vectors
+from driftloom.llm.common import finite, parts, vectors
 from driftloom.sources.stage import stage
 
 #: Rows of a candidate group and of a query block at most, on average.
@@ -25,8 +25,8 @@ GROUP_ROWS, QUERY_ROWS = 65_536, 8_192
 #: Segments of each level; tiles of queries and candidates that are bounded together.
 LEVELS = (1, 4, 16)
 TILE_QUERIES, TILE_ROWS = 64, 4_096
-#: Scores stay exact in 64 bits for components below this; larger ones take no part.
-LARGEST = 1 << 27
+#: Scores and sums of this size are exact in 64 bits; larger ones are added up in Python.
+SAFE = 2.0**62
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -45,10 +45,23 @@ def statistics(rows: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(width), rest], axis=1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while these hold them, else in 64-bit integers."""
-    most = max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1) * a.shape[1]
-    return (a @ b.T).astype(np.int64) if most < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
+def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact integer inner products, and which are not below a long: in doubles while these hold them, else in 64-bit
+    integers, else in Python.  One above a long raises."""
+    most = max(float(np.abs(a).max(initial=0)), 1.0) * max(float(np.abs(b).max(initial=0)), 1.0) * a.shape[1]
+    fits = np.ones((len(a), len(b)), dtype=bool)
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64), fits
+    with np.errstate(invalid="ignore", over="ignore"):  # what does not fit is added up below
+        out = a.astype(np.int64) @ b.astype(np.int64).T
+        wide = np.argwhere(~(np.abs(a) @ np.abs(b).T < SAFE)) if most >= SAFE else ()
+    for i, j in wide:
+        score = sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))
+        if score >= 2**63:
+            raise OverflowError(f"the score {score} does not fit a long")
+        fits[i, j] = score >= -(2**63)
+        out[i, j] = score if fits[i, j] else 0
+    return out, fits
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +70,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
         floor = np.partition(score, len(score) - k)[len(score) - k]
         keep = score >= floor
         score, ids = score[keep], ids[keep]
-    order = np.lexsort((ids, -score))[:k]
+    order = np.lexsort((ids, ~score))[:k]  # the least long has no negative
     return score[order], ids[order]
 
 
@@ -65,24 +78,26 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     """Top k of each query among the candidates, without the query's own id."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids]
     near = [statistics(c, n) for n in LEVELS]
+    sizes = np.sqrt((c**2).sum(axis=1))
     order = np.argsort(-near[0][:, 0], kind="stable")  # similar means stand together
     for low in range(0, len(q), TILE_QUERIES):
         own = slice(low, min(low + TILE_QUERIES, len(q)))
         mine = [statistics(q[own], n) for n in LEVELS]
+        own_sizes = np.sqrt((q[own] ** 2).sum(axis=1))
         floor = np.full(own.stop - low, -np.inf)
         for start in range(0, len(order), TILE_ROWS):
             rows = order[start : start + TILE_ROWS]
             for have, want in zip(near, mine, strict=True):
                 bound = want @ have[rows].T
-                bound += 1e-6 * (1 + np.abs(bound))  # rounding must not lose a row
-                rows = rows[(bound >= floor[:, None]).any(axis=0)]
+                bound += 1e-6 * (1 + np.abs(bound)) + 1e-9 * np.outer(own_sizes, sizes[rows])  # rounding must not lose a row
+                rows = rows[~(bound < floor[:, None]).all(axis=0)]  # a bound that is no number keeps it
                 if not len(rows):
                     break
             if not len(rows):
                 continue
-            exact = products(q[own], c[rows])
+            exact, fits = products(q[own], c[rows])
             for i in range(own.stop - low):
-                at = np.flatnonzero((exact[i] >= floor[i]) & (c_ids[rows] != q_ids[low + i]))
+                at = np.flatnonzero(fits[i] & (exact[i] >= floor[i]) & (c_ids[rows] != q_ids[low + i]))
                 if len(at):
                     score, ids = found[low + i]
                     found[low + i] = best(np.append(score, exact[i, at]), np.append(ids, c_ids[rows[at]]), k)
@@ -114,19 +129,28 @@ def meet(queries: DataFrame, rows: DataFrame, run, schema: str, n_rows: int, n_q
     return left.cogroup(right).applyInArrow(run, schema)
 
 
-def top_k(vectors_df: DataFrame, queries_df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
+def top_k(
+    vectors_df: DataFrame, queries_df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, *, whole: bool = False
+) -> DataFrame:
     """The k rows with the highest inner product of floor(scale * x), for each query: query_id, rank, vec_id, score.
 
     Ties go to the smaller vec_id; a query's own id is no candidate; with fewer candidates all are returned, and a
-    query without any has no rows.  Rows with a null id, a null or empty vector, null or non-finite components, or
-    components beyond 2**27 after scaling take no part.  Rows that repeat id and vector count once.  Vectors are
+    query without any has no rows.  Rows with a null id, a null or empty vector, or components that are null or not
+    finite (before or after scaling) take no part.  Rows that repeat id and vector count once.  Vectors are
     compared with those of their own dimension.  Extra columns are not read; empty tables give an empty result.
+
+    With ``whole`` all other rows take part: a score above a long raises, a pair whose score is below a long is left
+    out.  Without it, vectors whose inner product with themselves (scaled) is not below 2**63 are left out too, also
+    where their scores with others would fit; no score is outside of a long then.
     """
-    cell = F.transform("vector", lambda x: F.floor(x * F.lit(scale)).cast("double"))
+    large = F.lit(2.0**52)  # doubles from here on are integers, and may not fit a long
+    cell = F.transform("vector", lambda x: F.when(F.abs(x * scale) < large, F.floor(x * scale).cast("double")).otherwise(x * scale))
 
     def ready(df: DataFrame) -> DataFrame:
-        whole = vectors(df, id_col, vector_col).where(~F.exists("vector", lambda x: F.abs(x) > LARGEST / scale))
-        return whole.select("vec_id", cell.alias("vector")).dropDuplicates()
+        rows = vectors(df, id_col, vector_col).select("vec_id", cell.alias("vector")).where(finite(F.col("vector")))
+        if not whole:
+            rows = rows.where(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) < 2.0**63)
+        return rows.dropDuplicates()
 
     rows, queries = stage(ready(vectors_df), "topk-rows"), stage(ready(queries_df), "topk-queries")
 

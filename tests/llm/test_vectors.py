@@ -28,6 +28,26 @@ def test_pruned_search_is_exact():
         assert s.tolist() == score[i, order].tolist() and own.tolist() == ids[order].tolist()
 
 
+def test_large_components_take_part(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    table = rng.normal(size=(300, 4)) * 10.0 ** rng.integers(0, 7, (300, 1))
+    table[1::2, 0] = np.arange(1, 300, 2) % 5  # the queries
+    rows = list(enumerate(table.tolist())) + [(300, [1e7, 1e7, 1.0, 0.0]), (301, [-1e12, 1.0, 2.0, 3.0]), (302, [-1e30, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in range(1, 300, 2):
+        score = sorted((-sum(a * b for a, b in zip(scaled[q], v, strict=True)), i) for i, v in scaled.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate([x for x in score if -x[0] >= -(2**63)][:120])]
+    assert any(i == 302 for _, _, i, _ in want) and max(s for *_, s in want) < 2**63
+    got = topk.top_k(df, df.where("vec_id % 2 = 1 and vec_id < 300"), 120, whole=True).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    df.where("vec_id in (1, 3)").union(spark.createDataFrame([(20, [1e7, 1.0, 1.0, 1.0]), (21, [1e7, 2.0, 1.0, 1.0])], df.schema)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id for r in queries.op2_topk(spark, str(tmp_path)).where("query_id = 20").collect()} == {1, 3, 21}
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(df, spark.createDataFrame([(400, [-1e30, 0.0, 0.0, 0.0])], df.schema), 2, whole=True).collect()
+
+
 def test_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     table = rows.toPandas()
