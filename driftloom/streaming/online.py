@@ -104,12 +104,10 @@ class WindowMonitor:
         return f"{self.root}/{table}/epoch={epoch}"
 
     def _read(self, table: str, epoch: int, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self._epoch(table, epoch))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """State after an epoch; before the first it is empty, later a missing folder raises."""
+        if epoch < 0:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._epoch(table, epoch))
 
     def process(self, rows: DataFrame, epoch: int) -> None:
         """One micro-batch; to be passed to ``foreachBatch``."""

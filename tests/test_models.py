@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from driftloom.operators import models as L
@@ -94,6 +95,16 @@ def test_window_monitor_does_not_depend_on_micro_batches(spark, tmp_path):
     assert one["window_size"].tolist()[:2] == [500, 1000]
 
 
+def test_lost_state_raises(spark, tmp_path):
+    pdf = predictions(90)
+    watch = O.WindowMonitor(spark, str(tmp_path / "w"), spark.createDataFrame(predictions(300)).drop("model_id"), ["x"], [], ["t"], size=40, every=20)
+    watch.process(spark.createDataFrame(pdf[:40]), 0)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        watch.process(spark.createDataFrame(pdf[40:]), 2)  # the state of epoch 1 is not there
+    watch.process(spark.createDataFrame(pdf[40:]), 1)
+    assert spark.read.parquet(f"{tmp_path}/w/served/epoch=1").agg(F.sum("served")).first()[0] == 90
+
+
 def test_small_windows_are_skipped(spark, tmp_path):
     pdf = predictions(90)
     watch = O.WindowMonitor(spark, str(tmp_path / "w"), spark.createDataFrame(predictions(300)).drop("model_id"), ["x"], [], ["t"], size=40, every=20)
