@@ -41,22 +41,30 @@ def templates(line: str, depth: int = DEPTH, segments: int = SEGMENTS, general:
     Tokens with a letter and without a digit are words.  A template needs as many of them as it has variable fields,
     else rows of numbers, dates or ids would all look alike: such a line is compared as it stands.
     """
-    raw = line.split()
-    if not raw:
+    tokens = line.split()
+    if not tokens:
         return []
-    tokens, words, fields = raw, [bool(_LETTER.search(t)) for t in raw], [False] * len(raw)
-    if _DIGIT.search(line):
-        fields = [bool(_DIGIT.search(t)) for t in raw]
-        tokens = ["<*>" if f else t for t, f in zip(raw, fields, strict=True)]
-        words = [w and not f for w, f in zip(words, fields, strict=True)]
+    if not _DIGIT.search(line):  # one word is enough beside a variable stretch
+        out = [" ".join(tokens)]
+        if len(tokens) >= general:
+            rest = len(tokens) - depth
+            for s in range(segments):
+                a, b = depth + rest * s // segments, depth + rest * (s + 1) // segments
+                left = [*tokens[:a], "<*>", *tokens[b:]]
+                if any(_LETTER.search(t) for t in left):
+                    out.append(f"{len(tokens)} " + " ".join(left))
+        return out
+    fields = [bool(_DIGIT.search(t)) for t in tokens]
+    words = [not f and bool(_LETTER.search(t)) for t, f in zip(tokens, fields, strict=True)]
     n_words, n_fields = sum(words), sum(fields)
-    out = [" ".join(tokens) if n_words >= n_fields else f"={' '.join(raw)}"]
+    masked = ["<*>" if f else t for t, f in zip(tokens, fields, strict=True)]
+    out = [" ".join(masked) if n_words >= n_fields else f"={' '.join(tokens)}"]
     if len(tokens) >= general:
         rest = len(tokens) - depth
         for s in range(segments):
             a, b = depth + rest * s // segments, depth + rest * (s + 1) // segments
             if n_words - sum(words[a:b]) > n_fields - sum(fields[a:b]):  # the stretch is one more field
-                out.append(f"{len(tokens)} " + " ".join([*tokens[:a], "<*>", *tokens[b:]]))
+                out.append(f"{len(tokens)} " + " ".join([*masked[:a], "<*>", *masked[b:]]))
     return out
 
 
