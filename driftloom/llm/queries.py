@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, sharding, suffix_dedup, token_counts, topk
+from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, resampling, sharding, suffix_dedup, token_counts, topk
 
 #: Tokens of a sequence, and of a text that is over the limit.
 SEQUENCE, LIMIT = 2048, 4096
@@ -83,7 +83,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_token_counts, op4_ann, op5_suffix_dedup, op6_packing, op7_near_dup, op8_sharding, op9_language, op10_line_dedup)}
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_topk, op3_token_counts, op4_ann, op5_suffix_dedup, op6_packing, op7_near_dup, op8_sharding, op9_language, op10_line_dedup,
+        op13_resampling,
+    )
+}
 
 ORACLE = {
     "op2_topk": """
@@ -125,4 +135,49 @@ with recursive words as (
 )
 select w.doc_id, coalesce(s.n, 0) as n_shingles, f.root as component_id, f.root = w.doc_id as kept
 from words w left join sizes s using (doc_id) join found f on f.node = w.doc_id""",
+    "op13_resampling": r"""
+with table256 as (
+  select [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+    for i in range(256)] as tab
+), docs as (
+  select row_number() over () as row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), wanted as (
+  select unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+  from benchmark
+), said as (
+  select row, unnest(w) as word from docs
+), bytes as (
+  select word, [cast('0x' || h as bigint) for h in regexp_extract_all(hex(encode(word)), '..')] as b
+  from (select word from said union select word from wanted)
+), hashed as (
+  select word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+  from bytes, table256
+), corpus as (
+  select bucket, count(*) as s from said join hashed using (word) group by bucket
+), target as (
+  select bucket, count(*) as t from wanted join hashed using (word) group by bucket
+), totals as (
+  select (select count(*) from said) as total_s, (select count(*) from wanted) as total_t
+), gain as (
+  select bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * (total_s + 10000) as double)
+    / cast((coalesce(s, 0) + 1) * (total_t + 10000) as double))) as bigint) as gain
+  from corpus full join target using (bucket), totals
+), weights as (
+  select row, sum(gain) as weight from said join hashed using (word) join gain using (bucket) group by row
+), noise as (
+  select row, doc_id, len(w) as n, coalesce(weight, 0) as weight,
+    cast('0x' || substr(sha256('2024:' || cast(doc_id as varchar)), 1, 8) as bigint) as h
+  from docs left join weights using (row)
+), scored as (
+  select row, doc_id, n, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) as bigint) as score from noise
+), ranked as (
+  select row, row_number() over (order by score desc, doc_id) as rank, count(*) over () as able
+  from scored where n >= 20 and score is not null
+)
+select doc_id, cast(n as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+  cast(case when rank <= able * 10 // 100 then rank end as bigint) as rank
+from scored left join ranked using (row)""",
 }
