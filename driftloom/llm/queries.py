@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, resampling, sharding, suffix_dedup, token_counts, topk
+from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, periodic_runs, resampling, sharding, suffix_dedup, token_counts, topk
 
 #: Tokens of a sequence, and of a text that is over the limit.
 SEQUENCE, LIMIT = 2048, 4096
@@ -83,6 +83,43 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(_documents(spark, sf_dir))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document or so, by a hash of its id, repeats a block of its own words up to its end."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    w = F.regexp_extract_all(F.col("text"), F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    hit = F.coalesce((F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = rows.withColumn("w", F.when(hit, w)).withColumn("n", F.size("w").cast("long")).withColumn("a", F.col("g") % F.col("n"))
+    rest = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", 1 + F.floor(rest / (3 + F.col("g") % 8)))
+    block = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int")))
+    planted = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n"))
+    return rows.select("doc_id", F.when(hit, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.collapse_runs(_with_planted_runs(_documents(spark, sf_dir)))
+
+    def better(a, b):
+        first = a["length"] * b["period"] - b["length"] * a["period"]
+        return F.when(first > 0, -1).when(first < 0, 1).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["period"] - b["period"])
+
+    best = F.get(F.array_sort("runs", lambda a, b: F.signum(better(a, b)).cast("int")), F.lit(0))
+    listed = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    rows = rows.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -91,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_topk, op3_token_counts, op4_ann, op5_suffix_dedup, op6_packing, op7_near_dup, op8_sharding, op9_language, op10_line_dedup,
-        op13_resampling,
+        op12_periodic_runs, op13_resampling,
     )
 }
 
