@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, periodic_runs, resampling, sharding, suffix_dedup, token_counts, topk
+from driftloom.llm import ann, bpe, language, line_dedup, near_dup, packing, periodic_runs, quality, resampling, sharding, suffix_dedup, token_counts, topk
 
 #: Tokens of a sequence, and of a text that is over the limit.
 SEQUENCE, LIMIT = 2048, 4096
@@ -83,6 +83,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(_documents(spark, sf_dir))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0, F.lit(False))
+    rows = quality.score(docs, quality.fit(docs, labels.where(~held_out)))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """Every tenth document or so, by a hash of its id, repeats a block of its own words up to its end."""
     h = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8"))
@@ -128,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_topk, op3_token_counts, op4_ann, op5_suffix_dedup, op6_packing, op7_near_dup, op8_sharding, op9_language, op10_line_dedup,
-        op12_periodic_runs, op13_resampling,
+        op11_quality, op12_periodic_runs, op13_resampling,
     )
 }
 
