@@ -30,11 +30,11 @@ LEAST, TIMES = 6, 4
 BASE = 8
 #: Words of a tile's segment, at least; octaves up to this end compare all boundaries of a tile side by side.
 SEGMENT, SIDE_BY_SIDE = 256, 16
+#: Bytes of text with runs whose tiles one task solves.
+PART_BYTES = 4 << 20
 #: Period and length of a block of words that every run of this period repeats at its distance.
 _BASE_BLOCKS = ((1, 4), (2, 4), (3, 8), (4, 8), (5, 8), (6, 16), (7, 16))
 
-_PENDING = "key long, doc_id long, text string"
-
 
 def octaves(n: int) -> Iterator[tuple[int, int, int]]:
     """First period, end of periods and distance of boundaries of each octave that fits into n words."""
@@ -307,7 +307,9 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("carry"))
     pending = stage(_busy(rows).withColumn("key", F.monotonically_increasing_id()), "runs-pending")
-    tiles = _tiles(pending).repartition("key", "first", "at")  # a long document's tiles are many tasks' work
+    held = pending.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(-(-held // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // BLOCK_BYTES), 1)
+    tiles = _tiles(pending).repartition(n_parts, "key", "first", "at")  # a long document's tiles are many tasks' work
     runs = stitched(_solved(tiles)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     runs = runs.withColumn("runs", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))))
     runs = stage(runs, "runs-found")

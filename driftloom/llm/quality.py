@@ -3,7 +3,7 @@
 Every word, pair of neighbouring words and character n-gram of a word hashes into a table of learned vectors.  A
 document is the average of its features' vectors, and a softmax layer turns that into the chance of each label.  Vectors
 and layer are learned together by stochastic gradient descent in numpy: each round, every shard of the sample starts
-from the same model and takes one document after another; the shards' models are then averaged.
+from the same model and takes one document after another, several times; the shards' models are then averaged.
 
 To score, vectors and layer fold into one number a bucket, as the average of products is the product of the average.
 """
@@ -29,9 +29,9 @@ BUCKETS, DIMS = 1 << 16, 16
 #: Lengths of character n-grams, over the bytes of a word between < and >.
 GRAMS = (2, 3, 4)
 #: The model is fitted on about this many labelled documents of each label (all, if there are fewer).
-SAMPLE = 4000
-#: Shards of the sample, rounds over it, and the first step, which falls to zero.
-SHARDS, ROUNDS, STEP = 4, 6, 2.0
+SAMPLE = 2000
+#: Shards of the sample, rounds, passes of a shard in a round, and the first step, which falls to zero.
+SHARDS, ROUNDS, PASSES, STEP = 4, 2, 3, 2.0
 #: Longer words are not kept hashed; words that a task keeps.
 LONG, HELD = 64, 100_000
 
@@ -54,13 +54,13 @@ def pair_features(hashes: np.ndarray) -> np.ndarray:
 
 
 def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and the share of each among its features."""
+    """Distinct buckets of a text (16 bits each) and how often each occurs."""
     found = [memo[w] if len(w) <= LONG else word_features(w) for w in text.split()]
     if not found:
-        return np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.uint32)
     pairs = pair_features(np.array([h for h, _ in found], np.uint32))
     some, n = np.unique(np.concatenate([pairs, *(f for _, f in found)]), return_counts=True)
-    return some.astype(np.uint32), (n / n.sum()).astype(np.float32)
+    return some.astype(np.uint16), n.astype(np.uint32)
 
 
 @dataclass
@@ -80,7 +80,8 @@ class Model:
         """One document after another in a seeded order, with steps from ``first`` to ``last``."""
         order = np.random.default_rng(seed).permutation(len(documents))
         for place, k in enumerate(order.tolist()):
-            buckets, share, label, weight = documents[k]
+            buckets, n, label, weight = documents[k]
+            share = (n / max(1, n.sum())).astype(np.float32)
             step = np.float32((first + (last - first) * place / len(order)) * weight)
             mean = share @ self.vectors[buckets]
             logits = self.layer @ mean + self.offset
@@ -101,7 +102,7 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_id_col: str, label_col: str) -> DataFrame:
-    """doc_id, label, weight, shard, buckets and shares of the labelled documents to fit on."""
+    """doc_id, label, weight, shard, buckets and counts of the labelled documents to fit on."""
     known = labels.groupBy(F.col(label_id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.col("label") == F.col("other")))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -124,9 +125,9 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
                 memo.turn()
                 found = [document_features(t.encode(), memo) for t in block.column("text").to_pylist()]
                 arrays = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "label", "weight", "shard")), *arrays], ["doc_id", "label", "weight", "shard", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "label", "weight", "shard")), *arrays], ["doc_id", "label", "weight", "shard", "buckets", "counts"])
 
-    return stage(one.mapInArrow(run, "doc_id long, label int, weight double, shard int, buckets binary, shares binary"), "quality-sample")
+    return stage(one.mapInArrow(run, "doc_id long, label int, weight double, shard int, buckets binary, counts binary"), "quality-sample")
 
 
 def _round(shared: Broadcast, r: int, first: float, last: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -135,8 +136,10 @@ def _round(shared: Broadcast, r: int, first: float, last: float) -> Callable[[pd
     def descend(pdf: pd.DataFrame) -> pd.DataFrame:
         own = Model(**{k: v.copy() for k, v in shared.value.items()})
         pdf = pdf.sort_values("doc_id", kind="stable")
-        known = zip(pdf["buckets"], pdf["shares"], pdf["label"].tolist(), pdf["weight"].tolist(), strict=True)
-        own.descend([(np.frombuffer(b, np.uint32), np.frombuffer(s, np.float32), k, w) for b, s, k, w in known], first, last, r)
+        known = zip(pdf["buckets"], pdf["counts"], pdf["label"].tolist(), pdf["weight"].tolist(), strict=True)
+        documents = [(np.frombuffer(b, np.uint16), np.frombuffer(n, np.uint32), k, w) for b, n, k, w in known]
+        for p in range(PASSES):
+            own.descend(documents, first + (last - first) * p / PASSES, first + (last - first) * (p + 1) / PASSES, r * PASSES + p)
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(pdf)], **{k: [v.tobytes()] for k, v in own.arrays().items()}})
 
     return descend

@@ -14,8 +14,8 @@ FOLDER = "/root/testdata/sf0.1"
 
 def softmax_score(model, text):
     """Score from the vectors and the layer, without folding and without a memo."""
-    buckets, share = quality.document_features((text or "").encode(), Memo(quality.word_features, 1000))
-    logits = model.layer.astype(float) @ (share.astype(float) @ model.vectors[buckets].astype(float)) + model.offset
+    buckets, n = quality.document_features((text or "").encode(), Memo(quality.word_features, 1000))
+    logits = model.layer.astype(float) @ (n / max(1, n.sum()) @ model.vectors[buckets].astype(float)) + model.offset
     return np.exp(logits[1]) / np.exp(logits).sum()
 
 
@@ -45,10 +45,10 @@ def test_a_step_goes_down_the_gradient():
     rng = np.random.default_rng(3)
     model = quality.Model.start(1)
     model.layer += rng.normal(size=model.layer.shape).astype(np.float32)
-    buckets, share = np.array([3, 9, 77], np.uint32), np.array([0.5, 0.25, 0.25], np.float32)
+    buckets, n = np.array([3, 9, 77], np.uint16), np.array([2, 1, 1], np.uint32)
 
     def loss(m):
-        logits = m.layer.astype(float) @ (share.astype(float) @ m.vectors[buckets].astype(float)) + m.offset
+        logits = m.layer.astype(float) @ (n / 4 @ m.vectors[buckets].astype(float)) + m.offset
         return np.log(np.exp(logits).sum()) - logits[1]
 
     for name, place in (("layer", (0, 2)), ("offset", (1,)), ("vectors", (9, 4)), ("vectors", (3, 0))):
@@ -56,7 +56,7 @@ def test_a_step_goes_down_the_gradient():
         up.arrays()[name][place] += 1e-2
         down.arrays()[name][place] -= 1e-2
         slope = (loss(up) - loss(down)) / 2e-2
-        after.descend([(buckets, share, 1, 1.0)], 1e-3, 1e-3, 0)
+        after.descend([(buckets, n, 1, 1.0)], 1e-3, 1e-3, 0)
         assert (model.arrays()[name][place] - after.arrays()[name][place]) / 1e-3 == pytest.approx(slope, rel=0.02, abs=2e-4)
 
 
