@@ -21,7 +21,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import Memo, blocks
+from driftloom.llm.common import blocks
 from driftloom.sources.stage import stage
 
 #: Rows of the table of vectors (a power of two), and their length.
@@ -32,35 +32,79 @@ GRAMS = (2, 3, 4)
 SAMPLE = 2000
 #: Shards of the sample, rounds, passes of a shard in a round, and the first step, which falls to zero.
 SHARDS, ROUNDS, PASSES, STEP = 4, 2, 3, 2.0
-#: Longer words are not kept hashed; words that a task keeps.
-LONG, HELD = 64, 100_000
+#: Bytes of words that a task keeps hashed.
+HELD_BYTES = 4 << 20
 
 _PAIR = np.uint32(0x9E3779B1)
-
-
-def word_features(word: bytes) -> tuple[int, np.ndarray]:
-    """Hash of a word, and the buckets of the word and its n-grams."""
-    inside = b"<" + word + b">"
-    grams = [zlib.crc32(inside[i : i + n]) for n in GRAMS for i in range(len(inside) - n + 1)]
-    own = zlib.crc32(word, 1)
-    return own, np.array([own, *grams], np.uint32) & np.uint32(BUCKETS - 1)
-
-
-def pair_features(hashes: np.ndarray) -> np.ndarray:
+#: Factors that spread the codes of n-grams of each length.
+_SPREAD = {2: np.uint32(0x85EBCA6B), 3: np.uint32(0xC2B2AE35), 4: np.uint32(0x27D4EB2F)}
+_SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word; buckets of all words and their n-grams, and which word each belongs to."""
+    own = np.fromiter((zlib.crc32(w, 1) for w in words), np.uint32, len(words))
+    body = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
+    place = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    code, buckets, owner = body, [own >> _SHIFT], [np.arange(len(words))]
+    for n in range(2, max(GRAMS) + 1):
+        code = code[:-1] | body[n - 1 :] << np.uint32(8 * (n - 1))
+        same = place[n - 1 :] == place[: len(place) - n + 1]  # not across two words
+        if n in GRAMS:
+            buckets.append((code[same] * _SPREAD[n]) >> _SHIFT)
+            owner.append(place[n - 1 :][same])
+    return own, np.concatenate(buckets), np.concatenate(owner)
+
+
+def pair_features(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Buckets of pairs of neighbouring words; a word said twice is the same pair whatever the word."""
-    left, right = hashes[:-1], hashes[1:]
-    pair = np.where(left == right, np.uint32(0x5BD1E995), (left * _PAIR ^ right) * _PAIR)
-    return pair >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    return np.where(left == right, np.uint32(0x5BD1E995), (left * _PAIR ^ right) * _PAIR) >> _SHIFT
 
 
-def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text (16 bits each) and how often each occurs."""
-    found = [memo[w] if len(w) <= LONG else word_features(w) for w in text.split()]
-    if not found:
+    words = text.split()
+    if not words:
         return np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-    pairs = pair_features(np.array([h for h, _ in found], np.uint32))
-    some, n = np.unique(np.concatenate([pairs, *(f for _, f in found)]), return_counts=True)
-    return some.astype(np.uint16), n.astype(np.uint32)
+    own, buckets, _ = word_features(words)
+    found = np.bincount(np.concatenate([buckets, pair_features(own[:-1], own[1:])]), minlength=BUCKETS)
+    some = np.flatnonzero(found)
+    return some.astype(np.uint16), found[some].astype(np.uint32)
+
+
+class _Folded:
+    """Words with their hash, the sum of their features' numbers and how many features they have."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.bytes, self.hashes, self.sums, self.sizes = 0, np.zeros(0, np.uint32), np.zeros(0), np.zeros(0)
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """Mean of the features' numbers of each text; 0 without a word."""
+        if self.bytes > HELD_BYTES:
+            self._clear()
+        said = [t.split() for t in texts]
+        flat = [w for words in said for w in words]
+        doc = np.repeat(np.arange(len(texts)), [len(w) for w in said])
+        new = list(set(flat) - self.ids.keys())
+        if new:
+            own, buckets, owner = word_features(new)
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self.bytes += sum(map(len, new))
+            self.hashes = np.concatenate([self.hashes, own])
+            self.sums = np.concatenate([self.sums, np.bincount(owner, weights=self.table[buckets], minlength=len(new))])
+            self.sizes = np.concatenate([self.sizes, np.bincount(owner, minlength=len(new))])
+        ids = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
+        hashes, same = self.hashes[ids], doc[1:] == doc[:-1]
+        pairs = self.table[pair_features(hashes[:-1], hashes[1:])[same]]
+        total, size = (np.bincount(doc, weights=x[ids], minlength=len(texts)) for x in (self.sums, self.sizes))
+        total += np.bincount(doc[1:][same], weights=pairs, minlength=len(texts))
+        size += np.bincount(doc[1:][same], minlength=len(texts))
+        return total / np.maximum(size, 1)
 
 
 @dataclass
@@ -119,11 +163,9 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
     one = rows.groupBy("doc_id", "label", "weight", "shard").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(word_features, HELD // 10)
         for batch in batches:
             for block in blocks(batch):
-                memo.turn()
-                found = [document_features(t.encode(), memo) for t in block.column("text").to_pylist()]
+                found = [document_features(t.encode()) for t in block.column("text").to_pylist()]
                 arrays = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "label", "weight", "shard")), *arrays], ["doc_id", "label", "weight", "shard", "buckets", "counts"])
 
@@ -181,24 +223,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, offset = shared.value
-
-        def known(word: bytes) -> tuple[int, float, int]:
-            own, buckets = word_features(word)
-            return own, float(table[buckets].sum(dtype=np.float64)), len(buckets)
-
-        memo = Memo(known, HELD)
+        folded = _Folded(table)
         for batch in batches:
             for block in blocks(batch):
-                memo.turn()
-                out = []
-                for text in block.column("text").to_pylist():
-                    found = [memo[w] if len(w) <= LONG else known(w) for w in (text or "").encode().split()]
-                    mean = 0.0
-                    if found:
-                        hashes, sums, n = zip(*found, strict=True)
-                        pairs = pair_features(np.array(hashes, np.uint32))
-                        mean = (float(np.sum(sums)) + float(table[pairs].sum(dtype=np.float64))) / (sum(n) + len(pairs))
-                    out.append(0.5 * (1 + np.tanh(0.5 * (mean + offset))))
+                margin = folded.margins([(t or "").encode() for t in block.column("text").to_pylist()]) + offset
+                out = 0.5 * (1 + np.tanh(0.5 * margin))
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(out, pa.float64()), block.column("carry")], ["doc_id", "score", "carry"])
 
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")

@@ -7,14 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.llm import quality, queries
-from driftloom.llm.common import Memo
 
 FOLDER = "/root/testdata/sf0.1"
 
 
 def softmax_score(model, text):
     """Score from the vectors and the layer, without folding and without a memo."""
-    buckets, n = quality.document_features((text or "").encode(), Memo(quality.word_features, 1000))
+    buckets, n = quality.document_features((text or "").encode())
     logits = model.layer.astype(float) @ (n / max(1, n.sum()) @ model.vectors[buckets].astype(float)) + model.offset
     return np.exp(logits[1]) / np.exp(logits).sum()
 
