@@ -10,7 +10,8 @@ as a model id; each key value has its own reference) and the features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ from driftloom.sources.stage import stage
 REF = "is_reference"
 
 
+def null_is_a_key(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets a drift operator see its keys and batch as structs, which are equal to themselves also where they hold null."""
+
+    @wraps(work)
+    def run(df: DataFrame, *args, keys: Sequence[str] = (), batch: str = "batch_id", **rest) -> DataFrame:
+        named = [*keys, batch]
+        out = work(df.withColumns({c: F.struct(F.col(c).alias("v")) for c in named}), *args, keys=keys, batch=batch, **rest)
+        return out.withColumns({c: F.col(c)["v"] for c in named})
+
+    return run
+
+
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(REF)), df.filter(~F.col(REF))
 
@@ -67,13 +80,13 @@ def side_ranges(df: DataFrame, features: Sequence[str], keys: Sequence[str], bat
     prod = prod.select(
         *keys, F.col("_batch").alias(batch), "feature", *[F.col(f"s.{c}").alias(f"_{c}") for c in ("lo", "hi", "n")]
     )
-    return prod.join(ref, [*keys, "feature"]).select(
+    return prod.join(ref, [*keys, "feature"], "left").select(
         *keys,
         batch,
         "feature",
         F.least("_lo", "ref_lo").alias("lo"),
         F.greatest("_hi", "ref_hi").alias("hi"),
-        F.col("ref_n").alias("n_ref"),
+        F.coalesce("ref_n", F.lit(0).cast("long")).alias("n_ref"),
         F.col("_n").alias("n_prod"),
         "ref_sd",
     )
@@ -124,6 +137,7 @@ def _limits(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch:
     )
 
 
+@null_is_a_key
 def histograms(
     df: DataFrame, features: Sequence[str], n_bins: Sequence[int], *, keys: Sequence[str] = (), batch: str = "batch_id",
 ) -> DataFrame:
@@ -262,13 +276,13 @@ def ranges_of_counts(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], ba
         rows = F.col(rows)
         return F.when(rows > 1, F.sqrt(F.col(sq) / F.when(rows > 1, rows - 1)))
 
-    return prod.join(ref, [*keys, "feature"]).select(
+    return prod.join(ref, [*keys, "feature"], "left").select(
         *keys,
         batch,
         "feature",
         F.least("lo", "ref_lo").alias("lo"),
         F.greatest("hi", "ref_hi").alias("hi"),
-        F.col("ref_n").alias("n_ref"),
+        F.coalesce("ref_n", F.lit(0).cast("long")).alias("n_ref"),
         F.col("n").alias("n_prod"),
         F.sqrt(F.col("ref_sq") / F.col("ref_n")).alias("ref_sd"),
         "ref_mean",
@@ -356,6 +370,7 @@ def _ks_distance() -> Column:
     return F.max(F.greatest(here, below))
 
 
+@null_is_a_key
 def ks(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and limiting p-value.
 
@@ -453,6 +468,7 @@ def _normalised(distance: Column, sd: Column) -> Column:
     return F.when(sd < 1e-10, F.lit(0.0)).otherwise(distance / sd)
 
 
+@null_is_a_key
 def wasserstein(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Wasserstein-1 distance over the reference's population std (0 if that is 0)."""
     keys = list(keys)
@@ -490,10 +506,11 @@ def _all_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], ba
     return prod.select(*keys, batch).distinct().select(*keys, batch, names)
 
 
+@null_is_a_key
 def numeric_scores(df, features, *, keys=(), batch="batch_id", with_stats: bool = False) -> DataFrame:
     """PSI, KS, JSD and Wasserstein per (keys, batch, feature), with row counts of both sides.
 
-    The rows are read once, into counts; every statistic comes from the counts.
+    Rows are read into counts, from which every statistic comes; a second scan of keys alone lists the batches.
     """
     keys = list(keys)
     who = [*keys, batch, "feature"]
@@ -521,14 +538,15 @@ def numeric_drift(df, features, *, keys=(), batch="batch_id", with_stats: bool =
 
 def numeric_verdict(scores: DataFrame) -> DataFrame:
     """Severity from PSI, raised to a warning when KS agrees; too few rows give no verdict."""
-    few = (F.col("n_prod") < T.MIN_SAMPLES) | F.col("psi").isNull()
+    small = F.col("n_prod") < T.MIN_SAMPLES
+    few = small | F.col("psi").isNull()
     by_psi = psi_severity(F.col("psi"))
     raised = (by_psi == "none") & (F.col("ks_p") < T.KS_P_VALUE) & (F.col("psi") > T.PSI_WARNING * 0.5)
     severity = F.when(few, "none").when(raised, "warning").otherwise(by_psi)
     message = F.when(
-        few,
+        small,
         F.format_string(f"Insufficient samples (%d < {T.MIN_SAMPLES})", F.col("n_prod")),
-    ).otherwise(
+    ).when(few, F.lit("No reference values to compare with")).otherwise(
         F.format_string(
             "PSI=%.4f | KS_p=%.4f | JSD=%.4f | Wass=%.4f",
             F.col("psi"), F.col("ks_p"), F.col("jsd"), F.col("wasserstein"),
@@ -560,6 +578,7 @@ def _side_quartiles(counts: DataFrame, keys: Sequence[str], batch: str) -> DataF
     )
 
 
+@null_is_a_key
 def side_statistics(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Mean, sample std and quartiles of both sides, prefixed ref_ and prod_."""
     keys = list(keys)
@@ -590,6 +609,7 @@ def category_counts(df, features, *, keys=(), batch="batch_id") -> tuple[DataFra
     return r, p
 
 
+@null_is_a_key
 def aligned_categories(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Counts of both sides for every category seen on either; an absent one counts 1.
 
@@ -648,6 +668,7 @@ def top_category(count: str) -> Column:
     return F.min_by("category", F.struct(-F.col(count), F.col("category")))
 
 
+@null_is_a_key
 def categorical_scores(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Chi-square (2 x k, absent categories count 1, Yates at k = 2) and JSD over shares.
 
@@ -763,6 +784,7 @@ def label_drift(df, target: str, *, keys=(), batch="batch_id") -> DataFrame:
     return categorical_drift(df, [target], keys=keys, batch=batch)
 
 
+@null_is_a_key
 def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     """PSI, KS and JSD of the model's own scores; severity from PSI alone."""
     keys = list(keys)

@@ -110,7 +110,17 @@ def retrain_value(
     out = out.withColumn("gross_savings", daily * days)
     out = out.withColumn("npv", F.col("gross_savings") - cost)
     out = out.withColumn("payback_days", F.when(daily > 0, F.ceil(F.lit(cost) / F.when(daily > 0, daily))))
-    return out.withColumn("should_retrain", (F.col("npv") > 0) | F.lit(cost == 0))
+    out = out.withColumn("should_retrain", (F.col("npv") > 0) | F.lit(cost == 0))
+    payback = F.coalesce(F.col("payback_days").cast("string"), F.lit("inf"))
+    verdict = F.when(F.col("should_retrain"), F.lit("Retrain is justified.")).otherwise(
+        F.concat(
+            F.lit("Hold — compute cost ("), money(F.lit(float(cost))), F.lit(f") not recovered within {days} days (payback: "), payback, F.lit(" days).")
+        )
+    )
+    text = F.concat(
+        F.lit("Retrain saves est. "), money(daily), F.lit(f"/day. NPV over {days} days: "), money(F.col("npv")), F.lit(". "), verdict
+    )
+    return out.withColumn("rationale", text)
 
 
 def battery_cost(
@@ -148,17 +158,22 @@ def battery_cost(
 
 
 def loss_band(loss: Column) -> Column:
-    return F.when(loss > T.LOSS_CRITICAL, "critical").when(loss > T.LOSS_AMBER, "amber").otherwise("none")
+    """Band of a monthly loss; an unknown loss has none."""
+    known = loss.isNotNull() & ~F.isnan(loss)
+    return F.when(known, F.when(loss > T.LOSS_CRITICAL, "critical").when(loss > T.LOSS_AMBER, "amber").otherwise("none"))
 
 
 def risk_band(score: Column) -> Column:
-    return F.when(score >= T.RISK_HIGH, "high").when(score >= T.RISK_MEDIUM, "medium").otherwise("low")
+    """Band of a score; an unknown score has none."""
+    known = score.isNotNull() & ~F.isnan(score)
+    return F.when(known, F.when(score >= T.RISK_HIGH, "high").when(score >= T.RISK_MEDIUM, "medium").otherwise("low"))
 
 
 def monitoring_alerts(drift: DataFrame, performance: DataFrame, retrains: DataFrame) -> DataFrame:
     """Alert rows from batch reports, batch metrics and retrain decisions.
 
-    All inputs carry ``model_id``, ``batch_id`` and ``ts``.
+    All inputs carry ``model_id``, ``batch_id`` and ``ts``.  Where ``performance`` has a ``reason``, a non-empty one
+    becomes a line of the message.
     """
     features = F.col("drifted_features")
     more = F.size(features) - 5
@@ -178,12 +193,15 @@ def monitoring_alerts(drift: DataFrame, performance: DataFrame, retrains: DataFr
         ).alias("message"),
     )
     auc = F.col("auc_roc")
+    why = F.lit("")
+    if "reason" in performance.columns:
+        why = F.when(F.length("reason") > 0, F.concat(F.lit("\nReason: "), F.col("reason"))).otherwise("")
     by_quality = performance.filter(auc < T.AUC_WARNING).select(
         *who,
         F.when(auc < T.AUC_CRITICAL, "CRITICAL").otherwise("WARNING").alias("severity"),
         F.lit("performance").alias("category"),
         F.format_string("Model performance degradation — Batch %d", F.col("batch_id")).alias("title"),
-        F.format_string("AUC: %.4f | F1: %.4f", auc, F.col("f1_score")).alias("message"),
+        F.concat(F.format_string("AUC: %.4f | F1: %.4f", auc, F.col("f1_score")), why).alias("message"),
     )
     state = F.when(F.col("promoted"), "PROMOTED").otherwise("REJECTED")
     by_retrain = retrains.select(

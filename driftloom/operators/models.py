@@ -140,7 +140,8 @@ def charge_from_sequences(windows: DataFrame, *, length: int, width: int, trees:
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(flat)
 
     def score(rows: DataFrame) -> DataFrame:
-        return clipped_prediction(model.transform(flat_windows(rows, length, width)[0]), 0.0, 1.0)
+        flat = flat_windows(rows, length, width)[0]
+        return clipped_prediction(model.transform(flat), 0.0, 1.0, [c for c in flat.columns if c not in names])
 
     return model, score
 
@@ -153,9 +154,10 @@ def _without_internals(df: DataFrame, own: Sequence[str] = ()) -> DataFrame:
     return df.drop(*[c for c in df.columns if c not in own and (c in _INTERNAL or c.endswith(("_index", "_onehot", "_filled")))])
 
 
-def clipped_prediction(scored: DataFrame, lo: float, hi: float, out: str = "prediction") -> DataFrame:
+def clipped_prediction(scored: DataFrame, lo: float, hi: float, own: Sequence[str], out: str = "prediction") -> DataFrame:
+    """The model's prediction, clipped, beside the columns ``own`` that the rows had before the model."""
     kept = scored.withColumn("_p", clip(F.col("prediction"), lo, hi))
-    return _without_internals(kept).withColumnRenamed("_p", out)
+    return _without_internals(kept, [c for c in own if c != "prediction"]).withColumnRenamed("_p", out)
 
 
 def score_table(model: PipelineModel, df: DataFrame, *, threshold: float = T.DEFAULT_THRESHOLD) -> DataFrame:
@@ -173,7 +175,7 @@ def prediction_spread(
     for i in range(models):
         bag = train.sample(withReplacement=True, fraction=1.0, seed=seed + i)
         fit = health_regressor(bag, target, features, trees=trees, depth=depth, seed=seed + i)
-        out = clipped_prediction(fit.transform(out), 0.0, 1.0, f"_p{i}")
+        out = clipped_prediction(fit.transform(out), 0.0, 1.0, out.columns, f"_p{i}")
     all_p = F.array(*[F.col(f"_p{i}") for i in range(models)])
     out = out.withColumn("_all", all_p)
     mean = F.aggregate("_all", F.lit(0.0), lambda a, x: a + x) / models

@@ -24,6 +24,14 @@ class MonitoringRun:
     summary: DataFrame
 
 
+def _beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "full") -> DataFrame:
+    """Join on columns of which null is a value like any other; no row of either side is lost."""
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
+    both = left.alias("a").join(right.alias("b"), same, how)
+    rest = [F.col(f"a.{c}") for c in left.columns if c not in on] + [F.col(f"b.{c}") for c in right.columns if c not in on]
+    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in on], *rest)
+
+
 def monitor(
     rows: DataFrame, *, numeric: Sequence[str], categorical: Sequence[str], label: str, score: str, keys: Sequence[str] = (),
     batch: str = "batch_id", baseline: float | None = None,
@@ -47,23 +55,19 @@ def monitor(
     prediction = D.prediction_verdict(scores.filter(of_scores))
 
     # the reference is one more group of the same metrics
-    kind = dict(rows.dtypes)[batch]
-    grouped = rows.withColumn("_group", F.when(F.col(D.REF), "reference").otherwise(F.col(batch).cast("string")))
+    of_ref = F.coalesce(F.col(D.REF), F.lit(False))
+    grouped = rows.withColumn("_group", F.struct(of_ref.alias("is_ref"), F.when(~of_ref, F.col(batch)).alias("batch")))
     metrics = stage(M.binary_metrics(grouped, label, score, keys=[*keys, "_group"]), "quality")
-    is_ref = F.col("_group") == "reference"
-    quality = metrics.filter(~is_ref).withColumn(batch, F.col("_group").cast(kind)).drop("_group")
+    is_ref = F.col("_group.is_ref")
+    quality = metrics.filter(~is_ref).withColumn(batch, F.col("_group.batch")).drop("_group")
 
     # labels arrive late: a batch without them keeps its drift, and its quality is null
-    same = [F.col(f"q.{c}").eqNullSafe(F.col(f"r.{c}")) for c in who]
-    both = quality.alias("q").join(report.alias("r"), same, "full")
-    rest = [F.col(f"q.{c}") for c in quality.columns if c not in who] + [F.col(f"r.{c}") for c in report.columns if c not in who]
-    joined = both.select(*[F.coalesce(f"q.{c}", f"r.{c}").alias(c) for c in who], *rest).withColumn("drift_severity", F.col("overall_severity"))
+    joined = _beside(quality, report, who).withColumn("drift_severity", F.col("overall_severity"))
     if baseline is None:
         base = metrics.filter(is_ref).select(*keys, F.coalesce("auc_roc", F.lit(T.BASELINE_AUC)).alias("baseline_auc"))
         if keys:
-            joined = joined.join(base, keys, "left").withColumn(
-                "baseline_auc", F.coalesce("baseline_auc", F.lit(T.BASELINE_AUC))
-            )
+            known = _beside(joined, base, keys, "left")
+            joined = known.withColumn("baseline_auc", F.coalesce("baseline_auc", F.lit(T.BASELINE_AUC)))
         else:
             joined = joined.withColumn("baseline_auc", F.coalesce(base.select("baseline_auc").scalar(), F.lit(T.BASELINE_AUC)))
     else:
@@ -87,4 +91,4 @@ def battery_monitor(
     quality = M.binary_metrics(prod, label, score, keys=[batch], threshold=T.FAULT_THRESHOLD)
     details = D.drift_details(D.numeric_drift(rows, features, batch=batch, with_stats=False), None, batch=batch)
     report = D.batch_report(details, batch=batch)
-    return B.battery_cost(base.join(quality, batch).join(report, batch))
+    return B.battery_cost(_beside(_beside(base, quality, [batch]), report, [batch]))

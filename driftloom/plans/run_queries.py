@@ -149,7 +149,7 @@ def _health(s, d):
 
     rows = _battery_rows(s, d)
     model = L.health_regressor(rows, "soh", _BAT, trees=10, depth=4, rate=0.3)
-    return rounded(regression_metrics(L.clipped_prediction(model.transform(rows), 0.0, 1.0), "soh", "prediction"))
+    return rounded(regression_metrics(L.clipped_prediction(model.transform(test), 0.0, 1.0, test.columns), "soh", "prediction"))
 
 
 def _faults(s, d):
