@@ -1,19 +1,22 @@
 """Line de-duplication by a log-template tree.
 
-A line walks a tree of fixed depth: its number of tokens, then its leading tokens, with tokens that hold a digit as a
-variable field.  At the leaf, a template keeps the other tokens of the line except one variable stretch: the tokens
-behind the leading ones are cut into SEGMENTS, and each choice of a stretch gives one candidate template, beside the
-line with its variable fields alone.  A template has at least as many words as variable fields; a line without such
-stands for itself.  A template found in many documents is recurring; its line stays in the document with the smallest
-id and is dropped from the others.
-
-The tree is kept as keys: a template is the hash of its path and fixed tokens, so counting templates is one aggregate
-with partial sums on each task, and a leaf that a third of all lines share is no single task's work.
+A line walks a tree of fixed depth: its number of tokens, then its two leading tokens.  A token that holds a digit is a
+variable field, and so is a leading token that too few lines of its node share: both take the node's variable branch.
+At the leaf, tokens are weighed by how many lines of the leaf have them at this place, each with its documents.  Tokens
+that a template fixes stand in all of its lines, the values of a field only in some, so the heaviest tokens of a line
+are its fixed ones: wherever the weight falls, what stands before is one generalisation of the line, and the rest are
+fields.  A template keeps more words than it has wordy fields.  One that many documents have is recurring; its lines
+stay in the document with the smallest id and are dropped from the others.  Lines of numbers have no word to keep and
+stand for themselves.
+
+Nodes, leaves, weights and templates are keys of aggregates with partial sums, taken over distinct lines: a line that a
+third of all documents share is one row behind the first aggregate, and no leaf is one task's work.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,85 +25,196 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import blocks, texts
+from driftloom.llm.common import Memo, blocks
 from driftloom.sources.stage import stage
 
-#: Leading tokens of the path, stretches of the other tokens, tokens that a line needs for a variable stretch.
-DEPTH, SEGMENTS, GENERAL = 2, 3, 8
-#: Documents from which on a template is recurring.
+#: Documents from which on a template is recurring; lines (with their documents) that a branch of the tree needs.
 MIN_DOCS = 10
-
+#: Tokens that a task keeps hashed.
+HELD = 200_000
 
 _DIGIT = re.compile(r"\d")
 _LETTER = re.compile(r"[^\W\d_]")
+_NODE = ["n", "first_token", "second_token"]
 
 
-def templates(line: str, depth: int = DEPTH, segments: int = SEGMENTS, general: int = GENERAL) -> list[str]:
-    """Templates of a line, the strictest first; none for a line without tokens.  Variable fields are written <*>.
-
-    Tokens with a letter and without a digit are words.  A template needs as many of them as it has variable fields,
-    else rows of numbers, dates or ids would all look alike: such a line is compared as it stands.
-    """
-    tokens = line.split()
-    if not tokens:
-        return []
-    if not _DIGIT.search(line):  # one word is enough beside a variable stretch
-        out = [" ".join(tokens)]
-        if len(tokens) >= general:
-            rest = len(tokens) - depth
-            for s in range(segments):
-                a, b = depth + rest * s // segments, depth + rest * (s + 1) // segments
-                left = [*tokens[:a], "<*>", *tokens[b:]]
-                if any(_LETTER.search(t) for t in left):
-                    out.append(f"{len(tokens)} " + " ".join(left))
-        return out
-    fields = [bool(_DIGIT.search(t)) for t in tokens]
-    words = [not f and bool(_LETTER.search(t)) for t, f in zip(tokens, fields, strict=True)]
-    n_words, n_fields = sum(words), sum(fields)
-    masked = ["<*>" if f else t for t, f in zip(tokens, fields, strict=True)]
-    out = [" ".join(masked) if n_words >= n_fields else f"={' '.join(tokens)}"]
-    if len(tokens) >= general:
-        rest = len(tokens) - depth
-        for s in range(segments):
-            a, b = depth + rest * s // segments, depth + rest * (s + 1) // segments
-            if n_words - sum(words[a:b]) > n_fields - sum(fields[a:b]):  # the stretch is one more field
-                out.append(f"{len(tokens)} " + " ".join([*masked[:a], "<*>", *masked[b:]]))
-    return out
+def token_code(token: str) -> int:
+    """0 for a variable field; else 31 bits of a hash, and whether the token has a letter."""
+    if _DIGIT.search(token):
+        return 0
+    return (xxhash.xxh32_intdigest(token) & ~1 or 2) | bool(_LETTER.search(token))
 
 
-def _key(template: str) -> int:
-    return xxhash.xxh3_64_intdigest(template) - (1 << 63)
+def exact_key(tokens: list[str]) -> int:
+    """Key of a line as it stands."""
+    return xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
 
 
-def _line_keys(rows: DataFrame) -> DataFrame:
-    """key, doc_id of every template of every line; a document names a template once."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """Distinct lines of each document: doc_id, exact, masked (keys), n, the leading tokens, codes of all tokens."""
+    names = ["doc_id", "exact", "masked", *_NODE, "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(token_code, HELD)
         for batch in batches:
             for block in blocks(batch):
-                found = [{_key(t) for line in text.split("\n") for t in templates(line)} for text in block.column("text").to_pylist()]
-                ids = np.repeat(block.column("doc_id").to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array([k for f in found for k in f], pa.int64()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+                memo.turn()
+                out: list[tuple] = []
+                for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
+                    seen = set()
+                    for line in text.split("\n"):
+                        tokens = line.split()
+                        if not tokens:
+                            continue
+                        exact = exact_key(tokens)
+                        if exact in seen:
+                            continue
+                        seen.add(exact)
+                        codes = array("I", map(memo.__getitem__, tokens))
+                        raw = codes.tobytes()
+                        second = codes[1] if len(codes) > 1 else 0
+                        out.append((doc, exact, xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(codes), codes[0], second, raw))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names)
+
+    return rows.mapInArrow(run, "doc_id long, exact long, masked long, n long, first_token long, second_token long, codes binary")
+
+
+def _leaves(masks: DataFrame, min_docs: int) -> DataFrame:
+    """Masked lines whose leaf may hold a recurring template, with the leaf and its weight."""
+    weight = F.sum("n_docs").alias("weight")
+
+    def branched(rows: DataFrame, node: list[str], token: str) -> DataFrame:
+        held = rows.groupBy(*node, token).agg(weight).where((F.col("weight") >= min_docs) & (F.col(token) != 0)).drop("weight").withColumn("kept", F.lit(True))
+        return rows.join(held, [*node, token], "left").withColumn(token, F.when(F.col("kept"), F.col(token)).otherwise(0)).drop("kept")
+
+    rows = branched(branched(masks, ["n"], "first_token"), ["n", "first_token"], "second_token")
+    leaves = rows.groupBy(*_NODE).agg(weight).where(F.col("weight") >= min_docs)
+    return rows.join(leaves, _NODE).withColumn("leaf", F.xxhash64(*_NODE))
+
+
+def _items(leaf: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Keys of (leaf, place, token)."""
+    x = leaf.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + code.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _exploded(lines: DataFrame) -> DataFrame:
+    """masked, n_docs, place, item of every token that its path through the tree does not fix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "codes"):
+                codes = [np.frombuffer(c, np.uint32) for c in block.column("codes").to_pylist()]
+                if not codes:
+                    continue
+                flat = np.concatenate(codes)
+                own = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+                place = np.concatenate([np.arange(len(c)) for c in codes])
+                fixed = np.stack([block.column(c).to_numpy() for c in _NODE[1:]])
+                on_path = (place < 2) & (fixed[np.minimum(place, 1), own] != 0)
+                left = (flat != 0) & ~on_path
+                leaf, masked, n_docs = (block.column(c).to_numpy() for c in ("leaf", "masked", "n_docs"))
+                own, place, flat = own[left], place[left], flat[left]
+                arrays = [masked[own], n_docs[own], place, _items(leaf[own], place, flat)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["masked", "n_docs", "place", "item"])
+
+    return lines.mapInArrow(run, "masked long, n_docs long, place long, item long")
+
+
+def line_templates(codes: list[int], weights: dict[int, int]) -> list[tuple[int, ...]]:
+    """Places that each generalisation of a line keeps, the strictest first.
+
+    ``weights`` has the places of tokens that enough lines of the leaf share.  Places of equal weight stay together.  A
+    generalisation needs more words (tokens with a letter) than wordy fields.
+    """
+    words = sum(1 for c in codes if c)
+    order = sorted(weights, key=lambda p: (-weights[p], p))
+    out, kept_words = [], [0]
+    for p in order:
+        kept_words.append(kept_words[-1] + (codes[p] & 1))
+    for m in range(len(order), 0, -1):
+        if kept_words[m] <= words - m:
+            break
+        if m == len(order) or weights[order[m - 1]] > weights[order[m]]:
+            out.append(tuple(sorted(order[:m])))
+    return out
+
+
+def _templates(lines: DataFrame, heavy: DataFrame) -> DataFrame:
+    """template, masked, n_docs, first of every generalisation of every masked line."""
+    per_line = heavy.groupBy("masked").agg(F.collect_list(F.struct("place", "weight")).alias("weights"))
+    rows = lines.withColumnRenamed("weight", "leaf_weight").join(per_line, "masked", "left")
 
-    return rows.mapInArrow(run, "key long, doc_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "codes"):
+                out = []
+                names = ("masked", "n_docs", "first", "leaf", "leaf_weight", *_NODE[1:], "codes", "weights")
+                for masked, n_docs, first, leaf, leaf_weight, one, two, raw, some in zip(*(block.column(c).to_pylist() for c in names), strict=True):
+                    codes = np.frombuffer(raw, np.uint32).tolist()
+                    weights = {w["place"]: w["weight"] for w in some or ()}
+                    weights |= {p: leaf_weight for p, c in ((0, one), (1, two)) if c}
+                    for kept in line_templates(codes, weights):
+                        key = array("q", [leaf, *(x for p in kept for x in (p, codes[p]))]).tobytes()
+                        out.append((xxhash.xxh3_64_intdigest(key) - (1 << 63), masked, n_docs, first))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["template", "masked", "n_docs", "first"])
+
+    return rows.mapInArrow(run, "template long, masked long, n_docs long, first long")
+
+
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(exact, first) of lines that recur as they stand, and (masked, least, most) of those with recurring templates.
+
+    ``least`` and ``most`` are the smallest and largest of the templates' first documents.
+    """
+    as_is = lines.select("exact", "doc_id").distinct().groupBy("exact").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    as_is = stage(as_is.where(F.col("n") >= min_docs).drop("n"), "lines-recurring")
+
+    masks = lines.select("masked", *_NODE, "doc_id").distinct().groupBy("masked", *_NODE).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"))
+    leaves = stage(_leaves(stage(masks, "lines-masked"), min_docs), "lines-leaves")
+    codes = lines.groupBy("masked").agg(F.first("codes").alias("codes"))  # equal for equal keys
+    found = stage(leaves.join(codes, "masked"), "lines-candidates")
+
+    items = _exploded(found)
+    weights = items.groupBy("item").agg(F.sum("n_docs").alias("weight")).where(F.col("weight") >= min_docs)
+    heavy = items.select("masked", "place", "item").join(stage(weights, "lines-weights"), "item").drop("item")
+    made = stage(_templates(found, heavy), "lines-templates")
+
+    # a line that enough documents have makes its templates recurring; of the others, documents are counted once each
+    totals = made.groupBy("template").agg(F.max("n_docs").alias("most"), F.sum("n_docs").alias("all"), F.min("first").alias("first"))
+    totals = stage(totals.where(F.col("all") >= min_docs), "lines-totals")
+    light = made.join(totals.where(F.col("most") < min_docs).select("template"), "template").select("template", "masked")
+    counted = light.join(lines.select("masked", "doc_id").distinct(), "masked").select("template", "doc_id").distinct()
+    counted = counted.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
+    known = totals.where(F.col("most") >= min_docs).select("template", "first").unionAll(counted.select("template", "first"))
+    general = made.select("template", "masked").join(known, "template").groupBy("masked").agg(F.min("first").alias("least"), F.max("first").alias("most"))
+    return as_is, stage(general, "lines-general")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Texts without recurring lines: doc_id, n_lines, n_dropped, text.
 
-    A line is dropped if one of its templates occurs in at least ``min_docs`` documents and its document does not have
-    the smallest id of them.  Lines are what line breaks separate; lines without tokens stay.  A null text stays null
-    and has 0 lines.  Documents without an id drop nothing and do not count.  Repeated rows of one id count each, and
-    lose the same lines.  One row per input row.  Other columns are not read, but for those named in ``carry``, which
-    come along in a struct of that name.  An empty table stays empty.
+    A line is dropped if it, or one of its templates, occurs in at least ``min_docs`` documents and its document does
+    not have the smallest id of them.  Lines are what line breaks separate; lines without tokens stay, and blanks
+    between tokens do not count.  A null text stays null and has 0 lines.  Rows without an id drop nothing and do not
+    count.  Rows that share an id are one document, and lose the same lines.  One row per input row.  A leading token
+    that enough lines share keeps its own branch, also where a template has a field in its place: such lines recur only
+    within their branch.  Other columns are not read, but for those named in ``carry``, which come along in a struct of
+    that name.  An empty table stays empty.
     """
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("carry"))
-    keyed = _line_keys(texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull()))
-    common = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    common = stage(common.select("key", "first"), "line-templates")
-    hits = keyed.join(common, "key").where(F.col("doc_id") != F.col("first")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    found = rows.join(hits, "doc_id", "left")
+    lines = stage(_lines(rows.where("doc_id is not null and text is not null").select("doc_id", "text")), "lines")
+    as_is, general = recurring(lines, min_docs)
+    own = F.col("doc_id")
+    hits = lines.select("doc_id", "exact").join(as_is, "exact").where(own != F.col("first")).select("doc_id", "exact")
+    more = lines.select("doc_id", "exact", "masked").join(general, "masked").where((own != F.col("least")) | (own != F.col("most")))
+    gone = hits.unionAll(more.select("doc_id", "exact")).groupBy("doc_id").agg(F.collect_set("exact").alias("keys"))
+    found = rows.join(gone, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +225,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
                     n_lines.append(len(lines))
                     kept = lines
                     if keys_here:
-                        gone = set(keys_here)
-                        kept = [x for x in lines if not any(_key(t) in gone for t in templates(x))]
+                        out = set(keys_here)
+                        kept = [x for x in lines if not (tokens := x.split()) or exact_key(tokens) not in out]
                     n_dropped.append(len(lines) - len(kept))
                     left.append(None if text is None else "\n".join(kept))
                 counted = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(left, pa.string())]
