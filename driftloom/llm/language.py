@@ -1,8 +1,8 @@
 """Language identification by the nearest centroid.
 
 A text's vector holds the TF-IDF weights of its hashed character n-grams (bigrams and trigrams of lower-case bytes,
-everything but letters as one blank), scaled to length 1.  Every language is clustered into a few centroids by spherical
-k-means; a text takes the language of the centroid with the highest cosine.  A text farther from it than texts of the
+everything but letters as one blank), scaled to length 1.  Every language is clustered into a few centroids: its largest
+cluster is halved along its main direction until there are enough, then spherical k-means moves them.  A text takes the language of the centroid with the highest cosine.  A text farther from it than texts of the
 language with about as many n-grams are, by a margin, is rejected: short texts have few n-grams and low cosines.
 """
 
@@ -26,7 +26,7 @@ from driftloom.sources.stage import stage
 BUCKETS, CLUSTERS, ROUNDS = 4096, 4, 8
 #: The model is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 SAMPLE = 500
-#: Clusters with a smaller share of their language's documents are merged into the others.
+#: k-means stops before a cluster has a smaller share of its language's documents: an outlier is no cluster.
 LEAST_SHARE = 0.05
 #: A text is rejected below this share of a low quantile of the cosines of its language's texts of about its size.
 MARGIN, LOW = 0.5, 0.01
@@ -75,25 +75,37 @@ def pieces(text: str) -> list[str]:
     return [t for t in [text, *cut] if _LETTER.search(t)]
 
 
+def _halves(rows: np.ndarray) -> np.ndarray:
+    """Which rows lie in the upper half along the direction in which the rows vary most."""
+    apart = rows - rows.mean(axis=0)
+    along = apart[np.argmax(np.linalg.norm(apart, axis=1))]
+    for _ in range(ROUNDS):
+        along = apart.T @ (apart @ along)
+        along = along / max(float(np.linalg.norm(along)), 1e-12)
+    upper = np.zeros(len(rows), dtype=bool)
+    upper[np.argsort(apart @ along, kind="stable")[len(rows) // 2 :]] = True
+    return upper
+
+
+def _means(rows: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    sums = np.stack([rows[own == c].sum(axis=0) for c in range(k)])
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(size > 0, size, 1)
+
+
 def cluster(rows: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
-    """Centroids by spherical k-means from mutually far starts; those with few rows give theirs to the others."""
-    starts = [0]
-    near = rows @ rows[0]
-    while len(starts) < min(k, len(rows)):
-        starts.append(int(np.argmin(near)))
-        near = np.maximum(near, rows @ rows[starts[-1]])
-    centroids = rows[starts]
-    while True:
-        for _ in range(ROUNDS):
-            own = np.argmax(rows @ centroids.T, axis=1)
-            for c in range(len(centroids)):
-                mean = rows[own == c].sum(axis=0)
-                if np.linalg.norm(mean) > 0:
-                    centroids[c] = mean / np.linalg.norm(mean)
-        held = np.bincount(np.argmax(rows @ centroids.T, axis=1), minlength=len(centroids))
-        if len(centroids) == 1 or held.min() >= LEAST_SHARE * len(rows):
-            return centroids
-        centroids = np.delete(centroids, np.argmin(held), axis=0)  # an outlier is no cluster
+    """``k`` centroids (a row each, if there are fewer), none with less than LEAST_SHARE of the rows."""
+    own, n = np.zeros(len(rows), np.int64), 1
+    while n < min(k, len(rows)):
+        most = np.flatnonzero(own == np.argmax(np.bincount(own, minlength=n)))
+        own[most[_halves(rows[most])]] = n
+        n += 1
+    for _ in range(ROUNDS):
+        moved = np.argmax(rows @ _means(rows, own, n).T, axis=1)
+        if np.bincount(moved, minlength=n).min() < LEAST_SHARE * len(rows):
+            break
+        own = moved
+    return _means(rows, own, n)
 
 
 def limits(found: dict[int, tuple[int, float]]) -> np.ndarray:

@@ -105,9 +105,6 @@ def test_language_held_out(spark):
 def test_short_texts_stay_and_other_languages_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language.fit(docs)
-    rows = np.random.default_rng(1).normal(size=(200, 8)) * 0.05 + np.eye(8)[0]
-    rows = np.vstack([rows, np.eye(8)[5:]])
-    assert len(language.cluster(rows / np.linalg.norm(rows, axis=1, keepdims=True))) < 4  # three outliers are no clusters
     short = ["Is nd of thlying.", "In. The.", "The end.", "Das ist gut.", "Bonjour, merci.", "Hola amigo", "Je ne sais pas.", "Der Hund schläft"]
     assert not model.predict(short)[2].any()
     other = [
@@ -139,6 +136,51 @@ def test_odd_rows(odd, none):
     assert sharding.shards(none, sharding.text_dims(none), 3).count() == 0
 
 
+def test_clusters():
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)[[0, 2, 4, 6]]
+    rows = np.vstack([rng.normal(size=(60, 8)) * 0.1 + c for c in centres] + [-np.eye(8)[1:4]])  # four groups and three outliers
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    found = language.cluster(rows)
+    assert np.allclose(np.linalg.norm(found, axis=1), 1) and (np.sort(np.argmax(found @ centres.T, axis=1)) == range(4)).all()
+    alike = np.vstack([rng.normal(size=(500, 8)) * 0.05 + centres[0], np.eye(8)[5:]])
+    alike /= np.linalg.norm(alike, axis=1, keepdims=True)
+    held = np.bincount(np.argmax(alike @ language.cluster(alike).T, axis=1), minlength=4)
+    assert len(held) == 4 and held.min() >= 0.04 * len(alike)
+    assert len(language.cluster(rows[:3])) == 3 and len(language.cluster(np.ones((5, 2)) / 2**0.5)) == 4
+
+
+def test_language_by_plain_python(spark):
+    """Several centroids a language, none of them small; nearest centroid by dictionaries of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs)
+    n = {g: model.languages.count(g) for g in set(model.languages)}
+    assert set(n.values()) == {4}
+    some = docs.where("doc_id % 5 = 0 and text rlike '\\\\p{L}'").select("text", "lang").collect()
+    lang, score, _ = model.predict([r.text for r in some])
+    for k in range(0, len(some), 97):
+        raw = some[k].text.lower().encode()
+        raw = b" " + b" ".join(bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in raw).split(b" ")).strip(b" ") + b" "
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        bag = defaultdict(int)
+        for size in (2, 3):
+            for i in range(len(raw) - size + 1):
+                code = int.from_bytes(raw[i : i + size], "little")
+                bag[(size - 2) * language.BUCKETS + (code * 0x9E3779B1 % 2**32 >> 20)] += 1
+        vector = {b: c**0.5 * float(model.idf[b]) for b, c in bag.items()}
+        length = sum(v * v for v in vector.values()) ** 0.5
+        cosines = [sum(v * float(c[b]) for b, v in vector.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert score[k] == pytest.approx(cosines[best], abs=1e-4) and (lang[k] == model.languages[best] or sorted(cosines)[-2] > cosines[best] - 1e-4)
+    near = np.argmax(language.weigh(language.counts([r.text for r in some]), model.idf) @ model.centroids.T, axis=1)
+    held = np.bincount(near, minlength=len(model.languages))
+    for g in n:
+        own = held[[i for i, x in enumerate(model.languages) if x == g]]
+        assert own.min() >= 0.05 * own.sum(), (g, own)
+    assert np.mean([a == r.lang for a, r in zip(lang, some, strict=True)]) >= 0.99
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_stages(spark, odd, none, tmp_path, empty):
     rows = (none if empty else odd).withColumn("n_chars", odd.doc_id)
