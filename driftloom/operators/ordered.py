@@ -25,6 +25,7 @@ BUCKET = "_bucket"
 KEY = "_key"
 MAX_BUCKETS = 4096
 PER_BUCKET = 64
+NESTED = 64
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,8 +72,8 @@ def clean(name: str) -> Column:
 
 
 def bounds_of(df: DataFrame, order: Column, n: int) -> Column:
-    """Scalar subquery: n-1 ascending cut points of ``order``."""
-    return _for_cuts(df, n).agg(_sketch(order.cast("double"), n)).scalar()
+    """Scalar subquery: n-1 ascending cut points of ``order``, staged, as the order of a sketch's merges may differ."""
+    return stage(_for_cuts(df, n).agg(_sketch(order.cast("double"), n).alias("cuts")), "bounds").scalar()
 
 
 def feature_cuts(counts: DataFrame) -> DataFrame:
@@ -98,40 +99,66 @@ def add_feature_bucket(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return add_bucket(rows, F.col("value"), cuts_of_row(cuts), bucket_count(rows.sparkSession))
 
 
-def _search(value: Column, bounds: Column, n: int) -> Column:
-    """The number of cut points <= value: a binary search as a fold over its log2(n) steps.
+def _search(value: Column, bounds: Callable[[Column | int], Column], n: int) -> Column:
+    """The number of cut points <= value, by binary search.
 
-    A fold keeps the expression small; nested CASEs would grow with every step.
+    Up to NESTED buckets the steps are nested CASEs, which compile; beyond, a fold keeps the expression small.
     """
+    if n <= NESTED:
+
+        def between(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(value >= bounds(middle), between(middle + 1, high)).otherwise(between(low, middle))
+
+        return between(0, n - 1)
     steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
     return F.aggregate(
         steps,
         F.lit(0),
-        lambda pos, step: F.when(value >= F.get(bounds, pos + step - 1), pos + step).otherwise(pos),
+        lambda pos, step: F.when(value >= bounds(pos + step - 1), pos + step).otherwise(pos),
     )
 
 
 def add_bucket(df: DataFrame, value: Column, bounds: Column, n: int) -> DataFrame:
     """Add the bucket of ``value``; equal values always share a bucket."""
-    df = df.withColumn("_bounds", bounds)  # a subquery must not stand inside a fold
-    return df.withColumn(BUCKET, _search(value.cast("double"), F.col("_bounds"), n)).drop("_bounds")
+    df = df.withColumns({"_bounds": bounds, "_value": value.cast("double")})  # a subquery must not stand inside a fold
+    found = _search(F.col("_value"), lambda i: F.get("_bounds", F.lit(i) if isinstance(i, int) else i), n)
+    return df.withColumn(BUCKET, found).drop("_bounds", "_value")
+
+
+def _places(df: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame, list[str]]:
+    """Distinct places chosen by hash, PER_BUCKET a bucket, staged; and the leading order columns that tell them apart.
+
+    Leading columns are enough if no value of theirs holds more places than half a bucket: rows that share it then
+    share a bucket.  Most orders begin with a column that is enough by itself.
+    """
+    size = df.agg(F.count(F.lit(1))).scalar()
+    held = stage(df.select(*order).filter(_share(order, PER_BUCKET * n, size)).distinct(), "places")
+    for k in range(1, len(order)):
+        most = held.groupBy(*order[:k]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= PER_BUCKET // 2:
+            return held, list(order[:k])
+    return held, list(order)
 
 
 def add_order_bucket(df: DataFrame, order: Sequence[str], *, n: int | None = None) -> DataFrame:
-    """Bucket rows by all their order columns together, each in its own type and order.
+    """Bucket rows by their order columns together, each in its own type and order.
 
     A struct compares column by column as a window's ORDER BY does, nulls first,
     so buckets follow the sort whatever the types, and a heavy instant is split
-    by the columns after it.  The cut points are taken from distinct places
-    chosen by hash, PER_BUCKET a bucket: a key's rows stand at distinct places.
+    by the columns after it.  Only as many leading columns are compared as that
+    needs.  The cut points are taken from distinct places chosen by hash: a
+    key's rows stand at distinct places.
     """
     n = n or bucket_count(df.sparkSession)
-    place = F.struct(*order)
-    size = df.agg(F.count(F.lit(1))).scalar()
-    held = df.filter(_share(order, PER_BUCKET * n, size)).agg(F.sort_array(F.collect_set(place)).alias("a"))
+    held, leading = _places(df, list(order), n)
+    sorted_places = held.agg(F.sort_array(F.collect_list(F.struct(*leading))).alias("a"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / n).cast("int")))
-    df = df.withColumn("_bounds", held.select(at).scalar())
-    return df.withColumn(BUCKET, _search(place, F.col("_bounds"), n)).drop("_bounds")
+    df = df.withColumns({"_bounds": sorted_places.select(at).scalar(), "_place": F.struct(*leading)})
+    found = _search(F.col("_place"), lambda i: F.get("_bounds", F.lit(i) if isinstance(i, int) else i), n)
+    return df.withColumn(BUCKET, found).drop("_bounds", "_place")
 
 
 def running_sums(
