@@ -1,16 +1,17 @@
 """Line de-duplication by a log-template tree.
 
-A line walks a tree of fixed depth: its number of tokens, then its two leading tokens.  A token that holds a digit is a
-variable field, and so is a leading token that too few lines of its node share: both take the node's variable branch.
-At the leaf, tokens are weighed by how many lines of the leaf have them at this place, each with its documents.  Tokens
-that a template fixes stand in all of its lines, the values of a field only in some, so the heaviest tokens of a line
-are its fixed ones: wherever the weight falls, what stands before is one generalisation of the line, and the rest are
-fields.  A template keeps more words than it has wordy fields.  One that many documents have is recurring; its lines
-stay in the document with the smallest id and are dropped from the others.  Lines of numbers have no word to keep and
-stand for themselves.
-
-Nodes, leaves, weights and templates are keys of aggregates with partial sums, taken over distinct lines: a line that a
-third of all documents share is one row behind the first aggregate, and no leaf is one task's work.
+A line walks trees of fixed depth: its number of tokens, then two neighbouring tokens, the leading ones and in further
+trees those at PLACES evenly spread places up to the trailing ones; a short line also reaches the leaf of its number of
+tokens alone.  A token that holds a digit is a variable field.  At a leaf, tokens are weighed by how many lines of the
+leaf have them at this place, each with its documents.  Tokens that a template fixes stand in all of its lines, the
+values of a field only in some, so the heaviest tokens of a line are its fixed ones: wherever the weight falls, what
+stands before is one generalisation of the line, and the rest are fields.  A template keeps more words than it has wordy
+fields.  One that many documents have is recurring; its lines stay in the document with the smallest id and are dropped
+from the others.  Lines of numbers have no word to keep and stand for themselves.
+
+Leaves, weights and templates are keys of aggregates with partial sums, taken over distinct lines: a line that a third
+of all documents share is one row behind the first aggregate, and no leaf is one task's work.  Only lines in leaves of
+enough documents are looked at token by token.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import Memo, blocks
 from driftloom.sources.stage import stage
 
-#: Documents from which on a template is recurring; lines (with their documents) that a branch of the tree needs.
+#: Documents from which on a template is recurring, and lines (with their documents) that a leaf needs.
 MIN_DOCS = 10
+#: Places of a line whose neighbouring tokens lead to a leaf; lines of up to SHORT tokens reach a leaf without.
+PLACES, SHORT = 4, 8
+#: Bits of the filter that tells lines in leaves of enough documents from most others.
+BITS = 1 << 23
 #: Tokens that a task keeps hashed.
 HELD = 200_000
 
 _DIGIT = re.compile(r"\d")
 _LETTER = re.compile(r"[^\W\d_]")
-_NODE = ["n", "first_token", "second_token"]
 
 
 def token_code(token: str) -> int:
@@ -50,47 +54,63 @@ def exact_key(tokens: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """Distinct lines of each document: doc_id, exact, masked (keys), n, the leading tokens, codes of all tokens."""
-    names = ["doc_id", "exact", "masked", *_NODE, "codes"]
+def leaves(codes: array) -> list[int]:
+    """Keys of the leaves that a line reaches; two fields, or two tokens without a letter, lead to none."""
+    n = len(codes)
+    found = {(n, -1, 0, 0)} if n <= SHORT else set()
+    for k in range(PLACES):
+        p = (n - 2) * k // (PLACES - 1)
+        if n > 1 and (codes[p] | codes[p + 1]) & 1:
+            found.add((n, p, codes[p], codes[p + 1]))
+    return [xxhash.xxh3_64_intdigest(array("q", f).tobytes()) - (1 << 63) for f in found]
+
+
+def _tokenised(rows: DataFrame, known: np.ndarray | None, schema: str) -> DataFrame:
+    """Lines of each document, each once: doc_id, exact, masked (keys), leaves; or, of ``known`` lines, masked and codes."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(token_code, HELD)
+        memo, bits = Memo(token_code, HELD), shared.value
         for batch in batches:
             for block in blocks(batch):
                 memo.turn()
                 out: list[tuple] = []
+                once: set[int] = set()
                 for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
                     seen = set()
                     for line in text.split("\n"):
                         tokens = line.split()
                         if not tokens:
                             continue
-                        exact = exact_key(tokens)
-                        if exact in seen:
-                            continue
-                        seen.add(exact)
                         codes = array("I", map(memo.__getitem__, tokens))
                         raw = codes.tobytes()
-                        second = codes[1] if len(codes) > 1 else 0
-                        out.append((doc, exact, xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(codes), codes[0], second, raw))
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names)
-
-    return rows.mapInArrow(run, "doc_id long, exact long, masked long, n long, first_token long, second_token long, codes binary")
-
+                        masked = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                        if bits is not None:
+                            at = masked % BITS
+                            if bits[at >> 3] >> (at & 7) & 1 and masked not in once:
+                                once.add(masked)
+                                out.append((masked, raw))
+                            continue
+                        exact = exact_key(tokens)
+                        if exact not in seen:
+                            seen.add(exact)
+                            out.append((doc, exact, masked, leaves(codes)))
+                kinds = [pa.int64(), pa.binary()] if bits is not None else [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+                names = ["masked", "codes"] if bits is not None else ["doc_id", "exact", "masked", "leaves"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-def _leaves(masks: DataFrame, min_docs: int) -> DataFrame:
-    """Masked lines whose leaf may hold a recurring template, with the leaf and its weight."""
-    weight = F.sum("n_docs").alias("weight")
+    return rows.mapInArrow(run, schema)
 
-    def branched(rows: DataFrame, node: list[str], token: str) -> DataFrame:
-        held = rows.groupBy(*node, token).agg(weight).where((F.col("weight") >= min_docs) & (F.col(token) != 0)).drop("weight").withColumn("kept", F.lit(True))
-        return rows.join(held, [*node, token], "left").withColumn(token, F.when(F.col("kept"), F.col(token)).otherwise(0)).drop("kept")
 
-    rows = branched(branched(masks, ["n"], "first_token"), ["n", "first_token"], "second_token")
-    leaves = rows.groupBy(*_NODE).agg(weight).where(F.col("weight") >= min_docs)
-    return rows.join(leaves, _NODE).withColumn("leaf", F.xxhash64(*_NODE))
+def _bits(keys: DataFrame) -> np.ndarray:
+    """One bit for each key; BITS / 64 rows at most reach the driver."""
+    at = keys.select(F.pmod("masked", F.lit(BITS)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    out = np.zeros(BITS // 64, np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint8)
 
 
 def _items(leaf: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -102,7 +122,8 @@ def _items(leaf: np.ndarray, place: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def _exploded(lines: DataFrame) -> DataFrame:
-    """masked, n_docs, place, item of every token that its path through the tree does not fix."""
+    """masked, leaf, n_docs, place, item of every token that is no field."""
+    names = ["masked", "leaf", "n_docs", "place", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,17 +132,13 @@ def _exploded(lines: DataFrame) -> DataFrame:
                 if not codes:
                     continue
                 flat = np.concatenate(codes)
-                own = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-                place = np.concatenate([np.arange(len(c)) for c in codes])
-                fixed = np.stack([block.column(c).to_numpy() for c in _NODE[1:]])
-                on_path = (place < 2) & (fixed[np.minimum(place, 1), own] != 0)
-                left = (flat != 0) & ~on_path
-                leaf, masked, n_docs = (block.column(c).to_numpy() for c in ("leaf", "masked", "n_docs"))
-                own, place, flat = own[left], place[left], flat[left]
-                arrays = [masked[own], n_docs[own], place, _items(leaf[own], place, flat)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["masked", "n_docs", "place", "item"])
+                own = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[flat != 0]
+                place = np.concatenate([np.arange(len(c)) for c in codes])[flat != 0]
+                masked, leaf, n_docs = (block.column(c).to_numpy()[own] for c in names[:3])
+                arrays = [masked, leaf, n_docs, place, _items(leaf, place, flat[flat != 0])]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names)
 
-    return lines.mapInArrow(run, "masked long, n_docs long, place long, item long")
+    return lines.mapInArrow(run, "masked long, leaf long, n_docs long, place long, item long")
 
 
 def line_templates(codes: list[int], weights: dict[int, int]) -> list[tuple[int, ...]]:
@@ -144,20 +161,17 @@ def line_templates(codes: list[int], weights: dict[int, int]) -> list[tuple[int,
 
 
 def _templates(lines: DataFrame, heavy: DataFrame) -> DataFrame:
-    """template, masked, n_docs, first of every generalisation of every masked line."""
-    per_line = heavy.groupBy("masked").agg(F.collect_list(F.struct("place", "weight")).alias("weights"))
-    rows = lines.withColumnRenamed("weight", "leaf_weight").join(per_line, "masked", "left")
+    """template, masked, n_docs, first of every generalisation of every masked line at each of its leaves."""
+    per_line = heavy.groupBy("masked", "leaf").agg(F.collect_list(F.struct("place", "weight")).alias("weights"))
+    rows = lines.join(per_line, ["masked", "leaf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "codes"):
                 out = []
-                names = ("masked", "n_docs", "first", "leaf", "leaf_weight", *_NODE[1:], "codes", "weights")
-                for masked, n_docs, first, leaf, leaf_weight, one, two, raw, some in zip(*(block.column(c).to_pylist() for c in names), strict=True):
+                for masked, leaf, n_docs, first, raw, some in zip(*(block.column(c).to_pylist() for c in ("masked", "leaf", "n_docs", "first", "codes", "weights")), strict=True):
                     codes = np.frombuffer(raw, np.uint32).tolist()
-                    weights = {w["place"]: w["weight"] for w in some or ()}
-                    weights |= {p: leaf_weight for p, c in ((0, one), (1, two)) if c}
-                    for kept in line_templates(codes, weights):
+                    for kept in line_templates(codes, {w["place"]: w["weight"] for w in some}):
                         key = array("q", [leaf, *(x for p in kept for x in (p, codes[p]))]).tobytes()
                         out.append((xxhash.xxh3_64_intdigest(key) - (1 << 63), masked, n_docs, first))
                 cols = list(zip(*out, strict=True)) or [()] * 4
@@ -166,7 +180,7 @@ def _templates(lines: DataFrame, heavy: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "template long, masked long, n_docs long, first long")
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def recurring(texts: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(exact, first) of lines that recur as they stand, and (masked, least, most) of those with recurring templates.
 
     ``least`` and ``most`` are the smallest and largest of the templates' first documents.
@@ -174,21 +188,23 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Da
     as_is = lines.select("exact", "doc_id").distinct().groupBy("exact").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     as_is = stage(as_is.where(F.col("n") >= min_docs).drop("n"), "lines-recurring")
 
-    masks = lines.select("masked", *_NODE, "doc_id").distinct().groupBy("masked", *_NODE).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"))
-    leaves = stage(_leaves(stage(masks, "lines-masked"), min_docs), "lines-leaves")
-    codes = lines.groupBy("masked").agg(F.first("codes").alias("codes"))  # equal for equal keys
-    found = stage(leaves.join(codes, "masked"), "lines-candidates")
+    masks = lines.select("masked", "leaves", "doc_id").distinct().groupBy("masked", "leaves").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"))
+    reached = stage(masks, "lines-masked").select("masked", F.explode("leaves").alias("leaf"), "n_docs", "first")
+    full = reached.groupBy("leaf").agg(F.sum("n_docs").alias("weight")).where(F.col("weight") >= min_docs).select("leaf")
+    reached = stage(reached.join(full, "leaf"), "lines-reached")
+    codes = _tokenised(texts, _bits(reached), "masked long, codes binary").groupBy("masked").agg(F.first("codes").alias("codes"))  # equal for equal keys
+    found = stage(reached.join(codes, "masked"), "lines-candidates")
 
     items = _exploded(found)
     weights = items.groupBy("item").agg(F.sum("n_docs").alias("weight")).where(F.col("weight") >= min_docs)
-    heavy = items.select("masked", "place", "item").join(stage(weights, "lines-weights"), "item").drop("item")
+    heavy = items.select("masked", "leaf", "place", "item").join(stage(weights, "lines-weights"), "item").drop("item")
     made = stage(_templates(found, heavy), "lines-templates")
 
     # a line that enough documents have makes its templates recurring; of the others, documents are counted once each
     totals = made.groupBy("template").agg(F.max("n_docs").alias("most"), F.sum("n_docs").alias("all"), F.min("first").alias("first"))
     totals = stage(totals.where(F.col("all") >= min_docs), "lines-totals")
     light = made.join(totals.where(F.col("most") < min_docs).select("template"), "template").select("template", "masked")
-    counted = light.join(lines.select("masked", "doc_id").distinct(), "masked").select("template", "doc_id").distinct()
+    counted = light.join(lines.select("masked", "doc_id"), "masked").select("template", "doc_id").distinct()
     counted = counted.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
     known = totals.where(F.col("most") >= min_docs).select("template", "first").unionAll(counted.select("template", "first"))
     general = made.select("template", "masked").join(known, "template").groupBy("masked").agg(F.min("first").alias("least"), F.max("first").alias("most"))
@@ -201,15 +217,16 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     A line is dropped if it, or one of its templates, occurs in at least ``min_docs`` documents and its document does
     not have the smallest id of them.  Lines are what line breaks separate; lines without tokens stay, and blanks
     between tokens do not count.  A null text stays null and has 0 lines.  Rows without an id drop nothing and do not
-    count.  Rows that share an id are one document, and lose the same lines.  One row per input row.  A leading token
-    that enough lines share keeps its own branch, also where a template has a field in its place: such lines recur only
-    within their branch.  Other columns are not read, but for those named in ``carry``, which come along in a struct of
+    count.  Rows that share an id are one document, and lose the same lines.  One row per input row.  In lines of
+    more than SHORT tokens, a template with a wordy field at every one of the PLACES is not found; its equal lines are.
+    Other columns are not read, but for those named in ``carry``, which come along in a struct of
     that name.  An empty table stays empty.
     """
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("carry"))
-    lines = stage(_lines(rows.where("doc_id is not null and text is not null").select("doc_id", "text")), "lines")
-    as_is, general = recurring(lines, min_docs)
+    texts = rows.where("doc_id is not null and text is not null").select("doc_id", "text")
+    lines = stage(_tokenised(texts, None, "doc_id long, exact long, masked long, leaves array<long>"), "lines")
+    as_is, general = recurring(texts, lines, min_docs)
     own = F.col("doc_id")
     hits = lines.select("doc_id", "exact").join(as_is, "exact").where(own != F.col("first")).select("doc_id", "exact")
     more = lines.select("doc_id", "exact", "masked").join(general, "masked").where((own != F.col("least")) | (own != F.col("most")))

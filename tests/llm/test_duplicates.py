@@ -159,28 +159,25 @@ def brute_lines(docs, min_docs):
                 exact[tuple(line.split())].add(i)
                 lines_of[masked(line)].add(i)
 
-    def branch(paths, k):
-        """Each line's k-th leading token, or the variable branch."""
-        weight = Counter()
-        for m, path in paths.items():
-            weight[path, m[k] if len(m) > k else "<*>"] += len(lines_of[m])
-        return {m: (*path, m[k] if len(m) > k and m[k] != "<*>" and weight[path, m[k]] >= min_docs else "<*>") for m, path in paths.items()}
-
-    leaf_of = branch(branch({m: (len(m),) for m in lines_of}, 0), 1)
     leaves = defaultdict(list)
-    for m, leaf in leaf_of.items():
-        leaves[leaf].append(m)
+    for m in lines_of:
+        n = len(m)
+        keys = {(n,)} if n <= 8 else set()
+        for p in {0, (n - 2) // 3, (n - 2) * 2 // 3, n - 2} if n > 1 else ():
+            if any(has_letter(t) and t != "<*>" for t in m[p : p + 2]):
+                keys.add((n, p, *m[p : p + 2]))
+        for key in keys:
+            leaves[key].append(m)
     found, by_template = defaultdict(list), defaultdict(set)
     for leaf, held in leaves.items():
-        size = sum(len(lines_of[m]) for m in held)
-        if size < min_docs:
+        if sum(len(lines_of[m]) for m in held) < min_docs:
             continue
         weight = Counter()
         for m in held:
             for p, t in enumerate(m):
                 weight[p, t] += len(lines_of[m])
         for m in held:
-            fixed = {p: size if p < 2 and leaf[p + 1] != "<*>" else weight[p, t] for p, t in enumerate(m) if t != "<*>"}
+            fixed = {p: weight[p, t] for p, t in enumerate(m) if t != "<*>"}
             for w in {w for w in fixed.values() if w >= min_docs}:
                 kept = {p for p, x in fixed.items() if x >= w}
                 if sum(has_letter(m[p]) for p in kept) > len(fixed) - len(kept):
