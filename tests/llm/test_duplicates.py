@@ -174,8 +174,9 @@ def brute_lines(docs, min_docs):
             continue
         weight = Counter()
         for m in held:
+            n_docs = len(lines_of[m])
             for p, t in enumerate(m):
-                weight[p, t] += len(lines_of[m])
+                weight[p, t] += n_docs
         for m in held:
             fixed = {p: weight[p, t] for p, t in enumerate(m) if t != "<*>"}
             for w in {w for w in fixed.values() if w >= min_docs}:
