@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from driftloom.operators import clean as P
@@ -16,8 +18,10 @@ from driftloom.plans.drift_queries import CAT_LONG, CAT_VERDICT, NUMERIC_PARTS,
 from driftloom.plans.fixtures import rounded, table
 from driftloom.plans.history_queries import SEQ, _windows, telemetry
 from driftloom.plans.monitor import battery_monitor, monitor
+from driftloom.plans.replay import RETRAINS, Replay, record, replay
 from driftloom.plans.quality_queries import METRIC_CTE, METRICS_SQL, _alert_stream, batch_metrics
 from driftloom.sources.stage import new_path, stage
+from driftloom.sources.stores import ModelRegistry
 from driftloom.streaming import online as O
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -61,6 +65,39 @@ def _numeric_summary(s, d):
     )
 
 
+def _recorded(s, d):
+    """The run as the registry tells it: batch rows read back from the written tables, with the model's status."""
+    run, registry = _run(s, d), ModelRegistry(s, new_path(s, "registry"))
+    whole = Replay(run.details, run.prediction, run.summary, s.createDataFrame([], RETRAINS), None, 0.0)
+    record(whole, registry, name="shipments", at=dt.datetime(2024, 1, 1), thresholds={"auc_critical": 0.75})
+    rows = registry.model_history().join(registry.models().select("model_id", "name", "status"), "model_id")
+    verdicts = registry.drift_history().groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_verdicts"))
+    return rounded(rows.join(verdicts, "batch_id").select(
+        "name", "status", "batch_id", "auc_roc", "f1_score", "precision_val", "recall_val", "brier_score", "drift_score", "drift_severity",
+        "n_drifted_feats", "n_samples", "retrain_triggered", "roi_monthly_loss", "roi_missed_churners", "n_verdicts",
+    ))
+
+
+def _replayed(s, d):
+    """All shipment years in order, with a ridge score that is fitted again and promoted where that helps."""
+
+    def fit(rows):
+        return L.degradation_trend(rows.withColumn("_target", F.col("y") * 100.0), "_target", X.NUMERIC)
+
+    def score(model, rows):
+        return rows.withColumn("score", model.predict() / 100)
+
+    first = L.Trend(X.NUMERIC, [25.0, 38000.0, 0.05, 0.04], [14.0, 23000.0, 0.03, 0.03], [25.0, -5.0, 0.0, 10.0], 50.0)
+    run = replay(
+        _scored_shift(s, d).drop("score"), numeric=X.NUMERIC, categorical=[], label="y", key=["l_orderkey", "l_linenumber"], fit=fit, score=score, model=first
+    )
+    promoted = run.retrains.select("batch_id", F.col("promoted"), "old_auc", "new_auc")
+    return rounded(run.summary.join(promoted, "batch_id", "left").select(
+        "batch_id", "epoch", "n_samples", "auc_roc", "f1_score", "overall_severity", "rule", "retrain_triggered", "promoted", "old_auc", "new_auc",
+        "baseline_auc", "total_monthly_loss", "roi_status",
+    ))
+
+
 def _alerts(s, d):
     run = _run(s, d)
     when = F.make_timestamp(F.col("batch_id"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("ts")
@@ -147,19 +184,21 @@ _BAT = ["cycle_count", "voltage_v", "current_a", "temperature_c"]
 def _health(s, d):
     from driftloom.operators.quality import regression_metrics
 
-    rows = _battery_rows(s, d)
-    model = L.health_regressor(rows, "soh", _BAT, trees=10, depth=4, rate=0.3)
+    rows = stage(splits.split_by_cycle(_battery_rows(s, d), "cycle_count"), "battery-by-cycle")
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    model = L.health_regressor(train, "soh", _BAT, trees=10, depth=4, rate=0.3)
     return rounded(regression_metrics(L.clipped_prediction(model.transform(test), 0.0, 1.0, test.columns), "soh", "prediction"))
 
 
 def _faults(s, d):
     from driftloom.operators.quality import binary_metrics
 
-    rows = _battery_rows(s, d)
+    rows = stage(splits.stratified_split(_battery_rows(s, d), key=["event_id"], strata="fault_label"), "battery-by-fault")
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
     out = None
     for forest in (False, True):
-        model = L.fault_classifier(rows, "fault_label", _BAT, trees=10, forest=forest)
-        scored = L.score_table(model, rows, threshold=0.40)
+        model = L.fault_classifier(train, "fault_label", _BAT, trees=10, forest=forest)
+        scored = L.score_table(model, test, threshold=0.40)
         part = binary_metrics(scored, "fault_label", "score", threshold=0.40).withColumn("forest", F.lit(forest))
         out = part if out is None else out.unionByName(part)
     return rounded(out)
@@ -174,14 +213,15 @@ def _trend(s, d):
 def _sequence_model(s, d):
     from driftloom.operators.quality import regression_metrics
 
-    windows = stage(_windows(s, d, 5), "windows")
-    _, score = L.charge_from_sequences(windows, length=10, width=len(SEQ), trees=5, depth=3)
-    return rounded(regression_metrics(score(windows), "target", "prediction"))
+    windows = stage(splits.split_by_cycle(_windows(s, d, 5), "position"), "windows")
+    train, test = windows.filter("split = 'train'"), windows.filter("split = 'test'")
+    _, score = L.charge_from_sequences(train, length=10, width=len(SEQ), trees=5, depth=3)
+    return rounded(regression_metrics(score(test), "target", "prediction"))
 
 
 def _spread(s, d):
-    rows = _battery_rows(s, d)
-    out = L.prediction_spread(rows, rows, "soh", _BAT, key=["event_id"], models=3, trees=3, depth=3)
+    rows = stage(splits.split_by_cycle(_battery_rows(s, d), "cycle_count"), "battery-by-cycle")
+    out = L.prediction_spread(rows.filter("split = 'test'"), rows.filter("split = 'train'"), "soh", _BAT, key=["event_id"], models=3, trees=3, depth=3)
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.avg("mean_prediction").alias("mean"), F.avg("std_prediction").alias("spread")))
 
 
@@ -265,8 +305,8 @@ def _predictions(s, d):
 def _window_monitor(s, d):
     reference = _predictions(s, d).filter("ts < timestamp_ntz '2024-01-08'")
     path = new_path(s, "predictions")
-    _predictions(s, d).write.parquet(path)
-    stream = s.readStream.schema(_predictions(s, d).schema).parquet(path)
+    O.write_in_turn(_predictions(s, d), path, F.unix_micros(F.col("ts").cast("timestamp")), 3)
+    stream = s.readStream.schema(_predictions(s, d).schema).option("maxFilesPerTrigger", 1).parquet(path)
     watch = O.WindowMonitor(s, new_path(s, "watch"), reference, ["value", "k"], [], ["ts", "event_id"])
     watch.start(stream, new_path(s, "watch-checkpoint")).awaitTermination()
     return rounded(watch.drift_log().select(
@@ -291,21 +331,23 @@ def _event_time_stream(s, d):
 def _trigger_stream(s, d):
     rows = batch_metrics(s, d).select("model_id", F.col("batch_id").cast("long").alias("batch_id"), "auc_roc", "drift_severity")
     path = new_path(s, "metrics")
-    rows.write.parquet(path)
-    return O.run_to_table(O.trigger_stream(s.readStream.schema(rows.schema).parquet(path)), s, "triggers")
+    O.write_in_turn(rows, path, F.col("batch_id"), 3)
+    return O.run_to_table(O.trigger_stream(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)), s, "triggers")
 
 
 def _alert_cooldown_stream(s, d):
     rows = _alert_stream(s, d).withColumns({"alert_id": F.lpad(F.col("alert_id").cast("string"), 12, "0"), "ts": F.col("ts").cast("timestamp")})
     path = new_path(s, "alerts")
-    rows.write.parquet(path)
-    out = O.run_to_table(O.alert_stream(s.readStream.schema(rows.schema).parquet(path)), s, "fired")
+    O.write_in_turn(rows, path, F.unix_micros("ts"), 3)
+    out = O.run_to_table(O.alert_stream(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)), s, "fired")
     return out.select(F.col("alert_id").cast("long").alias("alert_id"), "category", "severity", "fired")
 
 
 QUERIES = {
     "B5_batch_summary": _summary,
     "B5_numeric_summary": _numeric_summary,
+    "B5_recorded_run": _recorded,
+    "L12_replayed_run": _replayed,
     "B8_alerts": _alerts,
     "B4_battery_run": _battery,
     "L2_churn_classifier": _churn_quality,
@@ -422,3 +464,11 @@ ORACLE = {
       s as (select feature, w, n, sum((p - r) * ln(p / r)) as psi from f group by all)
       select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, feature, n::bigint as n, round(psi, 6) as psi, """ + SEVERITY.format("psi") + " as severity from s",
 }
+
+ORACLE["B5_recorded_run"] = f"""with b as ({ORACLE['B5_batch_summary']})
+  select 'shipments' as name, last_value(case when auc_roc < 0.75 or overall_severity = 'critical' then 'critical'
+      when auc_roc < 0.8 or overall_severity = 'warning' then 'warning' else 'healthy' end)
+      over (order by batch_id rows between unbounded preceding and unbounded following) as status,
+    batch_id::bigint as batch_id, auc_roc, f1_score, precision_val, recall_val, brier_score, overall_drift_score as drift_score,
+    overall_severity as drift_severity, n_drifted_features::bigint as n_drifted_feats, n_samples, retrain_triggered,
+    total_monthly_loss as roi_monthly_loss, missed_churners as roi_missed_churners, 6::bigint as n_verdicts from b"""

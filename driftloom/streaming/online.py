@@ -54,6 +54,11 @@ def start_log(stream: DataFrame, path: str, checkpoint: str, **trigger):
 # Count-bounded windows ---------------------------------------------------------------
 
 
+def _matched(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on one key, of which null is a value like any other."""
+    return rows.join(table.withColumnRenamed(key, "_of"), F.col(key).eqNullSafe(F.col("_of")), how).drop("_of")
+
+
 def count_windows(
     numbered: DataFrame, *, position: str, served: str, size: int = T.WINDOW_SIZE, every: int = T.CHECK_EVERY,
     after: Column | None = None, out: str = "window_id",
@@ -117,22 +122,22 @@ class WindowMonitor:
         before = self._read("served", epoch - 1, served_ddl)
 
         numbered = rank_values(rows, [self.model], self.order, out="_n")
-        numbered = numbered.join(before, self.model, "left").select(
+        numbered = _matched(numbered, before, self.model, "left").select(
             *self.columns, (F.col("_n") + F.coalesce("served", F.lit(0))).cast("bigint").alias("position")
         )
         numbered.write.mode("overwrite").parquet(self._epoch("log", epoch))
         log = self.spark.read.schema(numbered.schema).parquet(self._epoch("log", epoch))
 
         fresh = log.groupBy(self.model).agg(F.max("position").alias("served"))
-        served = before.join(fresh, self.model, "left_anti").unionByName(fresh)
+        served = _matched(before, fresh.drop("served"), self.model, "left_anti").unionByName(fresh)
         served.write.mode("overwrite").parquet(self._epoch("served", epoch))
         served = self.spark.read.schema(served_ddl).parquet(self._epoch("served", epoch))
 
         recent = self._read("tail", epoch - 1, numbered.schema).unionByName(log)
-        counts = served.join(before.withColumnRenamed("served", "_before"), self.model, "left")
+        counts = _matched(served, before.withColumnRenamed("served", "_before"), self.model, "left")
         counts = counts.withColumn("_before", F.coalesce("_before", F.lit(0).cast("bigint")))
         windows = count_windows(
-            recent.join(counts, self.model), position="position", served="served", size=self.size, every=self.every, after=F.col("_before")
+            _matched(recent, counts, self.model), position="position", served="served", size=self.size, every=self.every, after=F.col("_before")
         )
         windows = stage(windows.drop("_before", "served"), "windows")
         if not windows.isEmpty():
@@ -321,6 +326,19 @@ def alert_stream(alerts: DataFrame, *, minutes: int = T.ALERT_COOLDOWN_MINUTES)
     )
 
 
+def write_in_turn(rows: DataFrame, path: str, order: Column, parts: int) -> None:
+    """Write rows as ``parts`` files, one after another by equal ranges of ``order``, for a stream of several micro-batches.
+
+    A stream with ``maxFilesPerTrigger`` 1 then sees them in that order; rows of equal order are in one file.
+    """
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, hi = float(ends["lo"] or 0), float(ends["hi"] or 0)
+    width = (hi - lo) / parts or 1.0
+    part = F.least(F.floor((order.cast("double") - lo) / width), F.lit(parts - 1))
+    for i in range(parts):
+        rows.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+
+
 def run_to_table(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Drive a stream over the available input into a Parquet table and read that table."""
     path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")

@@ -95,6 +95,17 @@ def test_window_monitor_does_not_depend_on_micro_batches(spark, tmp_path):
     assert one["window_size"].tolist()[:2] == [500, 1000]
 
 
+def test_window_monitor_counts_a_model_without_id(spark, tmp_path):
+    pdf = predictions(90)
+    rows = spark.createDataFrame(pdf).withColumn("model_id", F.lit(None).cast("bigint"))
+    watch = O.WindowMonitor(spark, str(tmp_path / "w"), spark.createDataFrame(predictions(300)).drop("model_id"), ["x"], [], ["t"], size=40, every=20)
+    watch.process(rows.filter(F.col("t") <= pdf["t"].iloc[40]), 0)
+    watch.process(rows.filter(F.col("t") > pdf["t"].iloc[40]), 1)
+    log = spark.read.parquet(f"{tmp_path}/w/log")
+    assert sorted(r["position"] for r in log.collect()) == list(range(1, 91))
+    assert spark.read.parquet(f"{tmp_path}/w/served/epoch=1").collect()[0][:] == (None, 90)
+
+
 def test_lost_state_raises(spark, tmp_path):
     pdf = predictions(90)
     watch = O.WindowMonitor(spark, str(tmp_path / "w"), spark.createDataFrame(predictions(300)).drop("model_id"), ["x"], [], ["t"], size=40, every=20)
