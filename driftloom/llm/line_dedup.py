@@ -4,9 +4,8 @@ A line walks trees of fixed depth: its number of tokens, then two neighbouring t
 trees those at PLACES evenly spread places up to the trailing ones; a short line also reaches the leaf of its number of
 tokens alone.  A token that holds a digit is a variable field.  At a leaf, tokens are weighed by how many lines of the
 leaf have them at this place, each with its documents.  Tokens that a template fixes stand in all of its lines, the
-values of a field only in some, so the heaviest tokens of a line are its fixed ones: wherever the weight falls, what
-stands before is one generalisation of the line, and the rest are fields.  A template keeps more words than it has wordy
-fields.  One that many documents have is recurring; its lines stay in the document with the smallest id and are dropped
+values of a field only in some, so the heaviest tokens of a line are its fixed ones: at a place where the weight falls,
+what stands before is kept, and the rest are fields.  A template keeps more words than it has wordy fields.  One that many documents have is recurring; its lines stay in the document with the smallest id and are dropped
 from the others.  Lines of numbers have no word to keep and stand for themselves.
 
 Leaves, weights and templates are keys of aggregates with partial sums, taken over distinct lines: a line that a third
@@ -62,7 +61,7 @@ def leaves(codes: array) -> list[int]:
         p = (n - 2) * k // (PLACES - 1)
         if n > 1 and (codes[p] | codes[p + 1]) & 1:
             found.add((n, p, codes[p], codes[p + 1]))
-    return [xxhash.xxh3_64_intdigest(array("q", f).tobytes()) - (1 << 63) for f in found]
+    return list(map(hash, found))  # the same in every process, as these are numbers
 
 
 def _tokenised(rows: DataFrame, known: np.ndarray | None, schema: str) -> DataFrame:
@@ -141,27 +140,24 @@ def _exploded(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "masked long, leaf long, n_docs long, place long, item long")
 
 
-def line_templates(codes: list[int], weights: dict[int, int]) -> list[tuple[int, ...]]:
-    """Places that each generalisation of a line keeps, the strictest first.
+def line_template(codes: list[int], weights: dict[int, int]) -> tuple[int, ...]:
+    """Places that the widest generalisation of a line keeps; none if there is no template.
 
     ``weights`` has the places of tokens that enough lines of the leaf share.  Places of equal weight stay together.  A
-    generalisation needs more words (tokens with a letter) than wordy fields.
+    generalisation needs more words (tokens with a letter) than wordy fields.  A wider one holds all lines of a stricter
+    one, and so its first document: whatever recurs by any generalisation recurs by the widest.
     """
-    words = sum(1 for c in codes if c)
-    order = sorted(weights, key=lambda p: (-weights[p], p))
-    out, kept_words = [], [0]
-    for p in order:
-        kept_words.append(kept_words[-1] + (codes[p] & 1))
-    for m in range(len(order), 0, -1):
-        if kept_words[m] <= words - m:
-            break
-        if m == len(order) or weights[order[m - 1]] > weights[order[m]]:
-            out.append(tuple(sorted(order[:m])))
-    return out
+    fields = sum(1 for c in codes if c)
+    order, words = sorted(weights, key=lambda p: (-weights[p], p)), 0
+    for m, p in enumerate(order, 1):
+        words, fields = words + (codes[p] & 1), fields - 1
+        if words > fields and (m == len(order) or weights[p] > weights[order[m]]):
+            return tuple(sorted(order[:m]))
+    return ()
 
 
 def _templates(lines: DataFrame, heavy: DataFrame) -> DataFrame:
-    """template, masked, n_docs, first of every generalisation of every masked line at each of its leaves."""
+    """template, masked, n_docs, first: the generalisation of every masked line at each of its leaves."""
     per_line = heavy.groupBy("masked", "leaf").agg(F.collect_list(F.struct("place", "weight")).alias("weights"))
     rows = lines.join(per_line, ["masked", "leaf"])
 
@@ -171,7 +167,8 @@ def _templates(lines: DataFrame, heavy: DataFrame) -> DataFrame:
                 out = []
                 for masked, leaf, n_docs, first, raw, some in zip(*(block.column(c).to_pylist() for c in ("masked", "leaf", "n_docs", "first", "codes", "weights")), strict=True):
                     codes = np.frombuffer(raw, np.uint32).tolist()
-                    for kept in line_templates(codes, {w["place"]: w["weight"] for w in some}):
+                    kept = line_template(codes, {w["place"]: w["weight"] for w in some})
+                    if kept:
                         key = array("q", [leaf, *(x for p in kept for x in (p, codes[p]))]).tobytes()
                         out.append((xxhash.xxh3_64_intdigest(key) - (1 << 63), masked, n_docs, first))
                 cols = list(zip(*out, strict=True)) or [()] * 4
