@@ -265,3 +265,7 @@ ORACLE = {
         round(r.p25, 6) as ref_p25, round(r.p50, 6) as ref_p50, round(r.p75, 6) as ref_p75
       from st p join st r using (feature) where r.is_reference and not p.is_reference""",
 }
+
+ORACLE["D15_messages"] = _with("f1s", ("f1", "f1s"), *NUMERIC_PARTS) + """
+  select batch_id, feature, case when n_prod < 100 then printf('Insufficient samples (%d < 100)', n_prod)
+    else printf('PSI=%.4f | KS_p=%.4f | JSD=%.4f | Wass=%.4f', psi, ks_p, jsd, w) end as message from verdict"""

@@ -306,3 +306,17 @@ ORACLE = {
       case when total_monthly_loss > 50000 then 'critical' when total_monthly_loss > 10000 then 'amber' else 'none' end as band, count(*) as n
       from loss group by all""",
 }
+
+# texts round half up from the shortest decimal form; printf would round from the binary value
+_HALF_UP = "round(({0})::varchar::decimal(30, 17), {1})::decimal(30, {1})::varchar"
+_MONEY = "case when {0} >= 100000 then '₹' || " + _HALF_UP.format("{0} / 100000", 1) + " || 'L' else '₹' || format('{{:,}}', {0}::bigint) end"
+_DROP, _AUC = _HALF_UP.format("auc_drop", 4), _HALF_UP.format("auc_roc", 4)
+ORACLE["B2_headlines"] = f"""with {METRICS_SQL}, {LOSS_SQL.format(auc='auc_roc', src='bm')},
+  m as (select *, {_MONEY.format('total_monthly_loss')} as per_month, {_MONEY.format('total_annual_loss')} as per_year from loss)
+  select id, case
+    when auc_drop = 0 then 'Model performing at baseline (AUC ' || {_AUC} || '). No measurable revenue impact detected.'
+    when auc_drop < 0.03 then 'Minor AUC drop of ' || {_DROP} || ' — est. ' || missed_churners || ' missed churners costing ~' || per_month || '/month. Monitor closely.'
+    when auc_drop < 0.07 then 'Moderate AUC degradation (' || {_DROP} || ' drop). Est. ' || per_month
+      || '/month in lost revenue + wasted outreach. Schedule retrain this week.'
+    else 'CRITICAL: AUC dropped ' || {_DROP} || ' from baseline. Est. ' || per_month || '/month loss (' || per_year || '/year). Retrain immediately.'
+    end as roi_headline from m"""
