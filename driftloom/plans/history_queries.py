@@ -177,3 +177,13 @@ ORACLE = {
     "W10_min_max_scaled": f"""with {TELEMETRY_SQL}, m as (select {', '.join(f'min({f}) as lo_{f}, max({f}) as hi_{f}' for f in SEQ)} from tel where cycle_count <= 20)
       select event_id, {', '.join(f'round(({f} - lo_{f}) / (hi_{f} - lo_{f}), 6) as {f}_scaled' for f in SEQ)} from tel, m""",
 }
+
+# texts round half up from the shortest decimal form; printf would round from the binary value
+_HALF_UP = "round(({0})::varchar::decimal(30, 17), {1})::decimal(30, {1})::varchar"
+_NOW, _BEFORE, _FALL = _HALF_UP.format("auc_roc", 4), _HALF_UP.format("before3", 4), _HALF_UP.format("before3 - auc_roc", 3)
+ORACLE["W3_trigger_reasons"] = f"""with recursive {METRICS_SQL}, {TRIGGER_SQL}, raw as (select *, rule is not null as raised from rule), {COOLDOWN_SQL}
+  select model_id, batch_id, case when not fired then ''
+    when rule = 'auc_floor' then 'AUC ' || {_NOW} || ' below critical threshold 0.7'
+    when rule = 'drift_and_auc' then 'AUC ' || {_NOW} || ' below warning threshold with ' || drift_severity || ' drift detected'
+    else 'Rolling AUC drop: ' || {_BEFORE} || '→' || {_NOW} || ' (' || {_FALL} || ' over 3 batches)' end as retrain_reason
+  from raw join st using (model_id, r)"""
