@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +54,20 @@ def exact_key(tokens: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
 
 
+@lru_cache(maxsize=1 << 16)
+def _places(n: int) -> tuple[int, ...]:
+    return tuple(sorted({(n - 2) * k // (PLACES - 1) for k in range(PLACES)})) if n > 1 else ()
+
+
 def leaves(codes: array) -> list[int]:
     """Keys of the leaves that a line reaches; two fields, or two tokens without a letter, lead to none."""
-    n = len(codes)
-    found = {(n, -1, 0, 0)} if n <= SHORT else set()
-    for k in range(PLACES):
-        p = (n - 2) * k // (PLACES - 1)
-        if n > 1 and (codes[p] | codes[p + 1]) & 1:
-            found.add((n, p, codes[p], codes[p + 1]))
-    return list(map(hash, found))  # the same in every process, as these are numbers
+    n = len(codes)  # hashes of numbers are the same in every process
+    found = [hash((n, p, codes[p], codes[p + 1])) for p in _places(n) if (codes[p] | codes[p + 1]) & 1]
+    return [*found, hash((n, -1, 0, 0))] if n <= SHORT else found
 
 
 def _tokenised(rows: DataFrame, known: np.ndarray | None, schema: str) -> DataFrame:
-    """Lines of each document, each once: doc_id, exact, masked (keys), leaves; or, of ``known`` lines, masked and codes."""
+    """Lines of each document, each once: doc_id, exact, masked, raw (keys), leaves; or, of ``known`` lines, masked and codes."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,25 +80,27 @@ def _tokenised(rows: DataFrame, known: np.ndarray | None, schema: str) -> DataFr
                 for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
                     seen = set()
                     for line in text.split("\n"):
+                        raw = xxhash.xxh3_64_intdigest(line)
+                        if bits is not None and not bits[raw % BITS >> 3] >> (raw & 7) & 1:
+                            continue
                         tokens = line.split()
                         if not tokens:
                             continue
                         codes = array("I", map(memo.__getitem__, tokens))
-                        raw = codes.tobytes()
-                        masked = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                        packed = codes.tobytes()
+                        masked = xxhash.xxh3_64_intdigest(packed) - (1 << 63)
                         if bits is not None:
-                            at = masked % BITS
-                            if bits[at >> 3] >> (at & 7) & 1 and masked not in once:
+                            if masked not in once:
                                 once.add(masked)
-                                out.append((masked, raw))
+                                out.append((masked, packed))
                             continue
                         exact = exact_key(tokens)
                         if exact not in seen:
                             seen.add(exact)
-                            out.append((doc, exact, masked, leaves(codes)))
-                kinds = [pa.int64(), pa.binary()] if bits is not None else [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                            out.append((doc, exact, masked, raw - (1 << 63), leaves(codes)))
+                kinds = [pa.int64(), pa.binary()] if bits is not None else [*[pa.int64()] * 4, pa.list_(pa.int64())]
                 cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-                names = ["masked", "codes"] if bits is not None else ["doc_id", "exact", "masked", "leaves"]
+                names = ["masked", "codes"] if bits is not None else ["doc_id", "exact", "masked", "raw", "leaves"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return rows.mapInArrow(run, schema)
@@ -104,7 +108,7 @@ def _tokenised(rows: DataFrame, known: np.ndarray | None, schema: str) -> DataFr
 
 def _bits(keys: DataFrame) -> np.ndarray:
     """One bit for each key; BITS / 64 rows at most reach the driver."""
-    at = keys.select(F.pmod("masked", F.lit(BITS)).alias("at"))
+    at = keys.select(F.pmod("raw", F.lit(BITS)).alias("at"))  # as BITS divides 2 ** 63, an offset of that changes nothing
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
     out = np.zeros(BITS // 64, np.int64)
     for r in words.collect():
@@ -189,7 +193,8 @@ def recurring(texts: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> t
     reached = stage(masks, "lines-masked").select("masked", F.explode("leaves").alias("leaf"), "n_docs", "first")
     full = reached.groupBy("leaf").agg(F.sum("n_docs").alias("weight")).where(F.col("weight") >= min_docs).select("leaf")
     reached = stage(reached.join(full, "leaf"), "lines-reached")
-    codes = _tokenised(texts, _bits(reached), "masked long, codes binary").groupBy("masked").agg(F.first("codes").alias("codes"))  # equal for equal keys
+    wanted = lines.select("masked", "raw").join(reached.select("masked"), "masked", "left_semi")
+    codes = _tokenised(texts, _bits(wanted), "masked long, codes binary").groupBy("masked").agg(F.first("codes").alias("codes"))  # equal for equal keys
     found = stage(reached.join(codes, "masked"), "lines-candidates")
 
     items = _exploded(found)
@@ -222,7 +227,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("carry"))
     texts = rows.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = stage(_tokenised(texts, None, "doc_id long, exact long, masked long, leaves array<long>"), "lines")
+    lines = stage(_tokenised(texts, None, "doc_id long, exact long, masked long, raw long, leaves array<long>"), "lines")
     as_is, general = recurring(texts, lines, min_docs)
     own = F.col("doc_id")
     hits = lines.select("doc_id", "exact").join(as_is, "exact").where(own != F.col("first")).select("doc_id", "exact")
