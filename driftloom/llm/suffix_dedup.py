@@ -31,6 +31,8 @@ GRAM = 8
 REST = 40
 #: Bytes of stretches that are sorted at once.
 SORT_BYTES = 1 << 20
+#: What a stretch takes beside its bytes while it is held.
+ROW_BYTES = 200
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -256,7 +258,7 @@ def _covered(stretches: DataFrame, length: int, n_parts: int) -> DataFrame:
         """Spans of stretches under complete anchors."""
         kinds: dict[tuple, int] = {}
         for key, doc, _, _, _, s in group:
-            if s is not None and kinds.get((key, s), doc) >= doc:
+            if kinds.get((key, s), doc) >= doc:
                 kinds[key, s] = doc
         several: dict[int, int] = {}
         for key, _ in kinds:
@@ -264,7 +266,7 @@ def _covered(stretches: DataFrame, length: int, n_parts: int) -> DataFrame:
         mixed = [(ks, doc) for ks, doc in kinds.items() if several[ks[0]] > 1]
         flags = dict(zip((ks for ks, _ in mixed), repeated([ks[1] for ks, _ in mixed], [d for _, d in mixed], length), strict=True)) if mixed else {}
         for key, doc, cid, at, n, s in group:
-            if s is None or kinds[key, s] < doc:
+            if kinds[key, s] < doc:
                 out.append((doc, cid, at, at + n))
             elif (key, s) in flags:
                 out += [(doc, cid, at + a, at + b + length - 1) for a, b in runs_of(flags[key, s])]
@@ -276,14 +278,17 @@ def _covered(stretches: DataFrame, length: int, n_parts: int) -> DataFrame:
         held, size, out = [], 0, []
         for batch in batches:  # sorted by key
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[5] is None:  # covered whole, whatever the other stretches are
+                    out.append((row[1], row[2], row[3], row[3] + row[4]))
+                    continue
                 if size > SORT_BYTES and row[0] != held[-1][0]:
                     answer(held, out)
                     held, size = [], 0
-                    if out:
-                        yield pack(out)
-                    out = []
                 held.append(row)
-                size += len(row[5] or b"")
+                size += len(row[5]) + ROW_BYTES
+            if len(out) > 50_000:
+                yield pack(out)
+                out = []
         answer(held, out)
         if out:
             yield pack(out)
