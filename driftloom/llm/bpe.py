@@ -6,6 +6,9 @@ the vocabulary strings of the ids.
 
 Texts are cut at white space first, because no pre-token crosses it; each distinct piece is merged once per Python
 worker and kept in a bounded memo, so long corpora cost a dictionary look-up a word.  Nothing is shuffled.
+
+Which characters are letters, and how they compose, differs between releases of Unicode.  A piece with characters
+beyond the Latin blocks is therefore normalised and split by the library itself; its merges are made here as all others.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from driftloom.llm.common import Memo, blocks, texts
 
 #: Unicode white space as the tokenizer's patterns see it (Python's own also has four control characters).
 SPACE = r"\t-\r \x85\xa0  -     　"
 _CONTROL = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Distinct words and pieces that a worker keeps in each generation.
 MEMO = 150_000
@@ -57,6 +63,8 @@ class Encoder:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or len(split) != 1 or spec["decoder"]:
             raise ValueError(f"{path}: only NFC, white space, lower case and one split pattern are known")
         self.pattern = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split = Split(Regex(split[0]["pattern"]["Regex"]), split[0]["behavior"].lower(), split[0]["invert"]).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         names = {i: s for s, i in (self.vocab | self.special).items()}
@@ -111,6 +119,15 @@ class Encoder:
                     heappush(queue, rank * n + h)
         return tuple([s for s in symbols if s >= 0])
 
+    def split_words(self, text: str) -> list[str]:
+        """Normalised pre-tokens of a text without white space and special strings."""
+        if _BEYOND_LATIN.search(text):
+            return [word for word, _ in self.split(self.normalise(text))]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = text.lower()
+        return [text] if text.isalpha() else self.pattern.findall(text)
+
     def piece(self, text: str) -> bytes:
         """Ids of a text without white space; special strings in it are their own ids."""
         out: list[int] = []
@@ -118,10 +135,7 @@ class Encoder:
             if k % 2:
                 out.append(self.special[part])
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # letter by letter, no final form
-                part = part.lower()
-                for word in (part,) if part.isalpha() else self.pattern.findall(part):
+                for word in self.split_words(part):
                     out.extend(self.words[word])
         return array("I", out).tobytes()
 

@@ -50,11 +50,30 @@ def test_ids_for_packing_as_the_library(odd_texts):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:99]
 
 
+POINTS = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+MARKED = "a{0}\u0323.{0}2\u0301"  # a letter, a mark and a digit beside each character
+
+
+def test_every_character_is_encoded_as_the_library_does():
+    own, library = bpe.Encoder(WORDS, memo=5000), Tokenizer.from_file(WORDS)
+    for low in range(0, len(POINTS), 50_000):
+        made = [MARKED.format(c) for c in POINTS[low : low + 50_000]]
+        for text, e in zip(made, library.encode_batch(made, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids, ascii(text)
+            own.turn()
+
+
+def test_every_character_is_counted_as_the_library_does():
+    own, library = token_counts.Counter(PIECES, memo=5000), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for low in range(0, len(POINTS), 20_000):
+        made = [MARKED.format(c) for c in POINTS[low : low + 20_000]]
+        assert own.text_counts(made) == [len(ids) for ids in library.encode(made)]
+
+
 def test_every_character_is_split_as_the_library_does():
     own, library = packing.Ids(BYTES), Tokenizer.from_file(BYTES)
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for low in range(0, len(points), 50_000):
-        made = [f"a{c}b 1{c}2 .{c}!  {c} {c}{c}\n{c} x" for c in points[low : low + 50_000]]
+    for low in range(0, len(POINTS), 50_000):
+        made = [f"a{c}b 1{c}2 .{c}!  {c} {c}{c}\n{c} x" for c in POINTS[low : low + 50_000]]
         for text, e in zip(made, library.encode_batch(made, add_special_tokens=False), strict=True):
             assert own.of(text) == e.ids, text
 
