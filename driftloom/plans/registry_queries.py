@@ -58,8 +58,11 @@ def _parquet_by_temperature(s, d):
     return readers.read_parquet(s, path)
 
 
-def _tree(s, d):
-    """Events written as folders of CSV files, scanned back as one tree; 'error' folders have a bad name."""
+def _tree(s, d, spoil=None):
+    """Events written as folders of CSV files, scanned back as one tree; 'error' folders have a bad name.
+
+    Currents of rows that meet ``spoil`` are written with a unit, which makes them no numbers.
+    """
     path = new_path(s, "cycler")
     kind, hour = F.col("test_type"), F.hour("ts")
     rows = telemetry(s, d).select(
@@ -71,6 +74,9 @@ def _tree(s, d):
         ).alias("run"),
         F.when(F.dayofmonth("ts") <= 15, "50SOC").otherwise("80SOC").alias("start"),
     )
+    if spoil is not None:
+        current = F.col("Current(A)").cast("string")
+        rows = rows.withColumn("Current(A)", F.when(spoil, F.concat(current, F.lit(" A"))).otherwise(current))
     sinks.write_csv(rows.repartition("run"), path, ["run", "start"])
     return readers.read_cycler_tree(
         s, path, folder_pattern=r"/run=SP2_(\d+)C_([a-z]+)/", soc_pattern=r"/start=(\d+)SOC/"
@@ -89,6 +95,19 @@ def _tree_rejects(s, d):
     return _tree(s, d).rejects.select(F.regexp_extract("reason", r"^([a-z ]+):", 1).alias("reason")).distinct()
 
 
+def _rejected_files(s, d):
+    """Every file of the tree that was skipped, by its folders."""
+    folder = [F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in ("run", "start")]
+    return _tree(s, d).rejects.select(*folder, F.regexp_extract("reason", r"^([a-z ]+):", 1).alias("reason"))
+
+
+def _rejected_cells(s, d):
+    """Every cell that is no number: here each current above 2 in size, in the files that are not skipped."""
+    found = _tree(s, d, F.abs("Current(A)") > 2).bad_cells
+    event = F.element_at(F.split("line", ","), -1).cast("double").cast("long").alias("event_id")
+    return found.select(event, "column", F.round(F.regexp_extract("value", "^(.*) A$", 1).cast("double"), 6).alias("value"))
+
+
 def _tree_charge(s, d):
     """Charge counted per run and start value over the scanned files."""
     rows = _tree(s, d).rows.withColumn("run", F.concat_ws("/", "temperature_c", "test_type", "initial_soc"))
@@ -284,6 +303,8 @@ QUERIES = {
     "S3_parquet": lambda s, d: readers.read_table(s, f"{d}/supplier.parquet"),
     "S4_S8_cycler_tree": _tree_rows,
     "S5_cycler_rejects": _tree_rejects,
+    "S5_rejected_files": _rejected_files,
+    "S5_rejected_cells": _rejected_cells,
     "S4_cycler_charge": _tree_charge,
     "S6_S7_json": _round_trip_json,
     "S9_S10_snapshots": _snapshot,
@@ -377,6 +398,9 @@ ORACLE = {
     "S3_parquet": "select * from supplier",
     "S4_S8_cycler_tree": f"""with {TELEMETRY_SQL} select event_id, round(voltage_v, 6) as voltage_v, round(current_a, 6) as current_a, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 25 else 45 end as temperature_c,
       upper(test_type) as test_type, case when day(ts) <= 15 then 0.5 else 0.8 end::double as initial_soc from tel where test_type <> 'error'""",
+    "S5_rejected_files": """select distinct concat('BAD_', case when hour(ts) < 8 then 0 when hour(ts) < 16 then 25 else 45 end, 'C_error') as run,
+      case when day(ts) <= 15 then '50SOC' else '80SOC' end as start, 'folder name' as reason from events where event_type = 'error'""",
+    "S5_rejected_cells": f"""with {TELEMETRY_SQL} select event_id, 'Current(A)' as column, round(current_a, 6) as value from tel where test_type <> 'error' and abs(current_a) > 2""",
     "S5_cycler_rejects": "select distinct 'folder name' as reason from events where event_type = 'error'",
     "S4_cycler_charge": f"""with {TELEMETRY_SQL}, t as (select *, case when hour(ts) < 8 then 0 when hour(ts) < 16 then 25 else 45 end as h, sec - 1704067200 as t,
         case when day(ts) <= 15 then 0.5 else 0.8 end::double as s0 from tel where test_type <> 'error'),

@@ -55,10 +55,32 @@ REQUIRED = {
 
 @dataclass
 class CyclerTree:
-    """Rows of the readable files, and one row per skipped file with the reason."""
+    """Rows of the readable files, one row per skipped file with the reason, and one per cell that is no number."""
 
     rows: DataFrame
     rejects: DataFrame
+    bad_cells: DataFrame
+
+
+def _file_sizes(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """path and size in bytes of every file, from the listing alone; the unpacked size for gzip files.
+
+    A gzip file ends with its unpacked size modulo 2^32; only these files are opened for it, and one too large to be a
+    single value has a null size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = files.option("pathGlobFilter", glob).load(root).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
+    )
+    packed = F.lower("path").endswith(".gz")
+    if found.filter(packed).isEmpty():
+        return found
+    last = F.hex(F.substring("content", -4, 4))
+    tail = F.conv(F.concat(*[F.substring(last, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    unpacked = files.option("pathGlobFilter", "*.[gG][zZ]").load(root).filter(F.col("length") < 2**31 - 1).select(
+        F.col("_metadata.file_path").alias("path"), tail.alias("unpacked")
+    )
+    return found.join(unpacked, "path", "left").select("path", F.when(packed, F.col("unpacked")).otherwise(F.col("size")).alias("size"))
 
 
 def read_cycler_tree(
@@ -68,28 +90,38 @@ def read_cycler_tree(
 
     Temperature and protocol come from the folder name, the initial state of
     charge from the file name.  Columns are found through each file's own
-    header, so files may order them differently.  Files with a bad name or a
-    missing column are skipped; when none is left this raises.
+    header, so files may order them differently.  Files with a bad name, a
+    missing column or content that cannot be read to its end are skipped and
+    have a row in ``rejects``; when none is left this raises.  A cell that is
+    no number is null in ``rows`` and has a row in ``bad_cells``; an empty
+    cell is null alone.  Whether a file was read to its end is told by its size:
+    what is missing must exceed one byte a line, the second half of a line's end.
+    A file of no bytes has no row anywhere, as Spark's listing leaves it out.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+        .select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+            F.monotonically_increasing_id().alias("place"),
+        )
     )
     # a comma is a border where an even number of quotes follows; "" inside quotes is one quote
     cells = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     cells = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
-    is_header = F.col("start") == 0
-    # the header is the first line of a file's first block that names any known column
-    known = F.arrays_overlap(F.transform(cells, F.trim), F.array(*[F.lit(c) for c in REQUIRED]))
-    headers = (
-        lines.filter(is_header & known)
-        .groupBy("path")
-        .agg(F.min(F.transform(cells, F.trim)).alias("names"))
+    names = F.transform(cells, F.trim)
+    # the header is the first line of a file's first block that names any known column; one task reads a block in order
+    known = (F.col("start") == 0) & F.arrays_overlap(names, F.array(*[F.lit(c) for c in REQUIRED]))
+    contents = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("value")).alias("n_bytes"),
+        F.min_by(F.when(known, names), F.when(known, F.col("place"))).alias("names"),
     )
-    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines")).join(headers, "path", "left")
+    files = _file_sizes(spark, root, glob).join(contents, "path", "left")
+    # beside the lines' own bytes a file has one or two for each line's end, and three at most before the first
+    ends = F.pmod(F.col("size") - F.coalesce("n_bytes", F.lit(0)) + 1, F.lit(2**32))
+    whole_read = (F.col("size") == 0) | ends.between(F.coalesce("n_lines", F.lit(0)), 2 * F.coalesce("n_lines", F.lit(0)) + 4)
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     whole = F.url_decode("path")
     absent = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.coalesce("names", F.array().cast("array<string>")))
@@ -104,7 +136,8 @@ def read_cycler_tree(
     )
     files = files.withColumn(
         "reason",
-        F.when(F.col("temperature_c").isNull(), F.concat(F.lit("folder name: "), whole))
+        F.when(~whole_read, F.concat(F.lit("unreadable: "), whole))
+        .when(F.col("temperature_c").isNull(), F.concat(F.lit("folder name: "), whole))
         .when(F.col("initial_soc").isNull(), F.concat(F.lit("file name: "), name))
         .when(F.size("absent") > 0, F.concat(F.lit("missing columns: "), F.array_join("absent", ", "))),
     )
@@ -115,16 +148,14 @@ def read_cycler_tree(
     if accepted.isEmpty():
         raise RuntimeError(f"no readable cycler file under {root}")
 
-    def field(raw: str):
-        return F.get("_cells", F.array_position("names", raw).cast("int") - 1).try_cast("double")
-
-    rows = (
-        lines.filter(~(is_header & known))
-        .join(accepted, "path")
-        .withColumn("_cells", cells)
-        .select(
-            *[field(raw).alias(std) for raw, std in REQUIRED.items()],
-            "temperature_c", "test_type", "initial_soc", "source_file", "path",
-        )
-    )
-    return CyclerTree(rows, files.filter(F.col("reason").isNotNull()).select("path", "reason"))
+    def cell(raw: str):
+        return F.get("_cells", F.array_position("names", raw).cast("int") - 1)
+
+    # a header that is repeated further down is no row
+    data = lines.join(accepted, "path").withColumn("_cells", cells).filter(F.transform("_cells", F.trim) != F.col("names"))
+    labels = ["temperature_c", "test_type", "initial_soc", "source_file", "path"]
+    rows = data.select(*[cell(raw).try_cast("double").alias(std) for raw, std in REQUIRED.items()], *labels)
+    written = F.array(*[F.struct(F.lit(raw).alias("column"), cell(raw).alias("value")) for raw in REQUIRED])
+    bad = F.filter(written, lambda c: (F.trim(c["value"]) != "") & c["value"].try_cast("double").isNull())
+    bad_cells = data.select("path", F.explode(bad).alias("_bad"), F.col("value").alias("line")).select("path", "_bad.column", "_bad.value", "line")
+    return CyclerTree(rows, files.filter(F.col("reason").isNotNull()).select("path", "reason"), bad_cells)

@@ -1,5 +1,6 @@
 """Registry, catalogue and readers."""
 
+import gzip
 import datetime as dt
 
 import pytest
@@ -202,3 +203,24 @@ def test_quoted_commas_in_cycler_files(spark, tmp_path):
     tree = readers.read_cycler_tree(spark, str(tmp_path))
     got = sorted(tuple(r) for r in tree.rows.select(*readers.REQUIRED.values()).collect())
     assert got == [(1.0, 2.0, 3.0, 4.0, 5.0), (6.0, 7.0, 8.0, 9.0, 10.0)] and tree.rejects.count() == 0
+
+
+def test_every_rejected_file_and_cell_has_a_row(spark, tmp_path):
+    folder = tmp_path / "SP2_25C_FUDS"
+    folder.mkdir()
+    head = "Test_Time(s),Current(A),Voltage(V),Charge_Capacity(Ah),Discharge_Capacity(Ah)"
+    rows = [f"{i},{i % 7},{i * 13 % 101},4,5" for i in range(20_000)]
+    body = "\n".join([head, *rows]).encode()
+    packed = gzip.compress(body)
+    (folder / "whole_80SOC.csv.gz").write_bytes(packed)
+    (folder / "cut_80SOC.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (folder / "empty_80SOC.csv").write_text("\n")
+    # repeated header, a line that only resembles one, cells without a number, blank cells, other line ends
+    (folder / "cells_50SOC.csv").write_bytes(f"{head}\r\n1,n/a,3,4,5\r\n{head}\r\nCurrent(A),2,,4,\r\n6,7,8,9,x y\r\n".encode())
+    tree = readers.read_cycler_tree(spark, str(tmp_path), "*.csv*")
+    reasons = sorted((r.reason.split(":")[0], r.path.split("/")[-1]) for r in tree.rejects.collect())
+    assert reasons == [("missing columns", "empty_80SOC.csv"), ("unreadable", "cut_80SOC.csv.gz")]
+    counts = {r.source_file: r["count"] for r in tree.rows.groupBy("source_file").count().collect()}
+    assert counts == {"whole_80SOC.csv.gz": 20_000, "cells_50SOC.csv": 3}
+    bad = sorted((r.path.split("/")[-1], r.column, r.value) for r in tree.bad_cells.collect())
+    assert bad == [("cells_50SOC.csv", c, v) for c, v in [("Current(A)", "n/a"), ("Discharge_Capacity(Ah)", "x y"), ("Test_Time(s)", "Current(A)")]]
