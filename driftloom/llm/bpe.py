@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer
+from tokenizers import Regex, normalizers
 from tokenizers.pre_tokenizers import Split
 
 from driftloom.llm.common import Memo, blocks, texts
@@ -34,7 +34,8 @@ from driftloom.llm.common import Memo, blocks, texts
 #: Unicode white space as the tokenizer's patterns see it (Python's own also has four control characters).
 SPACE = r"\t-\r \x85\xa0  -     　"
 _CONTROL = re.compile("[\x1c-\x1f]")
-_BEYOND_LATIN = re.compile("[^\0-\u024f]")
+#: Anything but Latin letters and the usual dashes, quotes and dots, about which all releases agree.
+_BEYOND_LATIN = re.compile("[^\0-\u024f\u2010-\u2027]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Distinct words and pieces that a worker keeps in each generation.
 MEMO = 150_000
@@ -63,7 +64,8 @@ class Encoder:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or len(split) != 1 or spec["decoder"]:
             raise ValueError(f"{path}: only NFC, white space, lower case and one split pattern are known")
         self.pattern = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", SPACE))
-        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        replace = normalizers.Replace(Regex(steps[1]["pattern"]["Regex"]), steps[1]["content"])
+        self.normalise = normalizers.Sequence([normalizers.NFC(), replace, normalizers.Lowercase()]).normalize_str
         self.split = Split(Regex(split[0]["pattern"]["Regex"]), split[0]["behavior"].lower(), split[0]["invert"]).pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
