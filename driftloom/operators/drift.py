@@ -13,8 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import band, chi2_p_value, clip, ks_p_value, psi_severity, ratio
@@ -26,6 +29,7 @@ from driftloom.operators.ordered import (
     cuts_of_row,
     feature_cuts,
     melt,
+    melted_counts,
     quantiles_of_counts,
     running_sums,
     value_counts,
@@ -33,6 +37,8 @@ from driftloom.operators.ordered import (
 from driftloom.sources.stage import stage
 
 REF = "is_reference"
+PER_GROUP = 50_000  # distinct values of a bucket that are compared together
+PER_TASK = 500_000  # distinct values of a task's buckets, where there are more than the session's shuffle width takes
 
 
 def null_is_a_key(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -238,31 +244,35 @@ def jensen_shannon(df, features, n_bins=T.JSD_BINS, *, keys=(), batch="batch_id"
 def batch_counts(
     df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Bucketed counts of the distinct values of every batch and of the reference (NULL ``_batch``), and the cuts.
+    """Bucketed counts of the distinct values of every batch and of the reference (NULL ``_batch``), and their totals.
 
-    This is the only scan of the rows; all ordered statistics read the staged counts.
+    This is the only scan of the rows; all ordered statistics read the staged counts.  The totals are one staged row
+    per bucket and side.  Their squares are taken around the feature's middle cut point, which keeps the one-pass
+    variance exact enough.
     """
     side = df.withColumn("_batch", F.when(~F.col(REF), F.col(batch)))
-    long = melt(side, features, [*keys, REF, "_batch"])
-    counts = value_counts(long, [*keys, "feature", REF, "_batch"])
+    counts = melted_counts(side, features, [*keys, REF, "_batch"])
     cuts = feature_cuts(counts)
-    return add_feature_bucket(counts, cuts), cuts
+    counts = add_feature_bucket(counts, cuts)
+    n = F.col("n")
+    middle = F.coalesce(F.get(cuts_of_row(cuts), F.lit(bucket_count(df.sparkSession) // 2 - 1)), F.lit(0.0))
+    d = F.col("_d")
+    totals = counts.withColumn("_d", F.col("value") - middle).groupBy(*keys, "feature", BUCKET, REF, "_batch").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(n).alias("n"),
+        F.sum(n * F.col("value")).alias("sum"), F.sum(n * d).alias("_s1"), F.sum(n * d * d).alias("_s2"),
+    )
+    return counts, stage(totals, "bucket-totals")
 
 
-def ranges_of_counts(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """``side_ranges`` computed from counts, with mean and sample std of both sides; staged.
+def ranges_of_totals(totals: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
+    """``side_ranges`` computed from totals, with mean and sample std of both sides; staged.
 
-    Squares are taken around the feature's middle cut point, which keeps the
-    one-pass variance exact enough; a constant side has std 0.
+    A constant side has std 0.
     """
     n = F.col("n")
-    middle = F.coalesce(F.get(cuts_of_row(cuts), F.lit(bucket_count(counts.sparkSession) // 2 - 1)), F.lit(0.0))
-    rows = counts.withColumn("_d", F.col("value") - middle)
-    d = F.col("_d")
     group = [*keys, "feature", REF, "_batch"]
-    sums = rows.groupBy(*group).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(n).alias("n"), F.sum(n * F.col("value")).alias("sum"),
-        F.sum(n * d).alias("_s1"), F.sum(n * d * d).alias("_s2"),
+    sums = totals.groupBy(*group).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in ("n", "sum", "_s1", "_s2")]
     )
     squares = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(
         F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * F.col("_s1") / n)
@@ -292,82 +302,146 @@ def ranges_of_counts(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], ba
     )
 
 
-def _ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts with running reference and batch sums, in one exchange.
+class _Steps:
+    """The reference share inside a bucket, a step function from ``start`` on, and its integral."""
 
-    What lies in earlier buckets enters as carry rows (NULL value) that sort
-    first in their bucket, so no join is needed.  Adds r_cum / s_cum (reference
-    rows and their value sum up to the value), r_at (reference rows at the
-    value) and n_cum (rows of the own batch up to the value).
-    """
-    feature = [*keys, "feature"]
-    is_ref = F.col(REF)
-    rows = counts.withColumns(
-        {
-            "r": F.when(is_ref, F.col("n")).otherwise(F.lit(0).cast("long")),
-            "s": F.when(is_ref, F.col("n") * F.col("value")).otherwise(F.lit(0.0)),
-        }
-    )
-    totals = rows.groupBy(*feature, BUCKET, REF, "_batch").agg(
-        F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("s").alias("s")
-    )
-    totals = stage(totals, "bucket-totals")  # (batches + 1) x buckets rows per feature
-    by_batch = Window.partitionBy(*feature, "_batch").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    by_feature = Window.partitionBy(*feature).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    nothing = F.lit(None).cast("double").alias("value")
-    batch_carry = totals.filter(~is_ref).select(
-        *feature, BUCKET, REF, "_batch", nothing, F.coalesce(F.sum("n").over(by_batch), F.lit(0)).alias("n"),
-        F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("s"),
-    )
-    ref_carry = (
-        totals.groupBy(*feature, BUCKET).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-        .select(
-            *feature, BUCKET, F.lit(True).alias(REF), nothing, F.lit(0).cast("long").alias("n"),
-            F.coalesce(F.sum("r").over(by_feature), F.lit(0)).alias("r"), F.coalesce(F.sum("s").over(by_feature), F.lit(0.0)).alias("s"),
-        )
-    )
-    rows = rows.unionByName(batch_carry).unionByName(ref_carry, allowMissingColumns=True)
-    upto = Window.partitionBy(*feature, BUCKET).orderBy(F.asc_nulls_first("value"))
-    at = Window.partitionBy(*feature, BUCKET, "value")
-    own = Window.partitionBy(*feature, BUCKET, "_batch").orderBy(F.asc_nulls_first("value"))
-    return (
-        rows.withColumns({"r_cum": F.sum("r").over(upto), "s_cum": F.sum("s").over(upto), "r_at": F.sum("r").over(at)})
-        .withColumn("n_cum", F.sum("n").over(own))
-        .filter(F.col("value").isNotNull())
-    )
+    def __init__(self, value: np.ndarray, n: np.ndarray, before: int, size: int, start: float):
+        order = np.argsort(value)
+        self.value = value[order]
+        self.n = np.append(0, np.cumsum(n[order]))
+        self.at = np.append(start, self.value)
+        self.share = (before + self.n) / size
+        self.area = np.append(0.0, np.cumsum(self.share[:-1] * np.diff(self.at)))
 
+    def upto(self, x: np.ndarray) -> np.ndarray:
+        return self.share[np.searchsorted(self.value, x, "right")]
 
-def _shares_at(ranked: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """Ranked points with reference share f and batch share g, at and just below the value.
+    def below(self, x: np.ndarray) -> np.ndarray:
+        return self.share[np.searchsorted(self.value, x, "left")]
 
-    Reference points have a NULL batch and a NULL g.
-    """
-    feature = [*keys, "feature"]
-    sizes = ranges.select(*feature, F.col(batch).alias("_k"), "n_ref", "n_prod")
-    ref_sizes = ranges.groupBy(*feature).agg(F.max("n_ref").alias("n_ref"))
-    both = sizes.unionByName(ref_sizes, allowMissingColumns=True)
-    both = both.withColumnsRenamed({c: f"_s_{c}" for c in feature})
-    same = F.expr(" and ".join([*[f"{c} = _s_{c}" for c in feature], "_batch <=> _k"]))
-    return ranked.join(both, same).select(
-        *keys,
-        F.col("_batch").alias(batch),
-        "feature",
-        REF,
-        "value",
-        "n_ref",
-        "n_prod",
-        ratio(F.col("r_cum"), F.col("n_ref")).alias("f"),
-        ratio(F.col("r_cum") - F.col("r_at"), F.col("n_ref")).alias("f_below"),
-        ratio(F.col("s_cum"), F.col("n_ref")).alias("iq"),
-        ratio(F.col("n_cum"), F.col("n_prod")).alias("g"),
-        ratio(F.col("n_cum") - F.col("n"), F.col("n_prod")).alias("g_below"),
-    )
+    def integral(self, x: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.value, x, "right")
+        return self.area[i] + self.share[i] * (x - self.at[i])
+
+    def reaches(self, share: np.ndarray, end: float) -> np.ndarray:
+        """Where the reference share first is as large; ``end`` if it is not in this bucket."""
+        return np.append(self.at, end)[np.searchsorted(self.share, share, "left")]
 
+    def cells(self, edges: np.ndarray) -> np.ndarray:
+        """Reference rows between the edges."""
+        return np.diff(self.n[np.searchsorted(self.value, edges, "left")], prepend=0, append=self.n[-1])
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value, null included; the values are structs of one field."""
+    values = column.combine_chunks().flatten()[0]
+    if pa.types.is_nested(values.type):
+        values = pa.array([repr(v) for v in values.to_pylist()], pa.string())
+    return values.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _compare_bucket(values: pa.Table, heads: pa.Table, names: Sequence[str], n_bins: Sequence[int]) -> pa.Table:
+    """KS distance, integral of the gap between the shares and cells of every batch inside one bucket.
+
+    ``heads`` has one row a batch: what lies before the bucket, and the bucket's ends.  Between two values of a batch
+    its share is constant and the reference share only grows, so the gap changes its sign once at most.
+    """
+    is_ref, value, n = (values[c].to_numpy() for c in (REF, "value", "n"))
+    at = {c: heads[c].to_numpy() for c in AT}
+    k = heads.num_rows
+    ks, distance, cells = np.full(k, np.nan), np.full(k, np.nan), [[] for _ in range(k)]
+    if k and at["n_ref"][0] > 0:
+        start, end = at["first"][0], at["next"][0]
+        ref = _Steps(value[is_ref], n[is_ref], at["r_before"][0], at["n_ref"][0], start)
+        code = _codes(pa.chunked_array([*heads["_batch"].chunks, *values["_batch"].filter(pa.array(~is_ref)).chunks]))
+        of_head = np.empty(code.max() + 1, dtype=int)
+        of_head[code[:k]] = np.arange(k)
+        own, head = of_head[code], np.arange(len(code)) < k
+        v = np.append(np.full(k, start), value[~is_ref])
+        n = np.append(at["n_before"], n[~is_ref])
+        order = np.lexsort((~head, v, own))
+        own, v, n, head = own[order], v[order], n[order], head[order]
+        starts = np.flatnonzero(head)
+        passed = np.cumsum(n)
+        passed -= (passed[starts] - n[starts])[own]
+        size = at["n_prod"][own]
+        g, g_below = passed / size, (passed - n) / size
+        gap = np.maximum(np.abs(ref.upto(v) - g), np.abs(ref.below(v) - g_below))
+        ks = np.maximum.reduceat(np.where(head, -1.0, gap), starts)
+        ks[ks < 0] = np.nan
+        upto = np.append(v[1:], end)
+        upto[np.append(head[1:], True)] = end
+        turn = np.clip(ref.reaches(g, end), v, upto)
+        area, area_turn, area_upto = ref.integral(v), ref.integral(turn), ref.integral(upto)
+        distance = np.add.reduceat(g * (turn - v) - (area_turn - area) + (area_upto - area_turn) - g * (upto - turn), starts)
+        n = np.where(head, 0, n)
+        for i, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(v)), strict=True)):
+            for bins in n_bins:
+                edges = np.arange(1, bins) * ((at["hi"][i] - at["lo"][i]) / bins) + at["lo"][i]
+                prod = np.bincount(np.searchsorted(edges, v[a:b], "right"), n[a:b], bins).astype(int)
+                both = ref.cells(edges)
+                cells[i] += [
+                    {"n_bins": bins, "bin": j, "c_ref": int(both[j]), "c_prod": int(prod[j])} for j in np.flatnonzero(both + prod).tolist()
+                ]
+    return pa.table(
+        [*[heads[c] for c in names], pa.array(ks, from_pandas=True), pa.array(distance, from_pandas=True), pa.array(cells, CELLS)],
+        [*names, "ks", "distance", "cells"],
+    )
+
+
+AT = ("first", "next", "r_before", "n_before", "n_ref", "n_prod", "lo", "hi")
+CELLS = pa.list_(pa.struct([("n_bins", pa.int32()), ("bin", pa.int32()), ("c_ref", pa.int64()), ("c_prod", pa.int64())]))
+
+
+def _compared(
+    counts: DataFrame, totals: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str, n_bins: Sequence[int] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """KS distance and integral of the gap between both shares per (keys, batch, feature), and the cells of all n_bins.
 
-def _ks_distance() -> Column:
-    here = F.abs(F.col("f") - F.col("g"))
-    below = F.abs(F.col("f_below") - F.col("g_below"))
-    return F.max(F.greatest(here, below))
+    One exchange brings the values of a bucket together, those of the reference once for all batches.  A bucket
+    reaches from its first value to the first of the next one, and holds some PER_GROUP values.
+    """
+    feature = [*keys, "feature"]
+    who = [*feature, "_batch"]
+    spark = counts.sparkSession
+    totals = totals.filter(F.col(REF).isNotNull())
+    sizes = totals.groupBy(*feature).agg(F.sum("rows").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    most, whole = sizes[0] or 0, sizes[1] or 0
+    n = bucket_count(spark)
+    merged = F.shiftright(BUCKET, max(0, n.bit_length() - 1 - (most // PER_GROUP).bit_length())).alias(BUCKET)
+
+    per = totals.withColumn(BUCKET, merged).groupBy(*feature, BUCKET, REF, "_batch").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
+    )
+    along = Window.partitionBy(*feature).orderBy(BUCKET)
+    before = (Window.unboundedPreceding, -1)
+    places = per.groupBy(*feature, BUCKET).agg(
+        F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum(F.when(F.col(REF), F.col("n")).otherwise(0)).alias("r")
+    ).select(
+        *feature, BUCKET, "first", F.coalesce(F.lead("first").over(along), "last").alias("next"),
+        F.coalesce(F.sum("r").over(along.rowsBetween(*before)), F.lit(0)).alias("r_before"),
+    )
+    batches = ranges.select(*feature, F.col(batch).alias("_batch"), "n_ref", "n_prod", "lo", "hi")
+    own = per.filter(~F.col(REF)).select(*who, BUCKET, "n")
+    of_batch = Window.partitionBy(*who).orderBy(BUCKET).rowsBetween(*before)
+    heads = places.join(batches, feature).join(own, [*who, BUCKET], "left").withColumn(
+        "n_before", F.coalesce(F.sum("n").over(of_batch), F.lit(0))
+    )
+    heads = heads.select(*who, BUCKET, *AT)
+    values = counts.filter(F.col(REF).isNotNull()).select(*feature, merged, REF, "_batch", "value", "n")
+    shape = heads.select(*who).schema.add("ks", "double").add("distance", "double")
+    cell = StructType().add("n_bins", "integer").add("bin", "integer").add("c_ref", "long").add("c_prod", "long")
+    shape = shape.add("cells", ArrayType(cell))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // PER_TASK)
+    values, heads = (t.repartition(width, *feature, BUCKET).groupBy(*feature, BUCKET) for t in (values, heads))
+    found = values.cogroup(heads).applyInArrow(lambda v, h: _compare_bucket(v, h, who, n_bins), shape)
+    found = stage(found, "compared").withColumnRenamed("_batch", batch)
+    who = [*feature, batch]
+    cells = found.select(*who, F.inline("cells")).groupBy(*who, "n_bins", "bin").agg(
+        F.sum("c_ref").alias("c_ref"), F.sum("c_prod").alias("c_prod")
+    )
+    distances = found.groupBy(*who).agg(F.max("ks").alias("ks"), F.sum("distance").alias("distance"))
+    return distances, cells.join(ranges.select(*who, "n_ref", "n_prod"), who)
 
 
 @null_is_a_key
@@ -378,92 +452,14 @@ def ks(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     share only grows, so the largest gap lies at a batch point or just below it.
     """
     keys = list(keys)
-    counts, cuts = batch_counts(df, features, keys, batch)
-    ranges = ranges_of_counts(counts, cuts, keys, batch)
-    points = _shares_at(_ranked(counts, keys), ranges, keys, batch).filter(~F.col(REF))
-    out = points.groupBy(*keys, batch, "feature").agg(
-        _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
-    )
+    who = [*keys, batch, "feature"]
+    counts, totals = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_totals(totals, keys, batch)
+    distances, _ = _compared(counts, totals, ranges, keys, batch)
+    out = distances.select(*who, "ks").join(ranges.select(*who, "n_ref", "n_prod"), who)
     return out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
 
 
-def _distances(counts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """KS distance and the integral of |Q(p) - v| over the probability slice of each batch value.
-
-    Q is the reference quantile function and IQ its integral from 0.  A slice
-    [a, b] needs IQ at a, at b and at the crossing f clipped into [a, b].  IQ at
-    a probability is read off the first reference point at or above it, found
-    in one pass over both kinds of points sorted by probability.
-    """
-    keys = list(keys)
-    feature = [*keys, "feature"]
-    group = [*feature, BUCKET]
-    n = bucket_count(counts.sparkSession)
-    p_bucket = F.least(F.floor(F.col("p") * n), F.lit(n - 1)).cast("int")
-
-    points = _shares_at(_ranked(counts, keys), ranges, keys, batch)
-    a, b = F.col("g_below"), F.col("g")
-    points = points.withColumn("c", F.greatest(a, F.least(b, F.col("f"))))
-    c = F.col("c")
-    gap = F.greatest(F.abs(F.col("f") - b), F.abs(F.col("f_below") - a))
-    constant = F.col("value") * (2 * c - a - b)
-    no_gap, no_point = F.lit(None).cast("double"), F.lit(None).cast("struct<p:double,iq:double,x:double>")
-
-    def probe(p: Column, weight: Column, gap: Column, constant: Column) -> Column:
-        return F.struct(
-            p.alias("p"), weight.cast("double").alias("weight"), gap.alias("gap"), constant.alias("constant"), no_point.alias("point")
-        )
-
-    # weight: the signed part each IQ(p) plays in the total
-    middle = F.when((c > a) & (c < b), -2).otherwise(0)
-    probes = F.array(
-        probe(a, 1 - F.when(c == a, 2).otherwise(0), gap, constant),
-        probe(b, 1 - F.when((c == b) & (c > a), 2).otherwise(0), no_gap, no_gap),
-        probe(c, middle, no_gap, no_gap),
-    )
-    ref_point = F.struct(
-        F.col("f").alias("p"), F.lit(None).cast("double").alias("weight"), no_gap.alias("gap"), no_gap.alias("constant"),
-        F.struct(F.col("f").alias("p"), F.col("iq"), F.col("value").alias("x")).alias("point"),
-    )
-    rows = (
-        points.select(*keys, batch, "feature", F.inline(F.when(F.col(REF), F.array(ref_point)).otherwise(probes)))
-        .filter("weight is null or weight <> 0 or gap is not null")
-        .withColumn(BUCKET, p_bucket)
-    )
-
-    # the first reference point of each bucket serves the probes at the end of the bucket before
-    ref_counts = counts.filter(F.col(REF))
-    ref_rows = running_sums(
-        ref_counts.withColumn("s", F.col("n") * F.col("value")), feature, ["value"], ["n", "s"], totals=True
-    )
-    firsts = (
-        ref_rows.select(
-            *feature, ratio(F.col("n_cum"), F.col("n_all")).alias("p"), ratio(F.col("s_cum"), F.col("n_all")).alias("iq"), F.col("value").alias("x")
-        )
-        .withColumn(BUCKET, p_bucket)
-        .groupBy(*group)
-        .agg(F.min(F.struct("p", "iq", "x")).alias("_first"))
-    )
-    # every bucket gets the first point behind it, also buckets without reference points
-    later = Window.partitionBy(*feature).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    every = firsts.select(*feature).distinct().withColumn(BUCKET, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    carry = (
-        every.join(firsts, group, "left")
-        .withColumn("_next", F.last("_first", ignorenulls=True).over(later))
-        .select(*group, F.lit(float("inf")).alias("p"), F.col("_next").alias("point"))
-        .filter(F.col("point").isNotNull())
-    )
-    rows = rows.unionByName(carry, allowMissingColumns=True)
-    down = Window.partitionBy(*group).orderBy(F.desc("p"))
-    found = rows.withColumn("_at", F.last("point", ignorenulls=True).over(down)).filter(F.col("weight").isNotNull())
-    iq = F.col("_at.iq") - F.col("_at.x") * (F.col("_at.p") - F.col("p"))
-    return (
-        found.groupBy(*keys, batch, "feature")
-        .agg(F.max("gap").alias("ks"), F.sum(F.col("weight") * iq).alias("_iq"), F.sum("constant").alias("_v"))
-        .select(*keys, batch, "feature", "ks", F.abs(F.col("_iq") + F.col("_v")).alias("distance"))
-    )
-
-
 def _normalised(distance: Column, sd: Column) -> Column:
     return F.when(sd < 1e-10, F.lit(0.0)).otherwise(distance / sd)
 
@@ -473,9 +469,9 @@ def wasserstein(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Wasserstein-1 distance over the reference's population std (0 if that is 0)."""
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts, cuts = batch_counts(df, features, keys, batch)
-    ranges = ranges_of_counts(counts, cuts, keys, batch)
-    out = _distances(counts, ranges, keys, batch).join(ranges, who)
+    counts, totals = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_totals(totals, keys, batch)
+    out = _compared(counts, totals, ranges, keys, batch)[0].join(ranges, who)
     return out.select(*who, _normalised(F.col("distance"), F.col("ref_sd")).alias("wasserstein"))
 
 
@@ -488,15 +484,7 @@ def _shape_scores(cells: DataFrame, who: Sequence[str]) -> DataFrame:
     )
 
 
-def _cells_of_counts(counts: DataFrame, cuts: DataFrame, ranges: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    who = [*keys, batch, "feature"]
-    ref, prod = _sides(counts)
-    points = (
-        prod.withColumnRenamed("_batch", batch)
-        .join(ranges.select(*who, "lo", "hi"), who)
-        .select(*who, F.col("value").alias("x"), "lo", "hi", "n")
-    )
-    return _histograms(ranges, points, ref, cuts, sorted({T.PSI_BINS, T.JSD_BINS}), keys, batch)
+BOTH_BINS = sorted({T.PSI_BINS, T.JSD_BINS})
 
 
 def _all_batches(df: DataFrame, features: Sequence[str], keys: Sequence[str], batch: str) -> DataFrame:
@@ -514,13 +502,14 @@ def numeric_scores(df, features, *, keys=(), batch="batch_id", with_stats: bool
     """
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts, cuts = batch_counts(df, features, keys, batch)
-    ranges = ranges_of_counts(counts, cuts, keys, batch)
+    counts, totals = batch_counts(df, features, keys, batch)
+    ranges = ranges_of_totals(totals, keys, batch)
+    distances, cells = _compared(counts, totals, ranges, keys, batch, BOTH_BINS)
     out = (
         _all_batches(df, features, keys, batch)
         .join(ranges, who, "left")
-        .join(_shape_scores(_cells_of_counts(counts, cuts, ranges, keys, batch), who), who, "left")
-        .join(_distances(counts, ranges, keys, batch), who, "left")
+        .join(_shape_scores(cells, who), who, "left")
+        .join(distances, who, "left")
         .withColumn("n_prod", F.coalesce("n_prod", F.lit(0).cast("long")))
         .withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
         .withColumn("wasserstein", _normalised(F.col("distance"), F.col("ref_sd")))
@@ -583,8 +572,8 @@ def side_statistics(df, features, *, keys=(), batch="batch_id") -> DataFrame:
     """Mean, sample std and quartiles of both sides, prefixed ref_ and prod_."""
     keys = list(keys)
     who = [*keys, batch, "feature"]
-    counts, cuts = batch_counts(df, features, keys, batch)
-    moments = ranges_of_counts(counts, cuts, keys, batch).select(*who, "ref_mean", "ref_std", "prod_mean", "prod_std")
+    counts, totals = batch_counts(df, features, keys, batch)
+    moments = ranges_of_totals(totals, keys, batch).select(*who, "ref_mean", "ref_std", "prod_mean", "prod_std")
     return moments.join(_side_quartiles(counts, keys, batch), who)
 
 
@@ -790,13 +779,11 @@ def prediction_drift(df, score: str, *, keys=(), batch="batch_id") -> DataFrame:
     keys = list(keys)
     rows = df.select(*keys, batch, REF, F.col(score).alias("prediction_score"))
     who = [*keys, batch, "feature"]
-    counts, cuts = batch_counts(rows, ["prediction_score"], keys, batch)
-    ranges = ranges_of_counts(counts, cuts, keys, batch)
-    points = _shares_at(_ranked(counts, keys), ranges, keys, batch).filter(~F.col(REF))
-    distance = points.groupBy(*who).agg(
-        _ks_distance().alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_prod").alias("n_prod")
-    )
-    out = _shape_scores(_cells_of_counts(counts, cuts, ranges, keys, batch), who).join(distance, who)
+    counts, totals = batch_counts(rows, ["prediction_score"], keys, batch)
+    ranges = ranges_of_totals(totals, keys, batch)
+    distances, cells = _compared(counts, totals, ranges, keys, batch, BOTH_BINS)
+    distances = distances.select(*who, "ks").join(ranges.select(*who, "n_ref", "n_prod"), who)
+    out = _shape_scores(cells, who).join(distances, who)
     out = out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_prod")))
     return prediction_verdict(out)
 

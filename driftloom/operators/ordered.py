@@ -14,8 +14,10 @@ where both sides are null, so joins keep such rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ BUCKET = "_bucket"
 KEY = "_key"
 MAX_BUCKETS = 4096
 PER_BUCKET = 64
-NESTED = 64
+NESTED = 8  # blocks in a step of a search for a bucket
+PLAIN = 200  # parts to which a shuffle writes directly, without holding rows in memory (Spark's default)
+HELD = 1 << 19  # rows a task holds before it hands on their counts
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,33 +103,32 @@ def add_feature_bucket(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return add_bucket(rows, F.col("value"), cuts_of_row(cuts), bucket_count(rows.sparkSession))
 
 
-def _search(value: Column, bounds: Callable[[Column | int], Column], n: int) -> Column:
-    """The number of cut points <= value, by binary search.
+def _cases(value: Column, bounds: Callable[[int], Column], low: int, high: int) -> Column:
+    """The first place from low to high whose bound is above the value, by nested CASEs, which compile."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value >= bounds(middle), _cases(value, bounds, middle + 1, high)).otherwise(_cases(value, bounds, low, middle))
 
-    Up to NESTED buckets the steps are nested CASEs, which compile; beyond, a fold keeps the expression small.
+
+def _add_search(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Add the number of cut points in ``_bounds`` <= value as the bucket, by search in blocks, blocks of these, and so on.
+
+    Every step is a small expression of its own, as the JVM compiles no large methods.
     """
-    if n <= NESTED:
-
-        def between(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(value >= bounds(middle), between(middle + 1, high)).otherwise(between(low, middle))
-
-        return between(0, n - 1)
-    steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda pos, step: F.when(value >= bounds(pos + step - 1), pos + step).otherwise(pos),
-    )
+    df = df.withColumn(BUCKET, F.lit(0))
+    while n > 1:
+        width = max(1, n // NESTED)
+        block = _cases(F.col(value), lambda i, w=width: F.get("_bounds", F.col(BUCKET) + ((i + 1) * w - 1)), 0, n // width - 1)
+        df = df.withColumn("_block", block).withColumn(BUCKET, F.col(BUCKET) + F.col("_block") * width).drop("_block")
+        n = width
+    return df
 
 
 def add_bucket(df: DataFrame, value: Column, bounds: Column, n: int) -> DataFrame:
     """Add the bucket of ``value``; equal values always share a bucket."""
-    df = df.withColumns({"_bounds": bounds, "_value": value.cast("double")})  # a subquery must not stand inside a fold
-    found = _search(F.col("_value"), lambda i: F.get("_bounds", F.lit(i) if isinstance(i, int) else i), n)
-    return df.withColumn(BUCKET, found).drop("_bounds", "_value")
+    df = df.withColumns({"_bounds": bounds, "_value": value.cast("double")})
+    return _add_search(df, "_value", n).drop("_bounds", "_value")
 
 
 def _places(df: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame, list[str]]:
@@ -157,8 +160,7 @@ def add_order_bucket(df: DataFrame, order: Sequence[str], *, n: int | None = Non
     sorted_places = held.agg(F.sort_array(F.collect_list(F.struct(*leading))).alias("a"))
     at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / n).cast("int")))
     df = df.withColumns({"_bounds": sorted_places.select(at).scalar(), "_place": F.struct(*leading)})
-    found = _search(F.col("_place"), lambda i: F.get("_bounds", F.lit(i) if isinstance(i, int) else i), n)
-    return df.withColumn(BUCKET, found).drop("_bounds", "_place")
+    return _add_search(df, "_place", n).drop("_bounds", "_place")
 
 
 def running_sums(
@@ -184,7 +186,9 @@ def running_sums(
     carried = [F.coalesce(F.sum(f"_t_{c}").over(before), zero).alias(f"_o_{c}") for c in columns]
     if totals:
         carried += [F.sum(f"_t_{c}").over(whole).alias(f"{c}_all") for c in columns]
-    joined = df.join(per_bucket.select(*group, *carried), group)
+    # a fixed number of parts, which are not put together again: a task sorts no more as the table grows with the width
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = df.repartition(width, *group).join(per_bucket.select(*group, *carried), group)
     w = Window.partitionBy(*group).orderBy(*order)
     if by_row:
         w = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -310,3 +314,64 @@ def melt(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFra
     """Long form (keys, feature, value) without NULL and NaN."""
     wide = df.select(*keys, *[clean(f).alias(f) for f in features])
     return wide.unpivot(list(keys), list(features), "feature", "value").filter(F.col("value").isNotNull())
+
+
+def _atoms(column: pa.Array) -> list[pa.Array] | None:
+    """The columns that tell the values of a key apart, those inside a struct included; None for lists and maps."""
+    if not pa.types.is_struct(column.type):
+        return None if pa.types.is_nested(column.type) else [column]
+    inner = [_atoms(c) for c in column.flatten()]
+    return None if None in inner else [column.is_valid(), *[c for part in inner for c in part]]
+
+
+def _counted(wide: pa.Table, keys: Sequence[str], feature: str) -> pa.Table:
+    """Distinct values of one column per key with their counts; uncounted where a key cannot be grouped."""
+    t = wide.filter(wide[feature].is_valid())
+    parts = [_atoms(t[k].combine_chunks()) for k in keys]
+    if None not in parts:
+        columns = [c for part in parts for c in part] + [t[feature]]
+        names = [f"c{i}" for i in range(len(columns))]
+        rows = pa.table([*columns, pa.array(np.arange(t.num_rows))], [*names, "row"])
+        found = pa.TableGroupBy(rows, names, use_threads=False).aggregate([("row", "min"), ("row", "count")])
+        t, n = t.take(found["row_min"]), found["row_count"].cast(pa.int64())
+    else:
+        n = pa.array(np.ones(t.num_rows, dtype=np.int64))
+    return pa.table([*[t[k] for k in keys], pa.repeat(feature, t.num_rows), t[feature], n], [*keys, "feature", "value", "n"])
+
+
+def melted_counts(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], sums: dict[str, Column] | None = None, apart: Sequence[str] = ()
+) -> DataFrame:
+    """``value_counts`` of the long form of several columns, in tasks of bounded memory, staged.
+
+    ``sums`` over the counts n may tell rows ``apart`` by further columns.
+
+    A scanning task counts at most HELD rows at a time, so columns of few values are collapsed where they are read.
+    What is left is counted behind the shuffle, in PLAIN parts at most.
+    """
+    group, keys, features = list(keys), [*keys, *apart], list(features)
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            wide = pa.Table.from_batches(held)
+            for f in features:
+                yield from _counted(wide, keys, f).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
+
+    wide = df.select(*keys, *[(clean(f) + 0.0).alias(f) for f in features])  # -0.0 and 0.0 are one value
+    shape = wide.select(*keys).schema.add("feature", "string").add("value", "double").add("n", "long")
+    n = min(PLAIN, bucket_count(df.sparkSession))
+    rows = wide.mapInArrow(collapse, shape).withColumn("_place", F.xxhash64("feature", "value")).repartition(n, "_place")
+    sums = sums or {"n": F.col("n")}
+    counts = rows.groupBy("_place", *group, "feature", "value").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    return stage(counts.drop("_place"), "counts")

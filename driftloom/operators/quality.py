@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import thresholds as T
 from driftloom.functions.statistics import ratio
-from driftloom.operators.ordered import add_bucket, bounds_of, bucket_count, clean, running_sums
-from driftloom.sources.stage import stage
+from driftloom.operators.ordered import add_bucket, bounds_of, bucket_count, clean, melted_counts, running_sums
 
 
 def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
-    rows = df.select(*keys, clean(score).alias("_s"), F.col(label).cast("int").alias("_y")).dropna(subset=["_s", "_y"])
-    counts = rows.groupBy(*keys, "_s").agg(
-        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("_y") == 1, 0).otherwise(1)).alias("neg"),
-    )
-    counts = stage(counts, "score-counts")
+    rows = df.select(*keys, F.col(score).alias("_s"), F.col(label).cast("int").alias("_y")).dropna(subset=["_y"])
+    hit, n = F.col("_y") == 1, F.col("n")
+    sides = {"pos": F.when(hit, n).otherwise(0), "neg": F.when(hit, 0).otherwise(n)}
+    counts = melted_counts(rows, ["_s"], keys, sides, apart=["_y"]).select(*keys, F.col("value").alias("_s"), *sides)
     n = bucket_count(df.sparkSession)
     return add_bucket(counts, F.col("_s"), bounds_of(counts, F.col("_s"), n), n)
 

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from driftloom.functions.statistics import upper_gamma
 from driftloom.operators import drift as D
 from driftloom.plans.monitor import monitor
@@ -221,3 +223,26 @@ def test_monitoring_several_models(spark):
     assert len(rows) == 8 and run.details.count() == 16 and run.prediction.count() == 8
     assert rows[(2, 2)]["retrain_triggered"] and not rows[(2, 3)]["retrain_triggered"]
     assert rows[(2, 4)]["overall_severity"] == "critical"
+
+
+def test_batches_meet_the_reference_in_many_buckets(spark, monkeypatch):
+    """Gaps of a batch reach over buckets in which it has no values; the search takes several steps."""
+    monkeypatch.setattr(D, "PER_GROUP", 20)
+    rng = np.random.default_rng(8)
+    ref = np.append(rng.gamma(2, 3, 3000), [-40.0, 90.0])
+    batches = {1: rng.gamma(2.2, 3, 1500), 2: np.array([-60.0, 0.0, 0.0, 95.0] * 30), 3: np.full(120, 7.0), 4: ref}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    out = scores(spark, ref, batches)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for i, b in batches.items():
+        assert out[i]["psi"] == pytest.approx(np_psi(ref, b), rel=1e-9, abs=1e-12)
+        assert out[i]["ks"] == pytest.approx(np_ks(ref, b), abs=1e-12)
+        assert out[i]["wasserstein"] == pytest.approx(np_wasserstein(ref, b), rel=1e-9, abs=1e-10)
+
+
+def test_values_of_a_bucket_come_together_once(spark):
+    """Counts get their bucket by plain comparisons, without a fold over the cut points, and without a window."""
+    df = table(spark, np.arange(500.0), {1: np.arange(300.0)}).withColumn("batch_id", F.struct(F.col("batch_id").alias("v")))
+    counts, _ = D.batch_counts(df, ["x"], [], "batch_id")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "lambda" not in plan and "aggregate(" not in plan
