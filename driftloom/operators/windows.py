@@ -266,7 +266,9 @@ def coulomb_variable_step(
     """State of charge with the time step taken from the data; the first step is 0.
 
     The time before a bucket's first row comes from the bucket before it.
+    The rows are staged, as they are read several times.
     """
+    df = stage(df, "charge-rows")
     initial = initial if isinstance(initial, Column) else F.lit(initial)
     rows = keyed(add_order_bucket(df.withColumn("_sec", _seconds(df, time)), order), [cell])
     group = [KEY, BUCKET]

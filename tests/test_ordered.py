@@ -230,3 +230,16 @@ def test_repeated_alerts_and_null_kinds(spark):
     out = W.alert_cooldown(spark.createDataFrame(rows, "category string, severity string, ts timestamp, alert_id string")).toPandas()
     assert len(out) == 5 and list(out.columns) == ["category", "severity", "ts", "alert_id", "fired"]
     assert out.groupby("alert_id", dropna=False)["fired"].sum().tolist() == [1, 1, 1, 1]
+
+
+def test_charge_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(200).selectExpr("id % 3 as cell", "cast(id as double) as t", "1.0D as i").mapInArrow(read, "cell long, t double, i double")
+    W.coulomb_variable_step(df, cell="cell", time="t", order=["t"], current="i").collect()
+    assert seen.value == 200
