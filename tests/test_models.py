@@ -150,3 +150,32 @@ def test_event_time_stream_equals_the_table(spark, tmp_path):
     assert len(want) == 3 and len(got) >= 2
     for a, b in zip(got, want):
         assert a["window_start"] == b["window_start"] and a["psi"] == pytest.approx(b["psi"], rel=1e-9)
+
+
+def test_a_fold_is_prepared_once_for_all_trials(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import Imputer
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    data = pd.DataFrame(x, columns=["a", "b"]).assign(c=np.array(list("uvw"))[rng.integers(0, 3, 400)], id=range(400))
+    data["y"] = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    data.loc[::17, "a"] = None
+    df = spark.createDataFrame(data)
+    gbt = GBTClassifier(labelCol="y", maxIter=2, seed=42)
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [1, 3]).build()
+    plain = CrossValidator(
+        estimator=Pipeline(stages=[*L.preprocessing(["a", "b"], ["c"]), gbt]), estimatorParamMaps=grid,
+        evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=3, foldCol="fold", seed=42,
+    ).fit(L.stratified_folds(df, "y", ["id"], 3, 42))
+    fits = []
+    fit = Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    found = L.search_parameters(df, "y", ["a", "b"], ["c"], key=["id"], grid={"maxDepth": [1, 3]}, folds=3, trees=2)
+    assert found.avgMetrics == pytest.approx(plain.avgMetrics, abs=1e-9) and found.stdMetrics == pytest.approx(plain.stdMetrics, abs=1e-9)
+    assert found.bestModel.stages[-1].getMaxDepth() == plain.bestModel.stages[-1].getMaxDepth()
+    assert [r["parameters"] for r in L.best_trials(found, df).collect()] == [r["parameters"] for r in L.best_trials(plain, df).collect()]
+    assert len(fits) == 3 + 1  # the folds, and the best trial on all rows; before, one for every trial of a fold
