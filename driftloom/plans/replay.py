@@ -7,6 +7,9 @@ one epoch to the next by construction.  At the first batch that fires, a model i
 and compared on the holdout.  If it is promoted, the batches up to there are accepted and the rest of the span is scored
 again; otherwise the walk goes on within the span.  Spans double while no model is promoted, so no more batches are
 scored in vain than are kept.
+
+No decision waits for the drift of the scores: the reference is scored once an epoch, and the accepted batches of all epochs
+are compared with theirs in one job behind the walk.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -78,13 +82,25 @@ def replay(
     report = stage(D.batch_report(details, batch=batch).withColumn("drift_severity", F.col("overall_severity")), "replay-report")
     placed = report.filter(F.col(batch).isNotNull())
 
-    def auc(of: Any, part: DataFrame) -> float | None:
-        found = M.binary_metrics(score(of, part), label, column).first()
-        return found["auc_roc"] if found else None
+    def scores(of: Any, part: DataFrame, *kept: str) -> DataFrame:
+        return score(of, part).select(*kept, label, F.col(column).alias("prediction_score"))
+
+    def aucs(**models: Any) -> dict[str, float | None]:
+        """AUC of each model on the holdout, all in one job."""
+        every = reduce(DataFrame.unionAll, [scores(of, holdout).withColumn("_model", F.lit(name)) for name, of in models.items()])
+        found = M.binary_metrics(every, label, "prediction_score", keys=["_model"]).collect()
+        return dict.fromkeys(models) | {r["_model"]: r["auc_roc"] for r in found}
+
+    def score_reference() -> DataFrame:
+        part = stage(scores(model, reference, D.REF, batch), "replay-reference-scores")
+        scored.append(part.withColumn("epoch", F.lit(epoch)))
+        return part
 
-    baseline = auc(model, reference)
+    root, epoch, span, after, retrained, scored = new_path(spark, "replay"), 0, first_span, None, [], []
+    found = M.binary_metrics(score_reference(), label, "prediction_score").first()
+    baseline = found["auc_roc"] if found else None
     baseline = T.BASELINE_AUC if baseline is None else baseline
-    root, epoch, span, after, retrained = new_path(spark, "replay"), 0, first_span, None, []
+    old_auc = None
 
     def behind(table: DataFrame) -> DataFrame:
         return table if after is None else table.filter(F.col(batch) > after)
@@ -93,19 +109,19 @@ def replay(
         part = behind(table).filter(F.col(batch) <= upto).withColumn("epoch", F.lit(epoch))
         part.write.mode("append").parquet(f"{root}/{name}")
 
-    accepted = None
+    accepted, after_promotion, compared = None, False, False
     while True:
         last = behind(placed).select(batch).orderBy(batch).limit(span).agg(F.max(batch)).first()[0]
         if last is None:
             break
+        if after_promotion:
+            score_reference()
         inside = behind(rows.filter(~F.col(D.REF) & (F.col(batch) <= last)))
-        scored = score(model, reference.unionByName(inside)).select(D.REF, batch, label, F.col(column).alias("prediction_score"))
-        scored = stage(scored, "replay-scores")
-        quality = M.binary_metrics(scored.filter(~F.col(D.REF)), label, "prediction_score", keys=[batch])
+        inside = stage(scores(model, inside, D.REF, batch), "replay-scores")
+        quality = M.binary_metrics(inside, label, "prediction_score", keys=[batch])
         here = stage(behind(placed).filter(F.col(batch) <= last).join(quality, batch, "left"), "replay-span")
         history = here if accepted is None else spark.read.schema(accepted).parquet(f"{root}/quality").drop("epoch").unionByName(here)
         decided = stage(W.retrain_triggers(history.withColumn("_one", F.lit(1)), keys=["_one"], order=batch).drop("_one"), "replay-decided")
-        predicted = D.prediction_drift(scored, "prediction_score", batch=batch).select(batch, *D.DETAIL)
         upto, promoted = last, False
         fires = behind(decided.filter("retrain_triggered"))
         while not promoted and (hit := fires.orderBy(batch).first()) is not None:
@@ -117,7 +133,9 @@ def replay(
             labelled = part.dropna(subset=[label]).join(holdout.select(*key).distinct(), list(key), "left_anti")
             labelled = stage(stratified_split(labelled, key=[*key, batch], strata=label), "replay-labelled")
             new = fit(labelled.filter("split = 'train'").drop("split"))
-            decision = promotion(spark.createDataFrame([(auc(model, holdout), auc(new, holdout))], "old_auc double, new_auc double")).first()
+            known = aucs(new=new) if compared else aucs(old=model, new=new)
+            old_auc, compared = known.get("old", old_auc), True
+            decision = promotion(spark.createDataFrame([(old_auc, known["new"])], "old_auc double, new_auc double")).first()
             now = decided.filter(F.col(batch) == at).select(batch, "auc_roc")
             value = B.retrain_value(now, baseline=baseline, cost=cost).first()
             retrained.append(
@@ -126,21 +144,23 @@ def replay(
             )
             promoted = decision["promoted"]
             if promoted:
-                upto, model = at, new
+                upto, model, old_auc = at, new, known["new"]
             fires = fires.filter(F.col(batch) > at)
         accept("quality", here, upto)
         accept("decided", decided, upto)
-        accept("prediction", predicted, upto)
+        scored.append(inside.filter(F.col(batch) <= upto).withColumn("epoch", F.lit(epoch)))
         accepted = here.withColumn("epoch", F.lit(epoch)).schema
-        shapes = {n: t.withColumn("epoch", F.lit(epoch)).schema for n, t in (("decided", decided), ("prediction", predicted))}
-        epoch, span, after = (epoch + 1, first_span, upto) if promoted else (epoch, span * 2, upto)
+        shape = decided.withColumn("epoch", F.lit(epoch)).schema
+        epoch, span, after, after_promotion = (epoch + 1, first_span, upto, True) if promoted else (epoch, span * 2, upto, False)
 
     if accepted is None:
         raise ValueError("no batch to replay")
-    tables = {n: spark.read.schema(shape).parquet(f"{root}/{n}") for n, shape in shapes.items()}
-    summary = stage(B.monthly_loss(tables["decided"].withColumn("baseline_auc", F.lit(baseline)), baseline=baseline), "replay-summary")
+    drifted = D.prediction_drift(reduce(DataFrame.unionAll, scored), "prediction_score", keys=["epoch"], batch=batch)
+    predicted = stage(drifted.select(batch, *D.DETAIL, "epoch"), "replay-prediction")
+    decided = spark.read.schema(shape).parquet(f"{root}/decided")
+    summary = stage(B.monthly_loss(decided.withColumn("baseline_auc", F.lit(baseline)), baseline=baseline), "replay-summary")
     events = spark.createDataFrame(retrained, RETRAINS).withColumnRenamed("batch_id", batch)
-    return Replay(details, tables["prediction"], summary, events, model, baseline)
+    return Replay(details, predicted, summary, events, model, baseline)
 
 
 def record(

@@ -88,8 +88,9 @@ def _replayed(s, d):
         return rows.withColumn("score", model.predict() / 100)
 
     first = L.Trend(X.NUMERIC, [25.0, 38000.0, 0.05, 0.04], [14.0, 23000.0, 0.03, 0.03], [25.0, -5.0, 0.0, 10.0], 50.0)
+    key = ["l_orderkey", "l_linenumber"]
     run = replay(
-        _scored_shift(s, d).drop("score"), numeric=X.NUMERIC, categorical=[], label="y", key=["l_orderkey", "l_linenumber"], fit=fit, score=score, model=first
+        _scored_shift(s, d).select(*key, *X.NUMERIC, "y", "batch_id", "is_reference"), numeric=X.NUMERIC, categorical=[], label="y", key=key, fit=fit, score=score, model=first
     )
     promoted = run.retrains.select("batch_id", F.col("promoted"), "old_auc", "new_auc")
     return rounded(run.summary.join(promoted, "batch_id", "left").select(

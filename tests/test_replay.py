@@ -111,6 +111,30 @@ def test_replay_equals_the_sequential_run(spark, recent, first_span):
     assert {r.batch_id: r.epoch for r in run.prediction.collect()} == {b: e for b, e, _, _ in want}
 
 
+def test_score_drift_is_compared_once_for_all_epochs(spark, monkeypatch):
+    rows = spark.createDataFrame(table(batches=4))
+    calls, models = [], []
+    drift = D.prediction_drift
+
+    def fit(part):
+        models.append(ridge(part))
+        return models[-1]
+
+    monkeypatch.setattr(D, "prediction_drift", lambda *args, **named: calls.append(1) or drift(*args, **named))
+    weak = L.Trend(FEATURES, [0.0, 0.0], [1.0, 1.0], [20.0, -60.0], 50.0)
+    run = R.replay(rows, numeric=FEATURES, categorical=[], label="y", key=["id"], fit=fit, score=by_ridge, model=weak, recent=1, first_span=1)
+    assert len(calls) == 1  # before, one for every span
+    promoted = [m for m, r in zip(models, sorted(run.retrains.collect(), key=lambda r: r.batch_id), strict=True) if r.promoted]
+    assert promoted
+    got = {r.batch_id: r for r in run.prediction.collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for epoch, model in enumerate([weak, *promoted]):
+        alone = {r.batch_id: r for r in drift(by_ridge(model, rows), "score").collect()}
+        for b, r in got.items():
+            if r.epoch == epoch:
+                assert (r.severity, r.message) == (alone[b].severity, alone[b].message) and r.score == pytest.approx(alone[b].score)
+
+
 def test_a_run_in_the_registry(spark, tmp_path):
     rows = spark.createDataFrame(table(batches=6))
     run = R.replay(rows, numeric=FEATURES, categorical=[], label="y", key=["id"], fit=ridge, score=by_ridge, model=L.Trend(FEATURES, [0.0] * 2, [1.0] * 2, [20.0, -60.0], 50.0))
