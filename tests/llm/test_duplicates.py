@@ -244,3 +244,27 @@ def test_odd_rows(odd, none):
     carried = suffix_dedup.remove_repeats(odd, carry=("key", "n")).where("doc_id = 9").first()
     assert carried.carry.key == 10
     assert near_dup.near_duplicates(none).count() == suffix_dedup.remove_repeats(none).count() == line_dedup.drop_lines(none).count() == 0
+
+
+def test_line_keys_mask_every_digit():
+    for c in map(chr, [*range(0x21, 0x3000), *range(0xA620, 0xD7A4), *range(0xF900, 0x11000), *range(0x1D7C0, 0x1D800), *range(0x1FBF0, 0x1FC00)]):
+        tokens = f"ab x{c}y cd".split()
+        joined, exact, masked = line_dedup.line_keys(tokens)
+        assert joined == " ".join(tokens) and exact == line_dedup.exact_key(tokens)
+        assert (masked != exact) == any(line_dedup.token_code(t) == 0 for t in tokens)
+    same = [line_dedup.line_keys(f"ab x{c} cd 7".split())[2] for c in "5\u0665\uff15"]
+    assert len(set(same)) == 1 and same[0] != line_dedup.line_keys("ab x cd 7".split())[2]
+
+
+def test_line_dedup_drops_its_tables(spark):
+    import os
+
+    from driftloom.sources.stage import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:") + "/driftloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    made = [(i, f"the job {i} has ended well today\nown words of row number w{i}x") for i in range(12)]
+    rows = line_dedup.drop_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in rows) == 22
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert {x for x in left if x.startswith("lines")} == {"lines", "lines-recurring", "lines-general"}
