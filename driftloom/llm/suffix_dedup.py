@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import blocks
-from driftloom.sources.stage import stage
+from driftloom.sources.stage import drop, stage
 
 #: Bytes of the anchor; a window of ``length`` bytes must hold some.
 ANCHOR = 24
@@ -326,7 +326,9 @@ def remove_repeats(
     dealt = rows.repartition(n_parts, "doc_id", "cid")
     searched = dealt.dropDuplicates(["doc_id", "cid"]).join(wanted, ["doc_id", "cid"]).select("doc_id", "cid", "raw", "keys")
     spans = _covered(_stretches(searched, length, n_parts), length, n_parts)
-    spans = stage(spans, "suffix-spans").groupBy("doc_id", "cid").agg(F.collect_list(F.struct("first", "behind")).alias("cover"))
+    spans = stage(spans, "suffix-spans")
+    drop(shared)
+    spans = spans.groupBy("doc_id", "cid").agg(F.collect_list(F.struct("first", "behind")).alias("cover"))
     known = firsts.withColumn("searched", F.lit(True)).join(spans, ["doc_id", "cid"], "left")
     found = dealt.join(known, ["doc_id", "cid"], "left").select("doc_id", "raw", "searched", "cover", "carry")
 
