@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import language, line_dedup, near_dup, packing, suffix_dedup
 from driftloom.llm.queries import SEQUENCE
-from driftloom.sources.stage import stage
+from driftloom.sources.stage import drop, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,15 +42,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Each distinct pair of doc_id and text is a document of its own.  They are ordered by doc_id, those without one
     last, then by the digest of the text; of rows that differ in the other columns alone, the least one stays.
     """
-    rest = F.struct("lang", "source", "n_chars")
-    rows = docs.select(*COLUMNS).withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
-    pairs = rows.groupBy("doc_id", "digest").agg(F.min(rest).alias("least"))
-    pairs = pairs.orderBy(F.asc_nulls_last("doc_id"), "digest").select("doc_id", "digest", "least", F.monotonically_increasing_id().alias("key"))
-    own = stage(pairs, "pipeline-near-keys").withColumnsRenamed({"doc_id": "own_id", "digest": "own_digest"})
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")) & rest.eqNullSafe(F.col("least"))
-    keyed = stage(rows.join(own, same).select("key", *COLUMNS), "pipeline-near-rows")
-    found = near_dup.near_duplicates(keyed, width=5, percent=80, id_col="key").where("kept").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(found, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    pair = ["no_id", "id", "digest"]  # never null, so that the texts are dealt out once for the groups and the join
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    digest = F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest")
+    rows = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", none).alias("id"), digest)
+    least = rows.groupBy(pair).agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.first("text").alias("text"))
+    own = rows.select(pair).distinct().orderBy(pair).withColumn("key", F.monotonically_increasing_id())
+    own = stage(own, "pipeline-near-keys")
+    keyed = stage(least.join(own, pair).select("key", "text"), "pipeline-near-rows")
+    found = near_dup.near_duplicates(keyed, width=5, percent=80, id_col="key")
+    kept = own.join(found.where("kept").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    kept = stage(kept.select(pair), "pipeline-near-kept")
+    drop(own, keyed, found)
+    return least.join(kept, pair).select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text", "rest.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what the next one has read goes."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, work in STAGES:
         docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*written)
+        written = [docs]
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.sources.stage import stage
+from driftloom.sources.stage import drop, stage
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step replaces links by links to the smallest neighbour, with one aggregate and one join by node, so a node
     with very many links is pre-aggregated and its join can be split.  The number of steps grows with the logarithm of
-    the longest path.  Every step is written to the shared folder, so a lost executor costs one step at most.
+    the longest path.  Every step is written to the shared folder, so a lost executor costs one step at most;
+    of the steps' tables only the last stays, which the result reads.
     """
     edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     state = None
@@ -28,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u != v").distinct(), "links")
+        last, edges = edges, stage(small.select("e.u", "e.v").where("u != v").distinct(), "links")
+        drop(last)
         now = _digest(edges)
         if now == state:
             break

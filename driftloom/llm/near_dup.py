@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import blocks, texts
 from driftloom.llm.links import components
-from driftloom.sources.stage import stage
+from driftloom.sources.stage import drop, stage
 
 #: Registers, registers of a band, mantissa bits.  At a similarity of 0.8 a pair shares none of the 45 bands with a
 #: probability of 2e-8; at 0.2, as among documents with a common passage, it shares one with a probability of 0.014.
@@ -285,7 +285,9 @@ def crowd_links(crowded: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             pairs = links_between(*rows, percent)
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return left.cogroup(right).applyInArrow(run, "u long, v long")
+    found = stage(left.cogroup(right).applyInArrow(run, "u long, v long"), "near-links")
+    drop(crowded, crowds, members)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,13 +302,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     rows = texts(docs, id_col, text_col)
     sketched = stage(sketches(rows, width), "near-sketches")
-    some = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    some = sketched.where(has_set)
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("first_id"))
-    tagged = some.select("doc_id", "set_hash").join(classes, "set_hash")
-    same = tagged.where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
     # only the first document of each set goes on
     heads = some.select("doc_id", "set_hash", "registers").join(classes.withColumnRenamed("first_id", "doc_id"), ["set_hash", "doc_id"], "left_semi")
     heads = stage(heads.dropDuplicates(["set_hash", "doc_id"]).select("doc_id", "registers"), "near-heads")
+    counted = stage(sketched.select("doc_id", "n_shingles", "set_hash"), "near-hashes")  # all but the registers
+    drop(sketched)
+    some = counted.where(has_set)
+    classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("first_id"))
+    tagged = some.select("doc_id", "set_hash").join(classes, "set_hash")
+    same = tagged.where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
 
     members = meetings(heads)
     crowd = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -331,11 +338,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cross = cross.select(F.col("doc_id").alias("u"), F.col("other").alias("v")).distinct()
     cross = cross.join(spokes, ["u", "v"], "left_anti")
     more = stage(likely(cross, heads, percent / 100), "near-pairs")
+    drop(heads, spokes)
     links = links.unionByName(stage(verified(more, full, percent), "near-links"))
     crowded = rest.where(F.col("size") > CROWDED).join(centres, "key").select("doc_id", "centre", "root")
-    links = links.unionByName(stage(crowd_links(crowded, full, percent), "near-links"))
+    links = links.unionByName(crowd_links(crowded, full, percent))
+    drop(met, full, roots, rest, more)
 
     final = components(links.unionByName(same)).select(F.col("node").alias("doc_id"), "root")
-    out = sketched.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    out = counted.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = stage(out, "near-found")
+    drop(counted, links, final)
+    return out

@@ -237,3 +237,27 @@ def test_pipeline(spark, docs):
     assert all(r.text in dict(texts)[r.doc_id] or r.doc_id not in bytes_left for r in kept)
     texts, kept = stages["packing"]
     check_packing(kept, texts, 2048)
+
+
+def test_stages_leave_only_what_is_read(spark, docs):
+    """Tables that a stage has staged are gone once nothing reads them: near copies, and the stages before the last."""
+    import os
+
+    from driftloom.sources.stage import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:") + "/driftloom"
+
+    def left(work):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        out = work()
+        return out, {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+
+    edits = [(10_000 + r.doc_id, " ".join([*r.text.split()[:-1], "edited"])) for r in docs.orderBy("doc_id").limit(30).collect()]
+    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame(edits, "doc_id long, text string"))
+    rows = both.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    out, tables = left(lambda: corpus_pipeline.drop_near_copies(spark, rows, SMALL))
+    assert tables == {"pipeline-near-kept"}
+    assert out.count() == out.select("doc_id").distinct().count() < both.count()
+    _, tables = left(lambda: corpus_pipeline.run(spark, SMALL).count())
+    assert {x for x in tables if x.startswith("pipeline")} == {"pipeline-near-kept", "pipeline-packing"}
+    assert not {x for x in tables if x.startswith("near") or x == "links"}
