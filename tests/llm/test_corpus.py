@@ -239,7 +239,7 @@ def test_pipeline(spark, docs):
     check_packing(kept, texts, 2048)
 
 
-def test_stages_leave_only_what_is_read(spark, docs):
+def test_stages_leave_only_what_is_read(spark, tmp_path):
     """Tables that a stage has staged are gone once nothing reads them: near copies, and the stages before the last."""
     import os
 
@@ -252,12 +252,16 @@ def test_stages_leave_only_what_is_read(spark, docs):
         out = work()
         return out, {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
 
-    edits = [(10_000 + r.doc_id, " ".join([*r.text.split()[:-1], "edited"])) for r in docs.orderBy("doc_id").limit(30).collect()]
-    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame(edits, "doc_id long, text string"))
-    rows = both.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
-    out, tables = left(lambda: corpus_pipeline.drop_near_copies(spark, rows, SMALL))
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice("the house and river of green stones was near an old road with tall trees".split(), 60)) for _ in range(30)]
+    edits = [f"{t} edited" for t in texts[:10]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + edits)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out, tables = left(lambda: corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)))
     assert tables == {"pipeline-near-kept"}
-    assert out.count() == out.select("doc_id").distinct().count() < both.count()
-    _, tables = left(lambda: corpus_pipeline.run(spark, SMALL).count())
+    assert sorted(map(tuple, out.select(*corpus_pipeline.COLUMNS).collect())) == rows[:30]
+    packed, tables = left(lambda: corpus_pipeline.run(spark, str(tmp_path)))
+    assert packed.count() >= 30 and docs.count() == 40
     assert {x for x in tables if x.startswith("pipeline")} == {"pipeline-near-kept", "pipeline-packing"}
     assert not {x for x in tables if x.startswith("near") or x == "links"}
